@@ -49,76 +49,84 @@ class SourceColumn:
     kind: str
 
 
-def _one(text: Column) -> Column:
-    """Plain value as a one-element list; NULL for NULL and empty text."""
-    return F.when(F.nullif(text, F.lit("")).isNotNull(), F.array(text))
+def _one(text: str) -> str:
+    """SQL: plain value as a one-element list, NULL for NULL and empty text."""
+    return f"if(nullif({text}, '') is not null, array({text}), null)"
 
 
-def _number(n: Column) -> Column:
-    """Number as text, without a decimal point when it is whole."""
-    whole = n.cast("bigint")
-    return F.when((n == whole) & (F.abs(n) < 1e15), whole.cast("string")).otherwise(n.cast("string"))
+def _number(n: str) -> str:
+    """SQL: number as text, without a decimal point when it is whole."""
+    return f"if({n} = floor({n}) and abs({n}) < 1e15, cast(cast({n} as bigint) as string), cast({n} as string))"
 
 
-def _texts(items: Column, field: str) -> Column:
-    return F.transform(F.coalesce(items, F.array()), lambda x: x[field])
+def _list(items: str, value: str) -> str:
+    return f"transform(coalesce({items}, array()), x -> {value})"
 
 
-def property_values(p: Column, page_url: str, nested: bool = False) -> Column:
-    """Value of one property as ``array<string>``; single values become one element, absent ones NULL.
+def _plain_value(p: str, page_url: str) -> str:
+    """SQL: value of the property ``p`` of any type but a rollup, as ``array<string>``.
 
-    Lists stay lists (they may be empty), a rollup of a list is flattened with its blanks removed.
+    Lists stay lists (they may be empty), single values become one element, absent ones NULL.
     """
-    kind = p["type"]
-    formula = p["formula"]
-    value = (
-        F.when(kind == "title", _one(F.array_join(_texts(p["title"], "plain_text"), "")))
-        .when(kind == "rich_text", _one(F.array_join(_texts(p["rich_text"], "plain_text"), "")))
-        .when(kind == "select", _one(p["select"]["name"]))
-        .when(kind == "status", _one(p["status"]["name"]))
-        .when(kind == "multi_select", _texts(p["multi_select"], "name"))
-        .when(kind == "date", _one(p["date"]["start"]))
-        .when(kind == "checkbox", F.array(F.coalesce(p["checkbox"], F.lit(False)).cast("string")))
-        .when(kind == "number", _one(_number(p["number"])))
-        .when(kind == "url", _one(p["url"]))
-        .when(kind == "email", _one(p["email"]))
-        .when(kind == "phone_number", _one(p["phone_number"]))
-        .when(kind == "people", F.transform(_texts(p["people"], "id"), lambda x: F.concat(F.lit("user://"), x)))
-        .when(kind == "relation", F.transform(_texts(p["relation"], "id"), lambda x: _page_link(x, page_url)))
-        .when(kind == "created_time", _one(p["created_time"]))
-        .when(kind == "last_edited_time", _one(p["last_edited_time"]))
-        .when(kind == "created_by", _one(F.concat(F.lit("user-"), p["created_by"]["id"])))
-        .when(kind == "last_edited_by", _one(F.concat(F.lit("user-"), p["last_edited_by"]["id"])))
-        .when(kind == "files", _texts(p["files"], "name"))
-        .when(kind == "unique_id", _one(F.concat(
-            F.coalesce(F.concat(F.nullif(p["unique_id"]["prefix"], F.lit("")), F.lit("-")), F.lit("")),
-            p["unique_id"]["number"].cast("string"))))
-        .when(kind == "formula", _one(
-            F.when(formula["type"] == "date", formula["date"]["start"])
-            .when(formula["type"] == "number", _number(formula["number"]))
-            .when(formula["type"] == "boolean", formula["boolean"].cast("string"))
-            .otherwise(formula["string"])))
-    )
-    if nested:
-        return value
-    rollup = p["rollup"]
-    listed = F.filter(
-        F.flatten(F.transform(F.coalesce(rollup["array"], F.array()), lambda x: F.coalesce(
-            property_values(x, page_url, nested=True), F.array().cast("array<string>")))),
-        lambda x: x.isNotNull() & (x != ""))
-    return value.when(kind == "rollup", F.when(rollup["type"] == "array", listed).when(
-        rollup["type"] == "date", _one(rollup["date"]["start"])).otherwise(_one(_number(rollup["number"]))))
-
-
-def _page_link(page_id: Column, page_url: str) -> Column:
-    return F.concat(F.lit(page_url), F.replace(page_id, F.lit("-"), F.lit("")))
+    formula = f"{p}.formula"
+    number = f"cast({p}.unique_id.number as string)"
+    values = {
+        "title": _one(f"array_join({p}.title.plain_text, '')"),
+        "rich_text": _one(f"array_join({p}.rich_text.plain_text, '')"),
+        "select": _one(f"{p}.`select`.name"),
+        "status": _one(f"{p}.status.name"),
+        "multi_select": _list(f"{p}.multi_select", "x.name"),
+        "date": _one(f"{p}.date.start"),
+        "checkbox": f"array(cast(coalesce({p}.checkbox, false) as string))",
+        "number": _one(_number(f"{p}.number")),
+        "url": _one(f"{p}.url"),
+        "email": _one(f"{p}.email"),
+        "phone_number": _one(f"{p}.phone_number"),
+        "people": _list(f"{p}.people", "concat('user://', x.id)"),
+        "relation": _list(f"{p}.relation", f"concat('{page_url}', replace(x.id, '-', ''))"),
+        "created_time": _one(f"{p}.created_time"),
+        "last_edited_time": _one(f"{p}.last_edited_time"),
+        "created_by": _one(f"concat('user-', {p}.created_by.id)"),
+        "last_edited_by": _one(f"concat('user-', {p}.last_edited_by.id)"),
+        "files": _list(f"{p}.files", "x.name"),
+        "unique_id": _one(f"concat(coalesce(concat(nullif({p}.unique_id.prefix, ''), '-'), ''), {number})"),
+        "formula": _one(
+            f"case {formula}.type when 'date' then {formula}.date.start when 'number' then {_number(formula + '.number')} "
+            f"when 'boolean' then cast({formula}.boolean as string) else {formula}.`string` end"),
+    }
+    return _case(f"{p}.type", values)
+
+
+def _case(subject: str, values: dict[str, str]) -> str:
+    return f"case {subject} " + " ".join(f"when '{kind}' then {sql}" for kind, sql in values.items()) + " end"
+
+
+def property_value(p: str, page_url: str) -> str:
+    """SQL: value of the property ``p`` of any type. A rollup of a list is flattened and its blanks removed."""
+    items = f"flatten(transform({p}.rollup.array, r -> coalesce({_plain_value('r', page_url)}, array())))"
+    rollup = _case(f"{p}.rollup.type", {
+        "array": f"filter({items}, v -> v is not null and v <> '')",
+        "date": _one(f"{p}.rollup.date.start"),
+        "number": _one(_number(f"{p}.rollup.number")),
+    })
+    return f"case when {p}.type = 'rollup' then {rollup} else {_plain_value(p, page_url)} end"
+
+
+def _plain_properties(columns: Sequence[SourceColumn], page_url: str) -> Column:
+    """Mapped properties of a page with their values.
+
+    One expression reads any property, so the plan stays the same size however many columns a source maps.
+    """
+    titles = ", ".join("'" + c.title.replace("\\", "\\\\").replace("'", "\\'") + "'" for c in columns)
+    return F.expr(
+        f"transform_values(map_filter(properties, (t, p) -> t in ({titles})), (t, p) -> {property_value('p', page_url)})")
 
 
 def extract_properties(pages: DataFrame, columns: Sequence[SourceColumn],
                        page_url: str = "https://pages.example/") -> DataFrame:
     """Page id and, per mapped property, its raw values as ``array<string>``."""
-    cells = [property_values(F.col("properties")[c.title], page_url).alias(c.name) for c in columns]
-    return pages.select("id", *cells)
+    read = pages.select("id", _plain_properties(columns, page_url).alias("_p"))
+    return read.select("id", *[F.col("_p")[c.title].alias(c.name) for c in columns])
 
 
 # Spellings of a ticked checkbox.
@@ -128,16 +136,15 @@ TRUE_SPELLINGS = ("__YES__", "true", "1", "True")
 def convert(c: str | Column, kind: str) -> Column:
     """Text value of a source column as its declared kind. An empty text is NULL for every kind.
 
-    ``arr`` reads JSON lists, else wraps the text; ``arrsplit`` also splits at ``;`` and trims; ``num`` gives NULL for
-    anything that is not a finite number; ``date`` keeps the first ten characters.
+    ``arr`` reads a JSON list as it is, else wraps the text; ``arrsplit`` also splits at ``;``, trims and drops
+    blanks; ``num`` gives NULL for anything that is not a finite number; ``date`` keeps the first ten characters.
     """
-    return convert_values(_read_list(F.nullif(as_col(c), F.lit(""))), kind)
-
-
-def _read_list(text: Column) -> Column:
-    looks_like_list = F.trim(text).startswith("[")
-    parsed = F.when(looks_like_list, F.from_json(text, "array<string>"))
-    return F.when(text.isNotNull(), F.coalesce(parsed, F.array(text)))
+    text = F.nullif(as_col(c), F.lit(""))
+    if kind not in ("arr", "arrsplit"):
+        return convert_values(F.when(text.isNotNull(), F.array(text)), kind)
+    listed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+    values = F.when(text.isNotNull(), F.coalesce(listed, F.array(text)))
+    return values if kind == "arr" else convert_values(values, kind)
 
 
 def convert_values(values: Column, kind: str) -> Column:
@@ -173,6 +180,6 @@ def load_source(pages: DataFrame, columns: Sequence[SourceColumn], stamp: Column
     """Typed rows of one source: live pages only, mapped columns, id, link and the stamp of this run."""
     live = pages.filter(
         (F.col("object") == "page") & ~F.coalesce("in_trash", F.lit(False)) & ~F.coalesce("archived", F.lit(False)))
-    cells = [
-        convert_values(property_values(F.col("properties")[c.title], page_url), c.kind).alias(c.name) for c in columns]
-    return live.select("id", _page_link(F.col("id"), page_url).alias("url"), *cells, stamp.alias("synced_at"))
+    read = live.select("id", _plain_properties(columns, page_url).alias("_p"))
+    cells = [convert_values(F.col("_p")[c.title], c.kind).alias(c.name) for c in columns]
+    return read.select("id", F.concat(F.lit(page_url), F.replace("id", F.lit("-"), F.lit(""))).alias("url"), *cells, stamp.alias("synced_at"))
