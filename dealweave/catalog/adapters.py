@@ -153,7 +153,7 @@ ADAPTERS: dict[str, str] = {
           cast('2023-12-01' as date) as created_date
         from {customer}""",
     "founder_history": """
-        select 'd' || cast(l_orderkey as STRING) as deal_id, 'Dr. Person ' || cast(l_suppkey as STRING) as founder,
+        select 'd' || cast(l_orderkey as STRING) as deal_id, 'Dr. P' || cast(l_suppkey as STRING) || ' Person' as founder,
           p_name as company, case when l_returnflag = 'A' then 'Engineer' when l_returnflag = 'R' then '' end as role
         from {lineitem} join {part} on p_partkey = l_partkey
         union all

@@ -1 +1,264 @@
+"""Counts, texts, pivots and comparisons per group."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from dealweave.catalog.base import dt, query
+from dealweave.catalog.rowsets import DECIDED_CHECK, decided
+from dealweave.operators.lists import (
+    breakdown, distinct_array, distinct_join, latest_by, list_parts, ordered_join, pivot_slots, shortest)
+from dealweave.plans.companies import (
+    company_deals, company_list, company_mentions, company_rounds, missed_investors, segment_compare)
+from dealweave.plans.employers import employer_names
+from dealweave.plans.worked_at import evidence_groups
+
+
+@query("filtered_counts", """
+    select o_custkey, count(*) as orders, count(*) filter (where o_orderstatus = 'F') as closed,
+      count(distinct o_orderpriority) filter (where o_orderstatus <> 'F') as open_priorities,
+      count(nullif(o_orderpriority, '4-NOT SPECIFIED')) as specified from orders group by o_custkey""")
+def filtered_counts(t):
+    status = F.col("o_orderstatus")
+    return t.orders.groupBy("o_custkey").agg(
+        F.count(F.lit(1)).alias("orders"), F.count_if(status == "F").alias("closed"),
+        F.count_distinct(F.when(status != "F", F.col("o_orderpriority"))).alias("open_priorities"),
+        F.count(F.nullif("o_orderpriority", F.lit("4-NOT SPECIFIED"))).alias("specified"))
+
+
+@query("pivot_slots", """
+    with p as (select l_orderkey, l_linenumber as slot, max(p_name) as name from lineitem join part on p_partkey = l_partkey
+      group by 1, 2)
+    select l_orderkey, max(name) filter (where slot = 1) as name_1, max(name) filter (where slot = 2) as name_2,
+      max(name) filter (where slot = 3) as name_3, max(name) filter (where slot = 4) as name_4,
+      string_agg(name, ', ' order by slot) as names from p group by l_orderkey""")
+def pivot_slots_query(t):
+    rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy(
+        "l_orderkey", F.col("l_linenumber").alias("slot")).agg(F.max("p_name").alias("name"))
+    wide = pivot_slots(rows, ["l_orderkey"], "slot", {"name": "name"})
+    return wide.join(rows.groupBy("l_orderkey").agg(ordered_join("name", ["slot"]).alias("names")), "l_orderkey")
+
+
+@query("ordered_string_agg", """
+    select l_orderkey, string_agg(nullif(l_returnflag, 'N') || l_partkey::varchar, '; ' order by l_linenumber, l_partkey, l_suppkey)
+      as lines from lineitem group by l_orderkey""")
+def ordered_string_agg(t):
+    rows = t.lineitem.withColumn(
+        "v", F.concat(F.nullif("l_returnflag", F.lit("N")), F.col("l_partkey").cast("string")))
+    return rows.groupBy("l_orderkey").agg(
+        ordered_join("v", ["l_linenumber", "l_partkey", "l_suppkey"], "; ").alias("lines"))
+
+
+@query("distinct_string_agg", """
+    select c_nationkey, string_agg(distinct nullif(c_mktsegment, 'MACHINERY'), ', ' order by nullif(c_mktsegment, 'MACHINERY')) as segments,
+      0 as part, (select string_agg(distinct c2.c_name, ', ' order by c2.c_name) from customer c2 where c2.c_nationkey = customer.c_nationkey) as names
+    from customer group by c_nationkey""")
+def distinct_string_agg(t):
+    small = t.customer.groupBy("c_nationkey").agg(
+        distinct_join(F.nullif("c_mktsegment", F.lit("MACHINERY"))).alias("segments"))
+    return small.join(list_parts(t.customer, ["c_nationkey"], "c_name", "names"), "c_nationkey")
+
+
+@query("distinct_array_agg", """
+    select o_custkey, array_to_string(coalesce(list_sort(list(distinct o_orderpriority) filter (where o_orderstatus = 'F')), []), ', ') as closed,
+      array_to_string(list_sort(list(distinct o_orderstatus)), ', ') as statuses from orders group by o_custkey""")
+def distinct_array_agg(t):
+    return t.orders.groupBy("o_custkey").agg(
+        distinct_array("o_orderpriority", F.col("o_orderstatus") == "F").alias("closed"),
+        distinct_array("o_orderstatus").alias("statuses"))
+
+
+@query("latest_value", """
+    select company, (array_agg(round_name order by round_date desc nulls last, id desc))[1] as latest_round,
+      (array_agg(round_amount_usd order by round_date desc nulls last, id desc))[1]::double as latest_amount,
+      (array_agg(url order by length(url), url))[1] as shortest_url from rounds group by company""")
+def latest_value(t):
+    return t.rounds.groupBy("company").agg(
+        latest_by("round_name", "round_date", "id").alias("latest_round"),
+        latest_by("round_amount_usd", "round_date", "id").alias("latest_amount"), shortest("url").alias("shortest_url"))
+
+
+@query("breakdown_text", """
+    with c as (select c_nationkey, o_orderpriority, count(distinct o_orderkey) as n from orders join customer on c_custkey = o_custkey group by 1, 2)
+    select c_nationkey, string_agg(o_orderpriority || ' ' || n::varchar, ', ' order by n desc, o_orderpriority) as split from c group by 1""")
+def breakdown_text_query(t):
+    rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return breakdown(rows, ["c_nationkey"], "o_orderpriority", "o_orderkey", "split")
+
+
+# --- previous companies ----------------------------------------------------------------------------------------
+
+def entity_names(t):
+    return employer_names(t.entities.select(F.col("name").alias("company"), "entity", F.col("status").alias("entity_status")))
+
+
+def mentions(t):
+    return company_mentions(decided(t, t.deals_full), entity_names(t))
+
+
+_MENTIONS = f"""
+    with r as (select * from deals_full where {DECIDED_CHECK}),
+    s as (select r.*, trim(x.c) as spelling from r, unnest(string_split(previous_company_worked_at, ',')) as x(c) where trim(x.c) <> ''),
+    n as (select lower(trim(name)) as k, entity, row_number() over (partition by lower(trim(name)) order by (status = 'verified') desc, entity) as i
+      from entities where entity is not null and status in ('verified', 'probable', 'unchecked')),
+    m as (select s.*, coalesce(n.entity, s.spelling) as company from s left join n on n.k = lower(s.spelling) and n.i = 1)"""
+
+
+@query("company_list", _MENTIONS + """,
+    st as (select company, coalesce(nullif(decision_to_pass_stage, 'NA'), 'Not set') as s, count(distinct id) as n from m group by 1, 2),
+    fs as (select company, coalesce(f3_classification, 'Unclassified') as f, count(distinct id) as n from m group by 1, 2)
+    select company, 0 as part, count(distinct id) as deals, count(distinct id) filter (where status = 'Pass') as passed,
+      count(distinct id) filter (where status = 'To be Passed') as to_be_passed,
+      count(distinct id) filter (where decision_to_pass_stage = 'Deck Scan') as stage_deck_scan,
+      count(distinct id) filter (where decision_to_pass_stage = 'First Call') as stage_first_call,
+      count(distinct id) filter (where decision_to_pass_stage = 'First Call + Data') as stage_first_call_data,
+      count(distinct id) filter (where decision_to_pass_stage = 'Multiple Calls') as stage_multiple_calls,
+      count(distinct id) filter (where decision_to_pass_stage in ('Diligence', 'Lot of Thinking', 'Calls across time period', 'Transaction')) as stage_diligence_or_later,
+      count(distinct id) filter (where decision_to_pass_stage is null or decision_to_pass_stage = 'NA') as stage_not_set,
+      (select string_agg(s || ' ' || n::varchar, ', ' order by n desc, s) from st where st.company = m.company) as pass_stages,
+      (select string_agg(f || ' ' || n::varchar, ', ' order by n desc, f) from fs where fs.company = m.company) as f3_split,
+      string_agg(distinct deal, ', ' order by deal) as deal_names, string_agg(distinct spelling, ', ' order by spelling) as spellings
+    from m group by company""")
+def company_list_query(t):
+    return company_list(mentions(t))
+
+
+@query("company_deals", _MENTIONS + f"""
+    select distinct company, deal, id as deal_id, status, coalesce(nullif(decision_to_pass_stage, 'NA'), 'Not set') as pass_stage,
+      f3_classification, {dt('meeting_date')} as meeting_date, {dt('created_time')} as created_date, url from m""")
+def company_deals_query(t):
+    return company_deals(mentions(t))
+
+
+# --- funding rounds --------------------------------------------------------------------------------------------
+
+def people_of(t):
+    """Founder data with the nested shape of its source."""
+    person = F.struct(F.col("person").alias("name"), "designation")
+    none = F.array().cast("array<string>")
+    return t.company_people.select(
+        "company", "found", F.when(F.col("person").isNotNull(), F.array(person, person)).alias("founders"),
+        F.when(F.col("previous").isNotNull(), F.array("previous")).otherwise(none).alias("prev_companies"),
+        none.alias("colleges"), "serial_founder", F.lit(None).cast("boolean").alias("prior_funded_founder"))
+
+
+def companies_of(t):
+    return company_rounds(t.rounds, people_of(t))
+
+
+ROUNDS_CHECK = """
+    a as (select company, max(pipeline_state) as state, max(founded_year) as founded_year, count(*) as rounds, sum(round_amount_usd) as total,
+      (array_agg(round_name order by round_date desc nulls last, id desc))[1] as latest_round, max(round_date) as latest_date,
+      (array_agg(round_amount_usd order by round_date desc nulls last, id desc))[1] as latest_usd from rounds group by company),
+    sec as (select company, list_sort(list(distinct x)) as v from (select company, unnest(sector) as x from rounds) group by company),
+    loc as (select company, list_sort(list(distinct x)) as v from (select company, unnest(location) as x from rounds) group by company),
+    lead as (select company, list_sort(list(distinct x)) as v from (select company, unnest(lead_investor) as x from rounds) where trim(x) <> '' group by company),
+    inv as (select company, list_sort(list(distinct x)) as v from (select company, unnest(round_investors) as x from rounds) where trim(x) <> '' group by company),
+    co as (select a.company, case when state = 'Missing' then 'Missed (never in our pipeline)' when state ilike '%pass%' then 'Seen and passed'
+        when state = 'Late' then 'Seen late' else coalesce(state, 'Unknown') end as our_status, state = 'Missing' as missed,
+      coalesce(list_has_any(sec.v, ['FinTech', 'Financial Services']), false) as is_fintech, array_to_string(sec.v, ', ') as sectors,
+      array_to_string(loc.v, ', ') as location, a.founded_year, year(latest_date) - a.founded_year as age_at_latest_round, rounds,
+      total as total_raised_usd, latest_round, latest_date, latest_usd, array_to_string(lead.v, ', ') as lead_investors,
+      array_to_string(inv.v, ', ') as all_investors, coalesce(len(inv.v), 0) as investor_count,
+      case when p.company is null then 'Not looked up yet' when not found then 'Not available' else 'On record' end as founder_data,
+      person || coalesce(' (' || designation || ')', '') || '; ' || person || coalesce(' (' || designation || ')', '') as founders,
+      coalesce(previous, case when found then 'Not recorded' end) as founder_previous_companies, serial_founder, inv.v as investor_list
+    from a left join sec using (company) left join loc using (company) left join lead using (company) left join inv using (company)
+      left join company_people p on p.company = a.company)"""
+
+
+@query("company_rounds", "with " + ROUNDS_CHECK.strip() + f"""
+    select company, our_status, missed::varchar as missed, is_fintech, sectors, location, founded_year::bigint as founded_year, age_at_latest_round::bigint as age_at_latest_round,
+      rounds, total_raised_usd::double as total_raised_usd, latest_round, {dt('latest_date')} as latest_round_date, latest_usd::double as latest_round_usd,
+      lead_investors, all_investors, investor_count::bigint as investor_count, founder_data, founders, founder_previous_companies,
+      serial_founder::varchar as serial_founder from co, (select 1 from rounds limit 1), (select 1 from company_people limit 1)""")
+def company_rounds_query(t):
+    out = companies_of(t).drop("investor_list", "founder_colleges", "prior_funded_founder")
+    return out.withColumn("missed", F.col("missed").cast("string")).withColumn(
+        "serial_founder", F.col("serial_founder").cast("string"))
+
+
+_SEGMENTS = "with " + ROUNDS_CHECK.strip() + """,
+    seen as (select unnest(investor_list) as i, company from co where not missed),
+    fl as (select co.*, case when missed then 'Missed' when our_status = 'Seen and passed' then our_status end as grp,
+      exists (select 1 from seen where list_contains(co.investor_list, seen.i) and seen.company <> co.company) as known from co
+      where case when missed then 'Missed' when our_status = 'Seen and passed' then our_status end is not null),
+    sg as (select 'Fintech' as segment, * from fl where is_fintech union all select 'All sectors', * from fl),
+    f as (select segment, grp, count(*)::double as n, round(avg(total_raised_usd) / 1e6, 2) as v2,
+      round(quantile_cont(latest_usd::double, 0.5) / 1e6, 2) as v3,
+      round(100.0 * count(*) filter (where latest_round ilike 'series a%') / count(*), 0) as v4,
+      round(100.0 * count(*) filter (where latest_round ilike '%seed%') / count(*), 0) as v5, round(avg(age_at_latest_round), 1) as v6,
+      round(100.0 * count(*) filter (where location ilike '%bengaluru%' or location ilike '%bangalore%') / count(*), 0) as v7,
+      round(100.0 * count(*) filter (where location ilike '%mumbai%') / count(*), 0) as v8,
+      round(100.0 * count(*) filter (where regexp_matches(location, '(?i)delhi|gurugram|gurgaon|noida')) / count(*), 0) as v9,
+      round(100.0 * count(*) filter (where not regexp_matches(location, '(?i)bengaluru|bangalore|mumbai|delhi|gurugram|gurgaon|noida')) / count(*), 0) as v10,
+      round(avg(investor_count), 1) as v11, round(100.0 * count(*) filter (where known) / count(*), 0) as v12,
+      round(100.0 * count(*) filter (where serial_founder) / nullif(count(*) filter (where serial_founder is not null), 0), 0) as v13
+      from sg group by 1, 2),
+    l as (select segment, grp, unnest([1,2,3,4,5,6,7,8,9,10,11,12,13]) as ord,
+      unnest([n, v2, v3, v4, v5, v6, v7, v8, v9, v10, v11, v12, v13]) as v from f),
+    names(ord, metric, digits, points) as (values (1, 'Companies', 0, false), (2, 'Average total raised (USD M)', 2, false),
+      (3, 'Median latest round (USD M)', 2, false), (4, 'Latest round is Series A (%)', 0, true), (5, 'Latest round is Seed (%)', 0, true),
+      (6, 'Average company age at latest round (years)', 1, false), (7, 'Based in Bengaluru (%)', 0, true), (8, 'Based in Mumbai (%)', 0, true),
+      (9, 'Based in Delhi region (%)', 0, true), (10, 'Based elsewhere (%)', 0, true), (11, 'Average number of investors', 1, false),
+      (12, 'Backed by an investor of another company we saw (share)', 0, false), (13, 'Has a serial founder (share of those with data)', 0, false)),
+    w as (select segment, ord, max(v) filter (where grp = 'Missed') as missed, max(v) filter (where grp <> 'Missed') as seen from l group by 1, 2),
+    k as (select w.*, metric, digits, points, case when w.ord = 1 or missed is null or seen is null then false
+      when points then abs(missed - seen) >= 8 else round(abs(missed - seen), 4) >= round(0.25 * greatest(abs(seen), 0.01), 4) end as key_difference,
+      case digits when 0 then missed::decimal(24,0)::varchar when 1 then missed::decimal(24,1)::varchar else missed::decimal(24,2)::varchar end
+        || case when points then '%' else '' end as mt,
+      case digits when 0 then seen::decimal(24,0)::varchar when 1 then seen::decimal(24,1)::varchar else seen::decimal(24,2)::varchar end
+        || case when points then '%' else '' end as st
+      from w join names using (ord))"""
+
+
+@query("segment_metrics", _SEGMENTS + """
+    select segment, ord, metric, missed, seen, round(missed - seen, 2) as difference, key_difference,
+      case when ord = 1 then 'Never seen: ' || mt || '; seen and passed: ' || st || '.'
+        when missed is null or seen is null then 'Not enough data to compare.'
+        else regexp_replace(metric, ' \\(.*\\)$', '') || ': ' || mt || ' for missed and ' || st || ' for seen companies'
+          || case when key_difference then ', a key difference.' else ', about the same.' end end as reading
+    from k, (select 1 from rounds limit 1), (select 1 from company_people limit 1)""")
+def segment_metrics(t):
+    return segment_compare(companies_of(t))
+
+
+@query("missed_investors", "with " + ROUNDS_CHECK.strip() + """,
+    x as (select distinct case when is_fintech then 'Fintech' else 'Other' end as segment, unnest(investor_list) as investor, company from co where missed),
+    s as (select distinct unnest(investor_list) as investor from co where not missed)
+    select segment, x.investor, 0 as part, count(*) as missed_companies, string_agg(company, ', ' order by company) as companies,
+      bool_or(s.investor is not null) as also_backed_seen from x left join s on s.investor = x.investor,
+      (select 1 from rounds limit 1), (select 1 from company_people limit 1) group by 1, 2""")
+def missed_investors_query(t):
+    return missed_investors(companies_of(t))
+
+
+# --- reports ---------------------------------------------------------------------------------------------------
+
+@query("report_struct", """
+    select (select count(*) from orders) as orders, (select max(o_orderdate)::date::varchar from orders) as last_order,
+      (select string_agg(p || '=' || n::varchar, ', ' order by p) from (select o_orderpriority as p, count(*) as n from orders group by 1)) as by_priority,
+      (select string_agg(r_name, ', ' order by r_name desc) from region) as regions""")
+def report_struct(t):
+    counts = t.orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    by_priority = counts.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("o_orderpriority", "n")))).alias("m"))
+    regions = t.region.agg(F.sort_array(F.collect_list("r_name"), asc=False).alias("x")).scalar()
+    report = t.orders.agg(
+        F.count(F.lit(1)).alias("orders"), F.max("o_orderdate").cast("date").alias("last_order")).select(
+        F.struct("orders", "last_order", by_priority.scalar().alias("by_priority"), regions.alias("regions")).alias("report"))
+    entries = F.transform(F.map_entries("report.by_priority"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return report.select("report.orders", "report.last_order", entries.alias("by_priority"), "report.regions")
+
+
+@query("evidence_groups", f"""
+    with h as (select d.id as deal_id, d.deal, d.status, d.meeting_date, h.founder, h.company, h.role from founder_history h join deals d on d.id = h.deal_id)
+    select deal_id, lower(split_part(regexp_replace(founder, '(?i)^(dr|mr|ms)\\.?\\s+', ''), ' ', 1)) as person, max(founder) as founder,
+      string_agg(distinct deal, ', ' order by deal) as startup, string_agg(distinct company, ', ' order by company) as employer,
+      coalesce(string_agg(distinct role, '; ' order by role) filter (where role is not null and role <> ''), 'Role not recorded') as role,
+      string_agg(distinct status, ', ' order by status) as status, strftime(max(meeting_date), '%d %b %Y') as we_met from h group by 1, 2""")
+def evidence_groups_query(t):
+    d = t.deals.select(F.col("id").alias("deal_id"), "deal", "status", "meeting_date")
+    hits = t.founder_history.join(d, "deal_id").select(
+        "deal_id", "deal", "status", "meeting_date", "founder", F.col("company").alias("employer"), "role",
+        F.lit(None).cast("string").alias("linkedin_url"), F.lit("Call notes").alias("recorded_in"))
+    return evidence_groups(hits).drop("met_on", "linkedin_url", "recorded_in")

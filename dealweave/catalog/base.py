@@ -65,14 +65,13 @@ def _with_adapters(sql: str) -> str:
     """Check SQL with the adapter views it names put in front."""
     ordered: list[str] = []
 
-    def need(text: str) -> None:
-        for name in ADAPTERS:
-            if name not in ordered and re.search(rf"\b{name}\b", text):
-                need(ADAPTERS[name])
-                if name not in ordered:
-                    ordered.append(name)
-
-    need(sql)
+    def need(names: list[str]) -> None:
+        for name in names:
+            if name in ADAPTERS and name not in ordered:
+                need(re.findall(r"\{(\w+)\}", ADAPTERS[name]))
+                ordered.append(name)
+
+    need(re.findall(r"\b(?:from|join)\s+(\w+)", sql))
     views = [f"{name} as ({_dialect(_plain_text(ADAPTERS[name]), _DUCKDB)})" for name in ordered]
     body = sql.strip()
     if not views:
