@@ -36,7 +36,7 @@ ADAPTERS: dict[str, str] = {
     # The flat snapshot: one row per customer with four founder slots.
     "snapshot": """
         select 'c-' || cast(c_custkey as STRING) as id, 'https://snap.example/' || cast(c_custkey as STRING) as url,
-          c_name || ' Inc' as deal, case when c_acctbal > 0 then 'Pass' else 'To be Passed' end as status,
+          case when c_mktsegment = 'AUTOMOBILE' and c_acctbal > 3000 then 'Solo ' || c_name else c_name || ' Inc' end as deal, case when c_acctbal > 0 then 'Pass' else 'To be Passed' end as status,
           nullif(c_mktsegment, 'FURNITURE') as f3_classification,
           case when c_acctbal > 1000 then ARR(c_mktsegment) end as sectors,
           case when c_acctbal > 2000 then ARR('Referral') end as source,

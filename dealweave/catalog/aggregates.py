@@ -12,6 +12,7 @@ from dealweave.plans.companies import (
     company_deals, company_list, company_mentions, company_rounds, missed_investors, segment_compare)
 from dealweave.plans.employers import employer_names
 from dealweave.plans.worked_at import evidence_groups
+from dealweave.session import materialised
 
 
 @query("filtered_counts", """
@@ -146,6 +147,11 @@ def companies_of(t):
     return company_rounds(t.rounds, people_of(t))
 
 
+def stored_companies(t):
+    """The companies as a written table: the comparisons below read them several times."""
+    return materialised(companies_of(t))
+
+
 ROUNDS_CHECK = """
     a as (select company, max(pipeline_state) as state, max(founded_year) as founded_year, count(*) as rounds, sum(round_amount_usd) as total,
       (array_agg(round_name order by round_date desc nulls last, id desc))[1] as latest_round, max(round_date) as latest_date,
@@ -220,7 +226,7 @@ _SEGMENTS = "with " + ROUNDS_CHECK.strip() + """,
           || case when key_difference then ', a key difference.' else ', about the same.' end end as reading
     from k, (select 1 from rounds limit 1), (select 1 from company_people limit 1)""")
 def segment_metrics(t):
-    return segment_compare(companies_of(t))
+    return segment_compare(stored_companies(t))
 
 
 @query("missed_investors", "with " + ROUNDS_CHECK.strip() + """,
@@ -230,7 +236,7 @@ def segment_metrics(t):
       bool_or(s.investor is not null) as also_backed_seen from x left join s on s.investor = x.investor,
       (select 1 from rounds limit 1), (select 1 from company_people limit 1) group by 1, 2""")
 def missed_investors_query(t):
-    return missed_investors(companies_of(t))
+    return missed_investors(stored_companies(t))
 
 
 # --- reports ---------------------------------------------------------------------------------------------------

@@ -76,7 +76,7 @@ def _with_adapters(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
-    if body.lower().startswith("with "):
+    if re.match(r"with\s", body):
         return f"with {', '.join(views)}, {body[5:]}"
     return f"with {', '.join(views)} {body}"
 

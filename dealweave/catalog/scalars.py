@@ -92,7 +92,7 @@ def date_functions(t):
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice::decimal(18,2), 1)::double as rounded,
       abs(l_discount - l_tax) as gap, least(greatest(l_quantity, 5), 40) as clamped,
       round((100 * l_discount)::decimal(18,2) / nullif(l_tax, 0)::decimal(18,2), 4)::double as percent,
-      round(l_extendedprice / 1e6, 6) as millions, 1.3 / (60 + l_linenumber) + 1.0 / (60 + l_quantity) as score
+      l_extendedprice / 1000000 as millions, 1.3 / (60 + l_linenumber) + 1.0 / (60 + l_quantity) as score
     from lineitem""")
 def math_functions(t):
     return t.lineitem.select(
@@ -101,7 +101,7 @@ def math_functions(t):
         F.abs(F.col("l_discount") - F.col("l_tax")).alias("gap"),
         F.least(F.greatest("l_quantity", F.lit(5.0)), F.lit(40.0)).alias("clamped"),
         F.round((F.col("l_discount") * 100).cast("decimal(18,2)") / F.nullif("l_tax", F.lit(0.0)).cast("decimal(18,2)"), 4).alias("percent"),
-        F.round(F.col("l_extendedprice") / 1e6, 6).alias("millions"),
+        (F.col("l_extendedprice") / 1_000_000).alias("millions"),
         (F.lit(1.3) / (F.col("l_linenumber") + 60.0) + F.lit(1.0) / (F.col("l_quantity") + 60.0)).alias("score"))
 
 
