@@ -258,19 +258,24 @@ def freshness(runs: DataFrame, pipeline: DataFrame, decided: DataFrame, content:
     return base.select("*", *[value.alias(name) for name, value in counts.items()])
 
 
-def memory_report(rules: DataFrame, insights: DataFrame, feedback: DataFrame, runs: DataFrame) -> DataFrame:
-    """Everything learned as one nested row: rules, insights and examples, newest first, votes and last runs."""
-    def listed(df: DataFrame, *fields: str) -> Column:
-        rows = df.agg(F.sort_array(F.collect_list(F.struct("created_at", "id", *fields)), asc=False).alias("x"))
-        return rows.scalar()
-
-    votes = feedback.agg(F.struct(
-        F.count_if(F.col("rating") == 1).alias("up"), F.count_if(F.col("rating") == -1).alias("down")).alias("v")).scalar()
+def memory_report(rules: DataFrame, insights: DataFrame, feedback: DataFrame) -> DataFrame:
+    """Everything learned, newest first within its section; rows rather than one nested value, as it only grows."""
+    parts = [
+        ("rule", rules, "rule", F.col("source"), F.col("active")),
+        ("insight", insights, "title", F.col("evidence"), F.col("active")),
+        ("example", feedback.filter(F.col("rating") == 1), "question", F.lit(None).cast("string"), F.lit(True)),
+    ]
+    rows = [
+        df.select(F.lit(section).alias("section"), F.col("id").cast("bigint").alias("id"), "created_at",
+                  F.col(title).alias("title"), detail.alias("detail"), active.alias("active"))
+        for section, df, title, detail, active in parts]
+    return reduce(DataFrame.unionByName, rows).orderBy("section", newest("created_at"), newest("id"))
+
+
+def memory_summary(feedback: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row: votes and the last run of every source (the sources are few)."""
     last = last_runs(runs).agg(F.sort_array(F.collect_list(F.struct(
         "source", F.col("finished_at").alias("at"), "ok", "rows_synced", F.col("error").alias("note")))).alias("x")).scalar()
-    one = rules.sparkSession.range(1)
-    return one.select(
-        listed(rules, "rule", "active", "source").alias("rules"),
-        listed(insights, "title", "insight", "evidence", "active").alias("insights"),
-        listed(feedback.filter(F.col("rating") == 1), "question").alias("examples"),
-        votes.alias("feedback"), last.alias("last_sync"))
+    votes = feedback.agg(
+        _int(F.count_if(F.col("rating") == 1), "up"), _int(F.count_if(F.col("rating") == -1), "down"))
+    return votes.withColumn("last_sync", last)
