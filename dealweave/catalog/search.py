@@ -9,6 +9,7 @@ from dealweave.catalog.rowsets import as_of
 from dealweave.functions.hashing import request_key
 from dealweave.operators.chunks import chunk_documents
 from dealweave.operators.postings import keyword_search, postings, query_terms, term_df
+from dealweave.operators.rows import spread
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.answers import (
     bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, mentioned_names, source_links,
@@ -34,17 +35,17 @@ _VECTORS = """
 
 @query("chunk_documents")
 def chunk_documents_query(t):
-    return chunk_documents(t.documents, "doc_id", "text", 1600)
+    return chunk_documents(spread(t.documents), "doc_id", "text", 1600)
 
 
 @query("term_df", f"with {_POSTINGS.strip()} select term, ndoc from freq where ndoc >= 200")
 def term_df_query(t):
-    return term_df(postings(t.docs, "id", "body"))
+    return term_df(postings(spread(t.docs), "id", "body"))
 
 
 @query("keyword_search", f"with {_KEYWORDS.strip()} select query_id, id, keyword_score, rank from kr where rank <= 60")
 def keyword_search_query(t):
-    posts = postings(t.docs, "id", "body")
+    posts = postings(spread(t.docs), "id", "body")
     terms = query_terms(t.asked, "query_id", "text", term_df(posts, MAX_DF), MAX_DF)
     return keyword_search(terms, posts, 60)
 
@@ -64,7 +65,7 @@ def vector_top_k_query(t):
     select query_id, r.id, position, score, round(similarity, 6) as similarity, d.kind, d.title, substr(d.body, 1, 900) as snippet
     from r join docs d on d.id = r.id where position <= 10""")
 def hybrid_search_query(t):
-    posts = postings(t.docs, "id", "body")
+    posts = postings(spread(t.docs), "id", "body")
     found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 10, max_df=MAX_DF)
     return found.select("query_id", "id", "position", "score", F.round("similarity", 6).alias("similarity"), "kind", "title", "snippet")
 
@@ -87,7 +88,7 @@ def hybrid_search_query(t):
     r as (select *, row_number() over (partition by query_id order by score desc, id) as position from f)
     select query_id, id, position, score from r where position <= 5""")
 def filtered_search_query(t):
-    posts = postings(t.docs, "id", "body")
+    posts = postings(spread(t.docs), "id", "body")
     found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 5, ["src1", "src2", "src3", "src4"],
                           {"lang": "en"}, max_df=MAX_DF)
     return found.select("query_id", "id", "position", "score")
@@ -130,7 +131,7 @@ def similar_items_query(t):
       from hr join docs d on d.id = hr.id where position <= 8 group by 1)
     select a.query_id, memory, hits, rules from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id, rl""")
 def memory_context_query(t):
-    posts = postings(t.docs, "id", "body")
+    posts = postings(spread(t.docs), "id", "body")
     found = memory_context(
         t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), t.rules, hit_kinds=["src3", "src4", "src5", "src6"],
         memory_kinds=["src0", "src1", "src2"], min_similarity=0.2, max_df=MAX_DF)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, oldest
-from dealweave.functions.text import name_key, split_parts
+from dealweave.functions.text import LIST_SEPARATOR, name_key
 from dealweave.operators.rows import first_per_group
 
 #: Patterns up to this number become literals of one projection; more of them are joined in packs.
@@ -208,8 +208,8 @@ def join_first(left: DataFrame, right: DataFrame, on: str, order: Sequence[Colum
 
 def explode_split(df: DataFrame, text: str, out: str, separator: str | None = None) -> DataFrame:
     """One row per non-blank part of a delimited text."""
-    parts = split_parts(text, separator) if separator else split_parts(text)
-    return df.withColumn(out, F.explode(parts))
+    parts = F.split(F.coalesce(text, F.lit("")), separator or LIST_SEPARATOR)
+    return df.withColumn(out, F.explode(parts)).withColumn(out, F.trim(out)).filter(F.col(out) != "")
 
 
 def explode_array(df: DataFrame, array: str | Column, out: str, mode: str = "inner",

@@ -65,3 +65,13 @@ def with_group_value(df: DataFrame, keys: Sequence[str], **aggregates: Column) -
     totals = totals.select(*[F.col(k).alias(m) for k, m in zip(keys, marked)], *aggregates)
     condition = [F.col(k).eqNullSafe(F.col(m)) for k, m in zip(keys, marked)]
     return df.join(totals, condition, "left").drop(*marked)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Plain scan spread over the cluster when its files split into fewer tasks than there are cores.
+
+    For work that costs far more than reading, such as taking texts apart. Large inputs have tasks enough and are
+    returned as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, oldest
-from dealweave.functions.text import name_key, split_parts
-from dealweave.operators.joins import alias_map, canonical_name, nearest_match, with_exists, with_in_flag
+from dealweave.functions.text import name_key
+from dealweave.operators.joins import alias_map, canonical_name, explode_split, nearest_match, with_exists, with_in_flag
 from dealweave.operators.lists import distinct_array, ordered_join
 from dealweave.operators.rows import first_per_group
 from dealweave.plans.model import Model
@@ -36,19 +36,17 @@ def employer_mentions(pipeline: DataFrame, model: Model) -> DataFrame:
     text = F.coalesce(
         F.nullif("previous_company_worked_at", F.lit("")), F.nullif("previous_company", F.lit("")))
     no_text = F.lit(None).cast("string")
-    from_deals = pipeline.select(
+    from_deals = explode_split(pipeline.withColumn("_text", text), "_text", "spelling").select(
         F.col("id").alias("pipeline_id"), no_text.alias("model_id"), F.concat(F.lit("deal:"), "id").alias("founder_key"),
         F.col("founder_name").alias("founder"), F.nullif("founder_linkedin", F.lit("")).alias("linkedin_url"),
-        F.explode(split_parts(text)).alias("spelling"), no_text.alias("title"),
-        F.lit(VIA_DEAL_FIELD).alias("via"), F.lit(3).alias("priority"))
+        "spelling", no_text.alias("title"), F.lit(VIA_DEAL_FIELD).alias("via"), F.lit(3).alias("priority"))
     people = (
         model.deal_founders.join(model.founders.withColumnRenamed("key", "founder_key"), "founder_key")
         .withColumnRenamed("deal_id", "model_id").join(links, "model_id", "left")
     )
     shared = ["pipeline_id", "model_id", "founder_key", F.col("name").alias("founder"), "linkedin_url"]
-    from_founders = people.select(
-        *shared, F.explode(split_parts("previous_company_raw")).alias("spelling"), no_text.alias("title"),
-        F.lit(VIA_FOUNDER_FIELD).alias("via"), F.lit(2).alias("priority"))
+    from_founders = explode_split(people, "previous_company_raw", "spelling").select(
+        *shared, "spelling", no_text.alias("title"), F.lit(VIA_FOUNDER_FIELD).alias("via"), F.lit(2).alias("priority"))
     from_careers = people.join(model.roles, "founder_key").select(
         *shared, F.col("company").alias("spelling"), "title", F.lit(VIA_PROFILE).alias("via"),
         F.lit(1).alias("priority"))
