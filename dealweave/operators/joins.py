@@ -89,8 +89,8 @@ def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern
     """One row per text and matching pattern (case ignored, ``.`` matches line breaks), adding column ``name``.
 
     The pattern side is looked at first, never more than ``max_literals + 1`` rows of it. A short list becomes
-    compiled literals of a single pass over the texts. A longer one is packed into arrays that are joined on a pack
-    number, so no task holds more than one pack and no Cartesian product is planned.
+    compiled literals of a single pass over the texts. A longer one is packed into arrays of bounded size, and texts
+    spread over slots meet every pack once: no task holds more than one pack, no Cartesian product is planned.
     """
     usable = valid_patterns(patterns.select(name, pattern).filter(F.col(pattern).isNotNull()), pattern)
     head = usable.limit(max_literals + 1).collect()
@@ -101,14 +101,16 @@ def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern
         return df.withColumn(name, F.explode(F.array_compact(F.array(*hits))))
     count = usable.count()
     packs = -(-count // PATTERN_PACK)
-    packed = (
-        usable.withColumn("_pack", F.pmod(F.xxhash64(pattern, name), F.lit(packs)).cast("int"))
-        .groupBy("_pack").agg(F.collect_list(F.struct(F.col(name).alias("n"), F.col(pattern).alias("p"))).alias("_ps"))
-    )
-    spread = df.withColumn("_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    found = F.filter("_ps", lambda x: F.col(text).rlike(F.concat(F.lit("(?is)"), x["p"])))
-    matched = spread.join(packed, "_pack").withColumn("_hit", F.explode(found))
-    return matched.withColumn(name, F.col("_hit.n")).drop("_pack", "_ps", "_hit")
+    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    pack_of = F.pmod(F.xxhash64(pattern, name), F.lit(packs)).cast("int")
+    packed = usable.withColumn("_pack", pack_of).groupBy("_pack").agg(
+        F.collect_list(F.struct(F.col(name).alias("n"), F.col(pattern).alias("p"))).alias("_ps"))
+    packed = packed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+    placed = df.withColumn("_slot", F.pmod(F.xxhash64(text), F.lit(slots)).cast("int")).withColumn(
+        "_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
+    found = F.filter("_ps", lambda x: F.regexp_like(F.col(text), F.concat(F.lit("(?is)"), x["p"])))
+    matched = placed.join(packed, ["_pack", "_slot"]).withColumn("_hit", F.explode(found))
+    return matched.withColumn(name, F.col("_hit.n")).drop("_pack", "_slot", "_ps", "_hit")
 
 
 # --- nearest date ----------------------------------------------------------------------------------------------

@@ -40,7 +40,8 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str =
         F.col(item_id).alias("id"), F.col(item_vector).cast("array<double>").alias("v"))
     head = q.limit(max_broadcast + 1).toArrow()
     if head.num_rows <= max_broadcast:
-        shipped = q.sparkSession.sparkContext.broadcast((head.column("query_id").to_pylist(), _matrix(head.column("v"))))
+        ids = head.column("query_id")
+        shipped = q.sparkSession.sparkContext.broadcast((ids.type, ids.to_pylist(), _matrix(head.column("v"))))
         best = items.mapInArrow(_search_blocks(shipped, k, exclude_self), schema)
     else:
         best = _search_packs(q, items, k, exclude_self, schema)
@@ -81,18 +82,18 @@ def _best_of_block(q_ids, q_matrix, ids, matrix, k, exclude_self):
 
 def _search_blocks(shipped, k: int, exclude_self: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q_matrix = shipped.value
+        q_type, q_ids, q_matrix = shipped.value
         for batch in batches:
             if batch.num_rows == 0 or not q_ids:
                 continue
             ids = batch.column("id").to_pylist()
             rows, cols, score = _best_of_block(q_ids, q_matrix, ids, _matrix(batch.column("v")), k, exclude_self)
-            yield _result(batch.schema.field("id").type, q_ids, ids, rows, cols, score)
+            yield _result(q_type, batch.schema.field("id").type, q_ids, ids, rows, cols, score)
 
     return search
 
 
-def _result(id_type, q_ids, ids, rows, cols, score, q_type=None):
+def _result(q_type, id_type, q_ids, ids, rows, cols, score):
     return pa.RecordBatch.from_arrays(
         [pa.array([q_ids[i] for i in rows], type=q_type), pa.array([ids[i] for i in cols], type=id_type),
          pa.array(score, type=pa.float64())],
@@ -116,7 +117,8 @@ def _search_packs(q: DataFrame, items: DataFrame, k: int, exclude_self: bool, sc
                 q_matrix = _matrix(batch.column("q_vs")[row].values)
                 matrix = _matrix(batch.column("i_vs")[row].values)
                 found = _best_of_block(q_ids, q_matrix, ids, matrix, k, exclude_self)
-                yield _result(batch.schema.field("i_ids").type.value_type, q_ids, ids, *found)
+                q_type, id_type = (batch.schema.field(c).type.value_type for c in ("q_ids", "i_ids"))
+                yield _result(q_type, id_type, q_ids, ids, *found)
 
     return pairs.mapInArrow(search, schema)
 
