@@ -76,6 +76,8 @@ def _with_adapters(sql: str) -> str:
     body = sql.strip()
     if not views:
         return body
+    if re.match(r"with\s+recursive\s", body):
+        return f"with recursive {', '.join(views)}, {body[14:]}"
     if re.match(r"with\s", body):
         return f"with {', '.join(views)}, {body[5:]}"
     return f"with {', '.join(views)} {body}"
@@ -142,3 +144,29 @@ def parts_of(expr: str, separator: str = r"\s*[,;\n]\s*") -> str:
     """DuckDB list of the trimmed, non-blank parts of a text."""
     return (f"list_filter(list_transform(string_split_regex(coalesce({expr}, ''), '{separator}'), "
             f"lambda x: trim(x)), lambda x: x <> '')")
+
+
+def chunks_of(source: str) -> str:
+    """DuckDB recursive steps cutting the texts of ``source`` (id, txt, size): the views up to ``cut`` (id, part, chunk,
+    parts). Each step either writes one part or takes in one line."""
+    piece = r"""coalesce(nullif(regexp_extract(left(s.rest, s.size), '(?s)^(.*[.!?])\s', 1), ''),
+      nullif(regexp_extract(left(s.rest, s.size), '(?s)^(.*)\s', 1), ''), left(s.rest, s.size))"""
+    return f"""
+    src as ({source}),
+    ln as (select id, size, i, trim(l) as line from src, unnest(string_split(txt, chr(10))) with ordinality as x(l, i) where trim(l) <> ''),
+    nl as (select id, size, row_number() over (partition by id order by i) as i, line from ln),
+    st as (
+      select id, size, 1::bigint as i, line as rest, '' as buf, 0 as part, null::varchar as chunk from nl where i = 1
+      union all
+      select id, size, case when goes_on then i + 1 else i end, case when goes_on then following else rest end, buf, case when chunk is null then part else part + 1 end, chunk
+      from (
+        select s.id, s.size, s.i, s.part, n.line as following,
+          case when s.rest is null then s.buf when length(s.rest) > s.size then case when s.buf <> '' then s.buf else {piece} end
+            when s.buf <> '' and length(s.buf) + length(s.rest) + 1 > s.size then s.buf end as chunk,
+          case when s.rest is null or length(s.rest) > s.size or (s.buf <> '' and length(s.buf) + length(s.rest) + 1 > s.size) then ''
+            when s.buf = '' then s.rest else s.buf || chr(10) || s.rest end as buf,
+          case when length(s.rest) > s.size and s.buf = '' then trim(substr(s.rest, length({piece}) + 1)) else s.rest end as rest,
+          case when s.rest is null then false when length(s.rest) > s.size then s.buf = '' and trim(substr(s.rest, length({piece}) + 1)) = ''
+            else not (s.buf <> '' and length(s.buf) + length(s.rest) + 1 > s.size) end as goes_on
+        from st s left join nl n on n.id = s.id and n.i = s.i + 1 where s.rest is not null or s.buf <> '') z),
+    cut as (select id, part, chunk, max(part) over (partition by id) as parts from st where chunk is not null)"""

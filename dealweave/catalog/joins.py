@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealweave.catalog.base import nk, parts_of, query
+from dealweave.catalog.base import chunks_of, nk, parts_of, query
 from dealweave.catalog.rowsets import DECIDED_CHECK, decided
 from dealweave.functions.order import newest, oldest
 from dealweave.operators.chunks import register_text_chunks
@@ -219,7 +219,8 @@ def lateral_first(t):
     return join_first(t.customer.select("c_custkey"), orders, "c_custkey", [oldest("first_order")])
 
 
-@query("lateral_function")
+@query("lateral_function", f"with recursive {chunks_of('select doc_id as id, text as txt, 1600 as size from documents').strip()}" + """
+    select id as doc_id, part::bigint as part, chunk, parts::bigint as parts from cut""")
 def lateral_function(t):
     register_text_chunks(t.spark)
     return t.spark.sql(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealweave.catalog.base import query
+from dealweave.catalog.base import chunks_of, query
 from dealweave.catalog.rowsets import as_of
 from dealweave.functions.hashing import request_key
 from dealweave.operators.chunks import chunk_documents
@@ -33,7 +33,8 @@ _VECTORS = """
     vr as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from sims)"""
 
 
-@query("chunk_documents")
+@query("chunk_documents", f"with recursive {chunks_of('select doc_id as id, text as txt, 1600 as size from documents').strip()}" + """
+    select id as doc_id, part::bigint as part, chunk, parts::bigint as parts from cut""")
 def chunk_documents_query(t):
     return chunk_documents(spread(t.documents), "doc_id", "text", 1600)
 
@@ -143,7 +144,9 @@ def memory_context_query(t):
 
 # --- embeddings ------------------------------------------------------------------------------------------------
 
-@query("embed_pending")
+@query("embed_pending", """
+    select 'doc' || doc_id::varchar as id, source as kind, 64::bigint as dimensions,
+      case when doc_id in (select vec_id from embeddings) then '2024-01-01 00:00:00' else '2024-01-31 00:00:00' end as embedded_at from documents""")
 def embed_pending_query(t):
     held = t.vecs.select("id", "embedding")
     docs = t.docs.join(held, "id", "left").withColumn(
@@ -213,14 +216,17 @@ def bold_names_query(t):
     return bold_names(answers_of(t))
 
 
-@query("grounding_check", f"with {_ANSWERS.strip()}" + r""",
+_UNGROUNDED = f"with {_ANSWERS.strip()}" + r""",
     f as (select * from n where length(name) >= 3 and not regexp_matches(name, '\d') and not regexp_matches(name, '[:?]$')
       and not regexp_matches(name, '(?i)^(scope|takeaway|corrected|note|part|total|all|none|not set|yes|no)\b')
       and not (regexp_matches(name, '(?i)\b(companies|deals|founders|investors|startups|rounds|teams|sectors|missed|passed|funded|pattern|patterns|why|who|how many)\b')
         and len(string_split(name, ' ')) > 2)),
-    k as (select *, trim(regexp_replace(lower(name), '\s*\(.*?\)\s*', ' ', 'g')) as key from f)
-    select conv_id::varchar || '-' || turn::varchar as answer_id, name from k
-    where not exists (select 1 from conversations c where c.conv_id = k.conv_id and c.role = 'user' and contains(lower(c.text), key))""")
+    k as (select *, trim(regexp_replace(lower(name), '\s*\(.*?\)\s*', ' ', 'g')) as key from f),
+    u as (select conv_id, turn, name from k
+      where not exists (select 1 from conversations c where c.conv_id = k.conv_id and c.role = 'user' and contains(lower(c.text), key)))"""
+
+
+@query("grounding_check", _UNGROUNDED + " select conv_id::varchar || '-' || turn::varchar as answer_id, name from u")
 def grounding_check(t):
     """Evidence of an answer: what the user said in the same conversation."""
     answers = answers_of(t)
@@ -229,7 +235,10 @@ def grounding_check(t):
     return ungrounded_names(answers, evidence)
 
 
-@query("grounding_cleanup")
+@query("grounding_cleanup", _UNGROUNDED + r"""
+    select b.answer_id::varchar || '-' || b.turn::varchar as answer_id, array_to_string(list_filter(string_split(b.answer, chr(10)),
+        lambda l: len(list_filter(coalesce(g.bad, []), lambda n: contains(l, n))) = 0), chr(10)) as answer, coalesce(len(g.bad), 0)::bigint as removed_names
+    from a b left join (select conv_id, turn, list(distinct name) as bad from u group by 1, 2) g on g.conv_id = b.answer_id and g.turn = b.turn""")
 def grounding_cleanup(t):
     answers = answers_of(t)
     said = t.conversations.filter("role = 'user'").select("conv_id", "text")

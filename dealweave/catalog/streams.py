@@ -41,7 +41,8 @@ def stream_doc_merge(t):
         "id", "kind", "content_hash", F.coalesce("v", F.lit(False)).alias("has_vector"))
 
 
-@query("stream_embed_pending")
+@query("stream_embed_pending", """
+    select 'doc' || doc_id::varchar as id, source as kind, 64::bigint as dimensions, '2024-01-31 00:00:00' as embedded_at from documents""")
 def stream_embed_pending(t):
     docs = streamed(t, "documents").docs.select(
         "id", "kind", "title", "body", F.lit(None).cast("array<float>").alias("embedding"), F.lit(None).cast("timestamp").alias("embedded_at"))
