@@ -20,7 +20,6 @@ from dealweave.operators.rows import first_per_group
 from dealweave.plans.employers import UNRESOLVED
 
 COLUMNS = ("id", "kind", "title", "body", "metadata")
-NO_LIST = "array<string>"
 
 # Kinds of documents that people add and that a rebuild never deletes.
 LEARNED_KINDS = ("insight", "answer_example")
@@ -68,6 +67,12 @@ def _tail(label: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(label), value), F.lit(""))
 
 
+def _part_id(key: str | Column) -> Column:
+    """Id of a record's document; the second and later parts of an oversized one are numbered."""
+    part = F.coalesce("part", F.lit(0))
+    return F.concat(_text(key), F.when(part > 0, F.concat(F.lit("#"), _text(part))).otherwise(""))
+
+
 def founder_texts(model, career: DataFrame, compat_fanout: bool = False) -> DataFrame:
     """Per model deal the founders with their careers as text, and all their employers.
 
@@ -230,8 +235,7 @@ def founder_documents(model, career: DataFrame, part_items: int = PART_ITEMS) ->
     metadata = compact_json(
         name=F.col("name"), linkedin=F.col("linkedin_url"), companies=F.col("companies"),
         deals=F.split("deals", "\n"), sectors=F.col("sectors"), statuses=F.col("statuses"))
-    key = F.concat("founder_key", F.when(F.col("part") > 0, F.concat(F.lit("#"), _text("part"))).otherwise(""))
-    return _document(f, "founder:", key, "founder", F.col("name"), body, metadata)
+    return _document(f, "founder:", _part_id("founder_key"), "founder", F.col("name"), body, metadata)
 
 
 def alumni_documents(patterns: DataFrame, facts: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
@@ -259,9 +263,7 @@ def alumni_documents(patterns: DataFrame, facts: DataFrame, part_items: int = PA
         F.lit(" to be passed.\nStartups: "), F.coalesce("names", F.lit("")))
     metadata = compact_json(
         company=F.col("company"), founders=F.col("founders"), startups=F.col("startups"), sectors=F.col("sector_map"))
-    part = F.coalesce("part", F.lit(0))
-    key = F.concat(F.md5("company"), F.when(part > 0, F.concat(F.lit("#"), _text(part))).otherwise(""))
-    return _document(a, "alumni:", key, "alumni_pattern", F.concat("company", F.lit(" alumni")), body, metadata)
+    return _document(a, "alumni:", _part_id(F.md5("company")), "alumni_pattern", F.concat("company", F.lit(" alumni")), body, metadata)
 
 
 def round_documents(rounds: DataFrame, universe: DataFrame, missing_like: str = "missing%") -> DataFrame:
@@ -360,11 +362,11 @@ def investor_mix_documents(investor_mix: DataFrame) -> DataFrame:
         b, "f3inv:", "id", "investor_f3_breakup", F.concat("company_name", F.lit(" — F3 mix")), body, metadata)
 
 
-def lead_documents(leads: DataFrame, history: DataFrame) -> DataFrame:
-    """Tracked leads with what the notes say about the founders."""
+def lead_documents(leads: DataFrame, history: DataFrame, part_items: int = PART_ITEMS) -> DataFrame:
+    """Tracked leads with what the notes say about the founders; an oversized history goes into several documents."""
     entry = F.concat("founder", F.lit(" — "), "company", F.coalesce(F.concat(F.lit(" ("), "role", F.lit(")")), F.lit("")))
-    told = history.select(F.col("deal_id").alias("id"), entry.alias("_e")).filter(F.col("_e").isNotNull()).distinct() \
-        .groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("_e")), "; ").alias("_history"))
+    told = list_parts(
+        history.select(F.col("deal_id").alias("id"), entry.alias("_e")), ["id"], "_e", "_history", "; ", part_items)
     item = leads.filter(F.col("company_name").isNotNull()).join(told, "id", "left")
     body = labelled_lines(
         ("Lead: ", F.col("company_name")), ("Lead status: ", F.col("status")), ("Priority: ", F.col("priority")),
@@ -377,7 +379,7 @@ def lead_documents(leads: DataFrame, history: DataFrame) -> DataFrame:
         status=F.concat(F.lit("Lead – "), F.coalesce("status", F.lit("no status"))), lead_status=F.col("status"),
         created=_text("created_date"), linkedin=F.col("linkedin_url"), pipeline_links=F.col("deal_pipeline_mapping"),
         url=F.col("url"))
-    return _document(item, "lead:", "id", "lead", F.col("company_name"), body, metadata)
+    return _document(item, "lead:", _part_id("id"), "lead", F.col("company_name"), body, metadata)
 
 
 def build_documents(t: DocumentTables) -> DataFrame:

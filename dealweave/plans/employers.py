@@ -47,7 +47,12 @@ def employer_mentions(pipeline: DataFrame, model: Model) -> DataFrame:
     shared = ["pipeline_id", "model_id", "founder_key", F.col("name").alias("founder"), "linkedin_url"]
     from_founders = explode_split(people, "previous_company_raw", "spelling").select(
         *shared, "spelling", no_text.alias("title"), F.lit(VIA_FOUNDER_FIELD).alias("via"), F.lit(2).alias("priority"))
-    from_careers = people.join(model.roles, "founder_key").select(
+    # A founder's entries for one company differ only in the title: the best one is enough, and far fewer rows meet
+    # the founder's deals.
+    best_roles = first_per_group(
+        model.roles.select("founder_key", "company", "title"), ["founder_key", "company"],
+        [F.col("title").isNull(), oldest("title")])
+    from_careers = people.join(best_roles, "founder_key").select(
         *shared, F.col("company").alias("spelling"), "title", F.lit(VIA_PROFILE).alias("via"),
         F.lit(1).alias("priority"))
     return from_deals.unionByName(from_founders).unionByName(from_careers)
