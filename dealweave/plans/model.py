@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from dealweave.functions.text import company_part, profile_slug, split_parts, ti
 from dealweave.operators.joins import alias_cascade, unpivot_slots
 from dealweave.operators.lists import ordered_join, pivot_slots
 from dealweave.operators.rows import first_per_group
+from dealweave.session import materialised, shared_folder
 
 SLOTS = 4
 PROFILE_PREFIX = "https://www.linkedin.com/in/"
@@ -32,6 +33,12 @@ class Model:
     investors: DataFrame
     deal_investors: DataFrame
 
+    def stored(self, folder: str | None = None) -> Model:
+        """The same model with its derived tables written once; every later plan then starts from plain scans."""
+        derived = ("founders", "deal_founders", "roles", "companies")
+        folder = folder or shared_folder(self.deals.sparkSession)
+        return replace(self, **{name: materialised(getattr(self, name), folder) for name in derived})
+
     def counts(self) -> DataFrame:
         """One row per table with its size."""
         parts = [

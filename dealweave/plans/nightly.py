@@ -63,8 +63,10 @@ def refresh(tables: SourceTables, model: Model | None, runs: DataFrame, as_of: C
     folder = folder or shared_folder(spark)
     try:
         rebuilt = model is None or snapshot_is_fresh(runs, as_of)
-        current = rebuild_model(tables.snapshot, tables.companies, model.founders if model else None,
-                                model.investors if model else None) if rebuilt else model
+        current = model
+        if rebuilt:
+            held = (model.founders, model.investors) if model else (None, None)
+            current = rebuild_model(tables.snapshot, tables.companies, *held).stored(folder)
         facts = materialised(
             employer_facts(tables.pipeline, current, tables.decided, tables.entities), folder)
         universe = materialised(
