@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import simhash
+from dealweave.llm import byte_bpe, quality, simhash, token_counts
 
 QUERIES, CHECKS = {}, {}
 
@@ -29,3 +29,25 @@ def op1(spark, folder):
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_token_counts")
+def op2(spark, folder):
+    """Words and greedy word pieces of every document."""
+    return token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
+@query("op4_quality_rules")
+def op4(spark, folder):
+    """Word and repetition counts of every document, and whether the fertility bands keep it."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    return quality.verdicts(quality.measures(docs, keep=["doc_id", "lang"])).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "chars_per_token", "byte_share", "token_entropy")
+
+
+@query("op10_byte_bpe")
+def op10(spark, folder):
+    """Token count and digests of ids and decoded text of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return byte_bpe.encode_texts(docs, keep=["doc_id"], ids=False)
