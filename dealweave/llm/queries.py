@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, quality, simhash, token_counts
+from dealweave.llm import byte_bpe, quality, simhash, token_counts, url_filter, warc
+from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
 
@@ -46,6 +47,66 @@ def op4(spark, folder):
         "chars_per_token", "byte_share", "token_entropy")
 
 
+RULES = [
+    url_filter.Rule("block", "net", "/"), url_filter.Rule("allow", "example.net", "/en/"),
+    url_filter.Rule("block", "example.com", "/de/"), url_filter.Rule("allow", "org", "/fr/"),
+]
+
+_URL_PARTS = """
+    select page_id, host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') as path
+    from (select page_id, rest, regexp_extract(rest, '^[^/?#]*') as host
+          from (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest
+                from pages))"""
+
+_JUDGED_URLS = f"""
+with parts as (
+    select page_id, translate(host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, path
+    from ({_URL_PARTS})),
+fits as (
+    select *, case when concat('.', host) like '%.example.com' and path like '/de/%' then 'example.com/de/'
+                   when concat('.', host) like '%.example.net' and path like '/en/%' then 'example.net/en/'
+                   when concat('.', host) like '%.org' and path like '/fr/%' then 'org/fr/'
+                   when concat('.', host) like '%.net' and path like '/%' then 'net/' end as rule,
+           case when host = '' then '' else concat(regexp_replace(host, '^(www|m|blog)[.]', ''),
+                                                   regexp_replace(path, '([.]html)?/*$', '')) end as key
+    from parts),
+spread as (select key from fits where key <> '' group by key having count(*) > 1)
+select page_id, host, path, rule,
+       case when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
+            when key in (select key from spread) then 'block' else 'allow' end as verdict
+from fits"""
+
+
+@query("op5_url_filters", _JUDGED_URLS)
+def op5(spark, folder):
+    """Rule and verdict of every page's URL. Listed are the canonical addresses that more than one page has."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    host, path = url_filter.url_parts(F.col("url"))
+    listed = (pages.select(url_filter.canonical(host, path).alias("key")).where("key <> ''")
+              .groupBy("key").count().where("count > 1").select("key"))
+    return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+_WARC_CHECK = """
+with bodies as (
+    select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+    from pages),
+firsts as (select *, min(page_id) over (partition by payload_digest) as first from bodies)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+from firsts"""
+
+
+@query("op7_warc_revisits", _WARC_CHECK)
+def op7(spark, folder):
+    """Every page as read back from the deduplicated archives."""
+    archives = shared_folder(spark)
+    warc.write_archives(table(spark, folder, "pages").select("page_id", "url", "html"), archives)
+    return warc.read_resolved(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     """Token count and digests of ids and decoded text of every document."""
