@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, quality, simhash, token_counts, url_filter, warc
+from dealweave.llm import byte_bpe, line_runs, quality, simhash, token_counts, url_filter, warc
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -87,6 +87,29 @@ def op5(spark, folder):
     return url_filter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+_LINES_CHECK = """
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+    from documents),
+keyed as (
+    select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) as key
+    from lines),
+common as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10),
+judged as (select k.*, c.key is not null as common from keyed k left join common c on k.key = c.key)
+select doc_id, count(*) as n_lines, count(*) filter (common) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by at) filter (not common), '')) as kept_sha256
+from judged group by doc_id"""
+
+
+@query("op6_line_dedup", _LINES_CHECK)
+def op6(spark, folder):
+    """Line counts of every document, and the digest of what is left without lines of ten documents or more."""
+    kept = line_runs.drop_common_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 _WARC_CHECK = """
 with bodies as (
     select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
