@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, line_runs, quality, simhash, token_counts, url_filter, warc
+from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, simhash, token_counts, url_filter, warc
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -130,6 +130,42 @@ def op7(spark, folder):
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+_WORD_LIST = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+              r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+
+_BENCHMARK_CHECK = f"""
+with d as (select doc_id, {_WORD_LIST} as words from documents),
+b as (select item_id, {_WORD_LIST} as words from benchmark),
+sized as (select *, least(13, len(words)) as size from b where len(words) > 0),
+windows as (
+    select item_id, size, array_to_string(list_slice(words, j, j + size - 1), ' ') as w
+    from (select *, unnest(range(1, len(words) - size + 2)) as j from sized)),
+places as (select doc_id, words, unnest(range(1, len(words) + 1)) as p from d),
+found as (
+    select distinct doc_id, p, z.size, item_id
+    from (select doc_id, p, s.size, array_to_string(list_slice(words, p, p + s.size - 1), ' ') as w
+          from places, (select distinct size from windows) s where p + s.size - 1 <= len(words)) z
+    join windows using (size, w)),
+hit as (select doc_id, count(distinct at) as n_hit
+        from (select doc_id, unnest(range(p, p + size)) as at from found) group by doc_id),
+named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+          from (select distinct doc_id, item_id::varchar as item from found) group by doc_id)
+select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(words) as contaminated
+from d left join hit using (doc_id) left join named using (doc_id)"""
+
+
+@query("op8_decontamination", _BENCHMARK_CHECK)
+def op8(spark, folder):
+    """Benchmark words and items found in every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(decontaminate.matches(docs, table(spark, folder, "benchmark"), keep=["doc_id"]))
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+                        F.sha2(names, 256).alias("items_sha256"), "contaminated")
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     """Token count and digests of ids and decoded text of every document."""
