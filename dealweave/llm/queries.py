@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, simhash, token_counts, url_filter, warc
+from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, recurrent_lm, simhash, token_counts, url_filter, warc
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -166,6 +166,12 @@ def op8(spark, folder):
                         F.sha2(names, 256).alias("items_sha256"), "contaminated")
 
 
+@query("op9_recurrent_lm")
+def op9(spark, folder):
+    """Unigram and recurrent model scores of every document."""
+    return recurrent_lm.scores(table(spark, folder, "documents"))
+
+
 @query("op10_byte_bpe")
 def op10(spark, folder):
     """Token count and digests of ids and decoded text of every document."""
