@@ -90,7 +90,7 @@ def op5(spark, folder):
 _LINES_CHECK = """
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
-           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as at
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
     from documents),
 keyed as (
     select *, trim(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -99,7 +99,7 @@ keyed as (
 common as (select key from keyed where key <> '' group by key having count(distinct doc_id) >= 10),
 judged as (select k.*, c.key is not null as common from keyed k left join common c on k.key = c.key)
 select doc_id, count(*) as n_lines, count(*) filter (common) as n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) order by at) filter (not common), '')) as kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (not common), '')) as kept_sha256
 from judged group by doc_id"""
 
 
@@ -146,8 +146,8 @@ found as (
     from (select doc_id, p, s.size, array_to_string(list_slice(words, p, p + s.size - 1), ' ') as w
           from places, (select distinct size from windows) s where p + s.size - 1 <= len(words)) z
     join windows using (size, w)),
-hit as (select doc_id, count(distinct at) as n_hit
-        from (select doc_id, unnest(range(p, p + size)) as at from found) group by doc_id),
+hit as (select doc_id, count(distinct pos) as n_hit
+        from (select doc_id, unnest(range(p, p + size)) as pos from found) group by doc_id),
 named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
           from (select distinct doc_id, item_id::varchar as item from found) group by doc_id)
 select d.doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
