@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, recurrent_lm, simhash, token_counts, url_filter, warc
+from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, recurrent_lm, simhash, suffix_dedup, token_counts, url_filter, warc
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -38,6 +38,14 @@ def op2(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+@query("op3_suffix_dedup")
+def op3(spark, folder):
+    """Bytes of every document removed as repeats of 200 bytes, and the digest of the rest."""
+    kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op4_quality_rules")
 def op4(spark, folder):
     """Word and repetition counts of every document, and whether the fertility bands keep it."""
