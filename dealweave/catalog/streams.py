@@ -55,14 +55,15 @@ def stream_embed_pending(t):
     from (select user_email, unnest(generate_series(date_trunc('hour', created_at) - interval 23 hour, date_trunc('hour', created_at), interval 1 hour)) as w
       from log where error is null) group by w, user_email""")
 def stream_usage_24h(t):
-    return jobs.complete_result(jobs.rolling_usage(streamed(t, "events").log), shared_folder(t.spark))
+    return jobs.updated_result(
+        jobs.rolling_usage(streamed(t, "events").log), shared_folder(t.spark), ["window_start", "window_end", "client"])
 
 
 @query("stream_daily_kpis", f"""
     select {ts("date_trunc('day', created_at)")} as day, count(*) filter (where error is null) as answered, count(*) filter (where error is not null) as failed,
       count(*) filter (where rating = 1) as up, count(*) filter (where rating = -1) as down from log group by 1""")
 def stream_daily_kpis(t):
-    return jobs.complete_result(jobs.daily_kpis(streamed(t, "events").log), shared_folder(t.spark))
+    return jobs.updated_result(jobs.daily_kpis(streamed(t, "events").log), shared_folder(t.spark), ["day"])
 
 
 @query("stream_dedupe_queries", "select distinct lower(trim(regexp_replace(question, '\\s+', ' ', 'g'))) as q from log")

@@ -2,47 +2,51 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import as_col
 
-_PLAIN_KEY = re.compile(r"^[A-Za-z_][A-Za-z0-9_]*$")
 
-
-def json_contains(doc: str | Column, wanted: dict, path: str = "$") -> Column:
+def json_contains(doc: str | Column, wanted: dict) -> Column:
     """True when the JSON text holds every entry of ``wanted`` (containment, as a filter on metadata).
 
-    Objects are compared key by key, a list asks for all of its elements in any order, scalars for equality.
+    Objects are compared key by key and have to be objects, a list asks for all of its elements in any order, other
+    values for the same type and value: numbers by value (1 equals 1.0, not "1"), None for a JSON null that is there.
+    NULL and text that is no JSON hold nothing.
     """
-    checks = [_holds(as_col(doc), f"{path}{_step(key)}", value) for key, value in wanted.items()]
-    result = F.lit(True)
-    for check in checks:
-        result = result & check
-    return F.coalesce(result, F.lit(False))
-
-
-def _step(key: str) -> str:
-    return f".{key}" if _PLAIN_KEY.match(key) else f"['{key}']"
-
-
-def _holds(doc: Column, path: str, value) -> Column:
-    if isinstance(value, dict):
-        return json_contains(doc, value, path)
-    found = F.get_json_object(doc, path)
-    if isinstance(value, (list, tuple)):
-        held = F.from_json(found, "array<string>")
-        return F.forall(F.array(*[F.lit(_plain(v)) for v in value]), lambda v: F.array_contains(held, v)) if value \
-            else found.isNotNull()
-    if value is None:
-        return F.get_json_object(doc, path).isNull()
-    return found == F.lit(_plain(value))
-
-
-def _plain(value) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+    return F.coalesce(_holds(F.try_parse_json(as_col(doc)), wanted), F.lit(False))
+
+
+def _holds(found: Column, wanted) -> Column:
+    """Does the variant value hold ``wanted``? NULL or false when it does not."""
+    kind = F.schema_of_variant(found)
+    if isinstance(wanted, dict):
+        parts = [_holds(F.try_variant_get(found, f"$[{_quoted(key)}]", "variant"), v) for key, v in wanted.items()]
+        return reduce(and_, parts, F.startswith(kind, F.lit("OBJECT")))
+    if isinstance(wanted, (list, tuple)):
+        items = F.try_variant_get(found, "$", "array<variant>")
+        parts = [F.exists(items, _holder(v)) for v in wanted]
+        return reduce(and_, parts, F.startswith(kind, F.lit("ARRAY")))
+    if wanted is None:
+        return kind == "VOID"
+    if isinstance(wanted, bool):
+        return (kind == "BOOLEAN") & (F.try_variant_get(found, "$", "boolean") == F.lit(wanted))
+    if isinstance(wanted, str):
+        return (kind == "STRING") & (F.try_variant_get(found, "$", "string") == F.lit(wanted))
+    number = F.startswith(kind, F.lit("DECIMAL")) | kind.isin("BIGINT", "DOUBLE", "FLOAT")
+    return number & (F.try_variant_get(found, "$", "double") == F.lit(float(wanted)))
+
+
+def _holder(wanted):
+    return lambda item: F.coalesce(_holds(item, wanted), F.lit(False))
+
+
+def _quoted(key: str) -> str:
+    return f'"{key}"' if '"' not in key else f"'{key}'"
 
 
 def compact_json(**fields: Column) -> Column:

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dealweave.functions.order import newest, oldest
 from dealweave.functions.text import LIST_SEPARATOR, name_key
 from dealweave.operators.rows import first_per_group
 
-#: Patterns up to this number become literals of one projection; more of them are joined in packs.
-MAX_LITERAL_PATTERNS = 200
-PATTERN_PACK = 256
+#: Size of one broadcast block of patterns.
+PATTERN_BLOCK_BYTES = 4 << 20
 
 
 # --- existence -------------------------------------------------------------------------------------------------
@@ -61,56 +65,84 @@ def with_other_owner(df: DataFrame, evidence: DataFrame, value: str, owner: str,
 
 # --- patterns --------------------------------------------------------------------------------------------------
 
-def valid_patterns(patterns: DataFrame, pattern: str) -> DataFrame:
-    """Patterns that compile; the others are dropped before any text is tested."""
-    flags = patterns.select(pattern).distinct().mapInPandas(_compiles(pattern), f"`{pattern}` string")
-    return patterns.join(flags, pattern, "left_semi")
+def valid_patterns(patterns: DataFrame, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """Patterns that compile and those that do not, judged by the engine that runs them (the ``regex`` package)."""
+    flags = patterns.select(F.col(pattern).alias("_pattern")).distinct().mapInPandas(_compiles, "_pattern string, _ok boolean")
+    judged = patterns.join(flags, F.col(pattern).eqNullSafe(F.col("_pattern")), "left")
+    return tuple(judged.filter(c).select(*patterns.columns) for c in (F.col("_ok"), ~F.col("_ok")))
 
 
-def _compiles(pattern: str):
-    def check(batches):
-        import re
+def _compiled(text: str):
+    return regex.compile(text, regex.IGNORECASE | regex.DOTALL)
 
-        def ok(text) -> bool:
-            try:
-                re.compile(text)
-                return True
-            except (re.error, TypeError):
-                return False
 
-        for batch in batches:
-            yield batch[batch[pattern].map(ok)]
+def _compiles(batches):
+    def ok(text) -> bool:
+        try:
+            _compiled(text)
+            return True
+        except (regex.error, TypeError):
+            return False
+
+    for batch in batches:
+        yield batch.assign(_ok=batch["_pattern"].map(ok))
 
-    return check
 
+def required_text(pattern: str) -> str:
+    """Longest run of letters and digits that every match holds in any case; empty when none is certain.
 
-def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern: str,
-               max_literals: int = MAX_LITERAL_PATTERNS) -> DataFrame:
+    Only what stands outside brackets, choices and repeats counts, so the answer may be shorter than possible, never
+    wrong.
+    """
+    if "|" in pattern or "(?" in pattern or re.search(r"\\[a-zA-Z0-9]", re.sub(r"\\[bBdDsSwW]", "", pattern)):
+        return ""
+    plain = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "\0", pattern)
+    plain = re.sub(r".(?:[?*]|\{[^}]*\})", "\0", plain)
+    if any(c in plain for c in "()[]"):
+        return ""
+    return max(re.findall(r"[0-9A-Za-z]+", plain), key=len, default="").lower()
+
+
+def pattern_blocks(patterns: DataFrame, name: str, pattern: str) -> list:
+    """The patterns as broadcast blocks of at most ``PATTERN_BLOCK_BYTES`` each."""
+    context, blocks, held, size = patterns.sparkSession.sparkContext, [], [], 0
+    for row in patterns.select(name, pattern).toLocalIterator():
+        held.append((row[0], row[1], required_text(row[1])))
+        size += len(row[1]) + 64
+        if size > PATTERN_BLOCK_BYTES:
+            blocks.append(context.broadcast(held))
+            held, size = [], 0
+    return [*blocks, context.broadcast(held)] if held else blocks
+
+
+def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern: str) -> DataFrame:
     """One row per text and matching pattern (case ignored, ``.`` matches line breaks), adding column ``name``.
 
-    The pattern side is looked at first, never more than ``max_literals + 1`` rows of it. A short list becomes
-    compiled literals of a single pass over the texts. A longer one is packed into arrays of bounded size, and texts
-    spread over slots meet every pack once: no task holds more than one pack, no Cartesian product is planned.
+    The patterns are the stated query set: they travel in blocks of bounded size, and every text meets every block in
+    place, so the texts are not shuffled. A different text is tested once per Arrow batch, and a pattern only when the
+    letters it requires are there. Patterns that do not compile match nothing; ``valid_patterns`` returns them.
     """
-    usable = valid_patterns(patterns.select(name, pattern).filter(F.col(pattern).isNotNull()), pattern)
-    head = usable.limit(max_literals + 1).collect()
-    if len(head) <= max_literals:
-        hits = [F.when(F.col(text).rlike(f"(?is){row[pattern]}"), F.lit(row[name])) for row in sorted(head)]
-        if not hits:
-            return df.withColumn(name, F.lit(None).cast(patterns.schema[name].dataType)).limit(0)
-        return df.withColumn(name, F.explode(F.array_compact(F.array(*hits))))
-    count = usable.count()
-    packs = -(-count // PATTERN_PACK)
-    slots = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    pack_of = F.pmod(F.xxhash64(pattern, name), F.lit(packs)).cast("int")
-    packed = usable.withColumn("_pack", pack_of).groupBy("_pack").agg(
-        F.collect_list(F.struct(F.col(name).alias("n"), F.col(pattern).alias("p"))).alias("_ps"))
-    packed = packed.withColumn("_slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    placed = df.withColumn("_slot", F.pmod(F.xxhash64(text), F.lit(slots)).cast("int")).withColumn(
-        "_pack", F.explode(F.sequence(F.lit(0), F.lit(packs - 1))))
-    found = F.filter("_ps", lambda x: F.regexp_like(F.col(text), F.concat(F.lit("(?is)"), x["p"])))
-    matched = placed.join(packed, ["_pack", "_slot"]).withColumn("_hit", F.explode(found))
-    return matched.withColumn(name, F.col("_hit.n")).drop("_pack", "_slot", "_ps", "_hit")
+    usable = valid_patterns(patterns.filter(F.col(pattern).isNotNull()), pattern)[0]
+    blocks = pattern_blocks(usable, name, pattern)
+    name_type = patterns.schema[name].dataType
+    schema = T.StructType([*df.schema.fields, T.StructField("_names", T.ArrayType(name_type))])
+    arrow_type = to_arrow_type(T.ArrayType(name_type))
+
+    def run(batches):
+        tests = None
+        for batch in batches:
+            tests = tests or [(n, _compiled(p).search, need) for b in blocks for n, p, need in b.value]
+            found: dict[str | None, list] = {None: []}
+            values = batch.column(text).to_pylist()
+            for value in values:
+                if value not in found:
+                    small = value.lower()
+                    sure = small.isascii()  # other letters may fold to ASCII ones
+                    found[value] = [n for n, search, need in tests if (not sure or need in small) and search(value)]
+            names = pa.array([found[v] for v in values], type=arrow_type)
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "_names"])
+
+    return df.mapInArrow(run, schema).withColumn(name, F.explode("_names")).drop("_names")
 
 
 # --- nearest date ----------------------------------------------------------------------------------------------
@@ -140,7 +172,8 @@ def nearest_match(left: DataFrame, right: DataFrame, key: str, left_date: str, r
     days = left_days.withColumn("_wanted", F.lit(True)).join(right_days, ["_key", "_day"], "full")
     window = Window.partitionBy("_key").orderBy("_day")
     before = F.last("_row", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("_row", ignorenulls=True).over(window.rowsBetween(0, Window.unboundedFollowing))
+    backwards = Window.partitionBy("_key").orderBy(F.desc("_day"))
+    after = F.last("_row", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, 0))
     near = days.select("_key", "_day", "_wanted", before.alias("_b"), after.alias("_a")).filter("_wanted")
     pairs = near.select("_key", F.col("_day").alias("_left_day"), F.explode(F.array_distinct(F.array_compact(
         F.array("_b", "_a")))).alias("_c"))

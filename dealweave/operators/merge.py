@@ -18,8 +18,9 @@ DOCUMENT_COLUMNS = ("id", "kind", "title", "body", "metadata", "content_hash", "
 
 
 def upsert(target: DataFrame, batch: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
-    """Target with the batch's rows replacing those of the same key; the first by ``order`` wins within the batch."""
-    last = first_per_group(batch, [key], order) if order else batch.dropDuplicates([key])
+    """Target with the batch's rows replacing those of the same key; the first by ``order`` wins within the batch, and
+    among equals the first by a hash of the row, so the winner does not depend on partitioning."""
+    last = first_per_group(batch, [key], [*order, F.xxhash64(*batch.columns)])
     return target.join(last, key, "left_anti").unionByName(last)
 
 
@@ -30,30 +31,33 @@ def prune_stale(df: DataFrame, stamp_column: str, stamp, min_ratio: float = 0.8)
     Returns the remaining rows and a one-row report. The guard is a scalar subquery, so the rows are not shuffled.
     """
     fresh = F.col(stamp_column) == F.lit(stamp)
-    counts = df.agg(F.count(F.lit(1)).alias("held"), F.count_if(fresh).alias("seen")).withColumn(
-        "pruned", (F.col("seen") > 0) & (F.col("seen") >= F.lit(min_ratio) * F.col("held"))
-    )
+    counts = df.agg(
+        F.count(F.lit(1)).alias("held"), F.count_if(fresh).alias("seen"),
+        F.count_if(F.col(stamp_column) != F.lit(stamp)).alias("unseen"),
+    ).withColumn("pruned", (F.col("seen") > 0) & (F.col("seen") >= F.lit(min_ratio) * F.col("held")))
     allowed = counts.select("pruned").scalar()
     kept = df.filter(fresh | ~allowed | F.col(stamp_column).isNull())
-    unseen = df.agg(F.count_if(F.col(stamp_column) != F.lit(stamp)).alias("unseen")).select("unseen").scalar()
-    report = counts.withColumn("removed", F.when(F.col("pruned"), unseen).otherwise(F.lit(0)))
+    report = counts.withColumn("removed", F.when(F.col("pruned"), F.col("unseen")).otherwise(F.lit(0))).drop("unseen")
     return kept, report
 
 
-def apply_patches(df: DataFrame, patches: DataFrame, key: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def apply_patches(df: DataFrame, patches: DataFrame, key: str, fields: Sequence[str], order: str | None = None
+                  ) -> tuple[DataFrame, DataFrame]:
     """Partial updates: each patch row has ``key`` and a map ``changes`` of field to new text.
 
-    Only fields present in the map change, a blank value clears the field. Returns the new rows and the patches that
-    fit no row.
+    Only fields present in the map change, a blank value clears the field. Several patches of one key are merged field
+    by field: the one with the greatest ``order`` that names the field wins (without ``order`` or between equals, the
+    greatest text). Returns the new rows and the patches that fit no row.
     """
-    edits = patches.select(F.col(key), F.col("changes").alias("_changes"))
-    joined = df.join(edits, key, "left")
-    for field in fields:
-        change = F.element_at("_changes", F.lit(field))
-        present = F.coalesce(F.map_contains_key("_changes", field), F.lit(False))
-        joined = joined.withColumn(
-            field, F.when(present, F.nullif(F.trim(change), F.lit(""))).otherwise(F.col(field)))
-    return joined.drop("_changes"), patches.join(df, key, "left_anti")
+    at = F.col(order) if order else F.lit(0)
+    named = {f: F.coalesce(F.map_contains_key("changes", f), F.lit(False)) for f in fields}
+    edits = patches.groupBy(F.col(key).alias("_key")).agg(*[
+        F.max(F.when(named[f], F.struct(at.alias("o"), F.element_at("changes", F.lit(f)).alias("v")))).alias(f"_to_{f}")
+        for f in fields])
+    joined = df.join(edits, F.col(key) == F.col("_key"), "left").withColumns({
+        f: F.when(F.col(f"_to_{f}").isNotNull(), F.nullif(F.trim(F.col(f"_to_{f}.v")), F.lit(""))).otherwise(F.col(f))
+        for f in fields})
+    return joined.select(*df.columns), patches.join(df, key, "left_anti")
 
 
 def finish_documents(docs: DataFrame) -> DataFrame:

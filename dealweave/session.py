@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str = "8", memory: str = "20g") -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("dealweave")
         .config("spark.driver.memory", memory)
@@ -23,19 +22,20 @@ def local_session(cores: str = "8", memory: str = "20g") -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    if not spark.conf.get("spark.checkpoint.dir", None):
+        spark.conf.set("spark.checkpoint.dir", f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
     """New folder for one run's tables below the cluster's ``spark.checkpoint.dir``.
 
-    Executors come and go, so everything that has to outlive a stage is written here. Only a session without that
-    setting (tests, a laptop) falls back to a temporary folder of this machine.
+    Executors come and go, so everything that has to outlive a stage is written here. A session without the setting
+    is refused; ``local_session`` sets one for tests and laptops.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="dealweave-")
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return f"{root.rstrip('/')}/dealweave-{uuid.uuid4().hex}"
 
 
@@ -45,3 +45,16 @@ def materialised(df: DataFrame, folder: str | None = None) -> DataFrame:
     path = f"{folder or shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    """Delete a run's folder on whatever file system it is, once its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Existing paths that match a glob pattern, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(f.getPath().toString() for f in found or ())

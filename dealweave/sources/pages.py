@@ -129,25 +129,26 @@ def extract_properties(pages: DataFrame, columns: Sequence[SourceColumn],
     return read.select("id", *[F.col("_p")[c.title].alias(c.name) for c in columns])
 
 
-# Spellings of a ticked checkbox.
-TRUE_SPELLINGS = ("__YES__", "true", "1", "True")
+# Texts of a ticked checkbox. The number 1 is one too, the text "1" is not.
+TRUE_SPELLINGS = ("__YES__", "true")
 
 
-def convert(c: str | Column, kind: str) -> Column:
+def convert(c: str | Column, kind: str, is_number: Column | None = None) -> Column:
     """Text value of a source column as its declared kind. An empty text is NULL for every kind.
 
     ``arr`` reads a JSON list as it is, else wraps the text; ``arrsplit`` also splits at ``;``, trims and drops
     blanks; ``num`` gives NULL for anything that is not a finite number; ``date`` keeps the first ten characters.
+    ``is_number`` tells for ``bool`` whether the text came from a number.
     """
     text = F.nullif(as_col(c), F.lit(""))
     if kind not in ("arr", "arrsplit"):
-        return convert_values(F.when(text.isNotNull(), F.array(text)), kind)
+        return convert_values(F.when(text.isNotNull(), F.array(text)), kind, is_number)
     listed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
     values = F.when(text.isNotNull(), F.coalesce(listed, F.array(text)))
     return values if kind == "arr" else convert_values(values, kind)
 
 
-def convert_values(values: Column, kind: str) -> Column:
+def convert_values(values: Column, kind: str, is_number: Column | None = None) -> Column:
     """Like ``convert`` for values that already are a list."""
     present = F.filter(values, lambda x: x.isNotNull() & (x != ""))
     first = F.nullif(F.get(values, F.lit(0)), F.lit(""))
@@ -157,7 +158,10 @@ def convert_values(values: Column, kind: str) -> Column:
         parts = F.flatten(F.transform(present, lambda x: F.split(x, r"\s*;\s*")))
         return F.when(F.size(present) > 0, F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != ""))
     if kind == "bool":
-        return F.when(first.isNotNull(), first.isin(*TRUE_SPELLINGS))
+        ticked = first.isin(*TRUE_SPELLINGS)
+        if is_number is not None:
+            ticked = ticked | (F.coalesce(is_number, F.lit(False)) & (first == "1"))
+        return F.when(first.isNotNull(), ticked)
     if kind == "num":
         number = first.try_cast("double")
         return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
@@ -180,6 +184,27 @@ def load_source(pages: DataFrame, columns: Sequence[SourceColumn], stamp: Column
     """Typed rows of one source: live pages only, mapped columns, id, link and the stamp of this run."""
     live = pages.filter(
         (F.col("object") == "page") & ~F.coalesce("in_trash", F.lit(False)) & ~F.coalesce("archived", F.lit(False)))
-    read = live.select("id", _plain_properties(columns, page_url).alias("_p"))
-    cells = [convert_values(F.col("_p")[c.title], c.kind).alias(c.name) for c in columns]
+    read = live.select("id", _plain_properties(columns, page_url).alias("_p"), *_number_flags(columns))
+    cells = [convert_values(F.col("_p")[c.title], c.kind, _flag(c)).alias(c.name) for c in columns]
     return read.select("id", F.concat(F.lit(page_url), F.replace("id", F.lit("-"), F.lit(""))).alias("url"), *cells, stamp.alias("synced_at"))
+
+
+def _number_flags(columns: Sequence[SourceColumn]) -> list[Column]:
+    """Per boolean column: is its property a number?"""
+    return [(F.col("properties")[c.title]["type"] == "number").alias(f"_n_{c.name}") for c in columns if c.kind == "bool"]
+
+
+def _flag(column: SourceColumn) -> Column | None:
+    return F.col(f"_n_{column.name}") if column.kind == "bool" else None
+
+
+def rejected_values(pages: DataFrame, columns: Sequence[SourceColumn], page_url: str = "https://pages.example/") -> DataFrame:
+    """(column, kind, rejected): how many values of a page table do not fit the kind of their column and become NULL."""
+    strict = [c for c in columns if c.kind in ("num", "date", "ts")]
+    read = pages.select(_plain_properties(columns, page_url).alias("_p"))
+    checks = F.array(*[F.struct(
+        F.lit(c.name).alias("column"), F.lit(c.kind).alias("kind"),
+        (F.nullif(F.get(F.col("_p")[c.title], F.lit(0)), F.lit("")).isNotNull()
+         & convert_values(F.col("_p")[c.title], c.kind).isNull()).alias("bad")) for c in strict])
+    return read.select(F.explode(checks).alias("c")).groupBy("c.column", "c.kind").agg(
+        F.count_if("c.bad").alias("rejected"))

@@ -6,16 +6,17 @@ is run again after a failure writes the same table of its batch number, so the r
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dealweave.functions.text import query_text_key
 from dealweave.operators.merge import finish_documents, merge_documents
 from dealweave.operators.rows import first_per_group
 from dealweave.plans.search import Embedder, embed_pending, hashed_words
+from dealweave.session import list_paths
 
 WATERMARK = "1 hour"
 DEDUPE_HORIZON = "30 days"
@@ -39,41 +40,65 @@ def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], ch
 
 
 class TableStates:
-    """A table kept as one directory per batch; the state before batch n is the last one below n."""
+    """A table in buckets of its key; a batch writes the buckets it touches below a folder of its number.
 
-    def __init__(self, spark: SparkSession, folder: str, start: DataFrame):
-        self.spark, self.folder, self.schema = spark, folder, start.schema
-        self.batch = -1
-        self.write(start, -1)
+    The state before batch n is, for each bucket, the newest committed version below n. It is read from storage, so a
+    restarted job goes on where the last one ended, and a repeated batch meets the same state as before. The start is
+    written only where no version exists.
+    """
 
-    def path(self, batch: int) -> str:
-        return f"{self.folder}/state-{batch + 1}"
+    def __init__(self, spark: SparkSession, folder: str, start: DataFrame, key: str = "id", buckets: int = 16):
+        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, start.schema, key, buckets
+        if not self._versions():
+            self.write(start, -1)
 
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.select(*self.schema.names).write.mode("overwrite").parquet(self.path(batch))
-        self.batch = batch
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def before(self, batch: int) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path(min(self.batch, batch - 1)))
+    def _versions(self) -> dict[int, str]:
+        """Folders of committed batches by number (the start is -1)."""
+        done = [p.rsplit("/", 2)[-2] for p in list_paths(self.spark, f"{self.folder}/state-*/_SUCCESS")]
+        return {int(d.removeprefix("state-")) - 1: f"{self.folder}/{d}" for d in done}
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.select(*self.schema.names).withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy(
+            "_bucket").parquet(f"{self.folder}/state-{batch + 1}")
+
+    def before(self, batch: int | None, touched: list[int] | None = None) -> DataFrame:
+        """The table as it was before a batch (None: after all), whole or in the touched buckets only."""
+        paths: dict[str, str] = {}
+        for number, folder in sorted(self._versions().items()):
+            if batch is None or number < batch:
+                paths |= {p.rsplit("=", 1)[1]: p for p in list_paths(self.spark, f"{folder}/_bucket=*")}
+        wanted = [p for b, p in paths.items() if touched is None or int(b) in touched]
+        if not wanted:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*wanted)
+
+    def touched(self, df: DataFrame) -> list[int]:
+        """Buckets that hold a key of ``df``; at most ``buckets`` numbers."""
+        return [r[0] for r in df.select(self.bucket()).distinct().collect()]
 
     def current(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path(self.batch))
+        return self.before(None)
 
 
 def stream_merge(arriving: DataFrame, target: DataFrame, folder: str, as_of: Column) -> DataFrame:
     """Arriving documents merged into the stored ones; documents not in a batch stay.
 
-    ``arriving``: id, kind, title, body, metadata. Within a batch the longest text of an id wins.
+    ``arriving``: id, kind, title, body, metadata. Within a batch the longest text of an id wins. Run again on the
+    same folder, the job takes up the stored state; ``target`` then is not read.
     """
-    spark = target.sparkSession
-    states = TableStates(spark, f"{folder}/documents", target)
+    states = TableStates(target.sparkSession, f"{folder}/documents", target)
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = states.before(number)
-        new = finish_documents(first_per_group(batch, ["id"], [F.desc(F.length("body")), F.col("title")]))
+        new = finish_documents(first_per_group(
+            batch, ["id"], [F.desc(F.length("body")), F.col("title"), F.xxhash64(*batch.columns)])).persist()
+        old = states.before(number, states.touched(new))
         others = old.join(new.select("id"), "id", "left_anti")
         state, _ = merge_documents(old.join(new.select("id"), "id", "left_semi"), new, as_of)
         states.write(others.unionByName(state), number)
+        new.unpersist()
 
     run_to_end(arriving, merge, f"{folder}/checkpoint")
     return states.current()
@@ -110,18 +135,21 @@ def daily_kpis(log: DataFrame) -> DataFrame:
     )
 
 
-def complete_result(aggregated: DataFrame, folder: str) -> DataFrame:
-    """Run an aggregated stream to its end in complete mode and return its final table.
+def updated_result(aggregated: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregated stream to its end in update mode and return the newest row of every key.
 
-    Complete mode hands over all windows, also those the watermark has not closed yet.
+    Each batch writes the windows it changed to a folder of its number, so a repeated batch replaces its own rows, and
+    the state of windows that the watermark has closed is let go.
     """
     spark, out = aggregated.sparkSession, f"{folder}/result"
 
-    def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/part-{number}")
 
-    run_to_end(aggregated, replace, f"{folder}/checkpoint", "complete")
-    return spark.read.schema(aggregated.schema).parquet(out)
+    run_to_end(aggregated, add, f"{folder}/checkpoint", "update")
+    schema = StructType([*aggregated.schema.fields, StructField("_batch", IntegerType())])
+    changes = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    return first_per_group(changes, keys, [F.desc("_batch")]).drop("_batch")
 
 
 def appended_result(stream: DataFrame, folder: str) -> DataFrame:

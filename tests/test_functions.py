@@ -62,7 +62,12 @@ def test_json_contains(values):
     assert check({"b": ["y", "x"]})[0] and not check({"b": ["x", "z"]})[0]
     assert check({"c": {"d": "e"}})[0] and not check({"c": {"d": "f"}})[0]
     assert check({"t": True})[0] and not check({"missing": "q"})[0]
-    assert check({}) == [True, True]
+    assert check({}) == [True, False]
+    assert check({"a": 1.0})[0] and not check({"a": "1"})[0] and not check({"a": True})[0]
+    assert not check({"gone": None})[0] and not check({"b": {}})[0] and check({"c": {}})[0] and not check({"t": 1})[0]
+    typed = '{"n":null,"l":[1,{"k":"v","w":2}],"s":"1"}'
+    assert values([(typed,)], "j string", json_contains("j", {"n": None, "l": [{"k": "v"}, 1.0], "s": "1"})) == [True]
+    assert values([(typed,), ("no json",)], "j string", json_contains("j", {"l": ["1"]})) == [False, False]
 
 
 def test_compact_json_leaves_out_nulls(values):

@@ -81,6 +81,8 @@ def test_patches(spark):
     out, unmatched = apply_patches(df, patches, "id", ["x", "y"])
     assert rows(out) == [(1, None, "b"), (2, "c", "d")]
     assert rows(unmatched.select("id")) == [(9,)]
+    several = spark.createDataFrame([(2, {"x": "first", "y": "kept"}, 1), (2, {"x": "last"}, 2)], "id int, changes map<string,string>, n int")
+    assert rows(apply_patches(df, several, "id", ["x", "y"], "n")[0]) == [(1, "a", "b"), (2, "last", "kept")]
 
 
 def documents(spark, items):

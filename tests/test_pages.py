@@ -86,7 +86,8 @@ def test_convert_kinds(values):
 
     assert run("arr", '["a","","b"]', "plain", "", None, "[broken") == [["a", "", "b"], ["plain"], None, None, ["[broken"]]
     assert run("arrsplit", "a ; b;;", '["c;d"]', None) == [["a", "b"], ["c", "d"], None]
-    assert run("bool", "__YES__", "true", "1", "no", "") == [True, True, True, False, None]
+    assert run("bool", "__YES__", "true", "1", "True", "no", "") == [True, True, False, False, False, None]
+    assert values([("1",)], "t string", convert("t", "bool", F.lit(True))) == [True]
     assert run("num", "4.5", "x", "NaN", "Infinity", "") == [4.5, None, None, None, None]
     assert [str(v) for v in run("date", "2024-01-02T03:04:05Z", "bad", None)] == ["2024-01-02", "None", "None"]
     assert run("text", '["a"]', "x", "") == ['["a"]', "x", None]

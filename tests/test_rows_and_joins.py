@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, newest_known, oldest
+from dealweave.operators import joins
 from dealweave.operators.joins import (
     alias_cascade, alias_map, canonical_name, explode_array, explode_split, join_first, nearest_match, regex_join,
     unpivot_slots, valid_patterns, with_exists, with_in_flag, with_other_owner)
@@ -71,15 +72,18 @@ def test_other_owner_matches_pairs(spark):
     assert rows(got) == want
 
 
-def test_regex_join_both_ways(spark):
+def test_regex_join_in_one_and_several_blocks(spark, monkeypatch):
     texts = spark.createDataFrame([(1, "Red Widget\nnew"), (2, "blue"), (3, None)], "id int, t string")
-    patterns = spark.createDataFrame([("r", "^red.*new$"), ("b", "BLUE|green"), ("bad", "("), ("none", None)], "n string, p string")
-    assert rows(valid_patterns(patterns.filter("p is not null"), "p").select("n")) == [("b",), ("r",)]
-    want = [(1, "r"), (2, "b")]
-    assert rows(regex_join(texts, "t", patterns, "n", "p").select("id", "n")) == want
-    packed = regex_join(texts, "t", patterns, "n", "p", max_literals=1)
-    assert rows(packed.select("id", "n")) == want
-    assert "CartesianProduct" not in plan(packed) and "BroadcastNestedLoopJoin" not in plan(packed)
+    patterns = spark.createDataFrame(
+        [("r", "^red.*new$"), ("b", "BLUE|green"), ("u", r"\p{L}+ widget"), ("g", "(?P<x>blu)"), ("bad", "("), ("none", None)], "n string, p string")
+    good, bad = valid_patterns(patterns.filter("p is not null"), "p")
+    assert rows(good.select("n")) == [("b",), ("g",), ("r",), ("u",)] and rows(bad.select("n")) == [("bad",)]
+    for size in (1 << 20, 1):
+        monkeypatch.setattr(joins, "PATTERN_BLOCK_BYTES", size)
+        found = regex_join(texts, "t", patterns, "n", "p")
+        assert rows(found.select("id", "n")) == [(1, "r"), (1, "u"), (2, "b"), (2, "g")]
+        assert "CartesianProduct" not in plan(found) and "BroadcastNestedLoopJoin" not in plan(found)
+    assert joins.required_text(r"\bred (ring)? anvil+ x") == "anvil" and joins.required_text(r"\x41bc|d") == ""
     assert regex_join(texts, "t", patterns.filter("n = 'bad'"), "n", "p").count() == 0
 
 
