@@ -162,8 +162,8 @@ ADAPTERS: dict[str, str] = {
     # Page content of the deals: an order's document.
     "content": """
         select 'd' || cast(d.doc_id as STRING) as page_id, 'Page ' || d.source as deal,
-          case when d.lang <> 'de' then d.text end as transcript, case when d.lang <> 'fr' then substr(d.text, 1, 400) end as summary,
-          case when d.lang = 'en' then '' when d.lang = 'de' then null else substr(d.text, 1, 200) end as meeting_notes,
+          case when d.lang <> 'de' then d.text end as transcript, case when d.lang <> 'fr' then d.text end as summary,
+          case when d.lang = 'en' then '' when d.lang = 'de' then null else d.text end as meeting_notes,
           case when d.lang = 'es' then null else d.source end as page_notes, 1 as meetings,
           cast(e.ts as timestamp) as fetched_at
         from {documents} d join {events} e on e.event_id = d.doc_id""",
@@ -198,11 +198,11 @@ ADAPTERS: dict[str, str] = {
     "feedback": """
         select l.doc_id as id, cast(e.ts as timestamp) as created_at, case when quality = 1 then 1 else -1 end as rating,
           case when toxic = 1 then 'team:u' || cast(user_id as STRING) else 'session' end as chat_id,
-          substr(d.text, 1, 300) as question, d.text as answer, 'select ' || d.source as sql
+          d.text as question, d.text as answer, 'select ' || d.source as sql
         from {labels} l join {documents} d on d.doc_id = l.doc_id join {events} e on e.event_id = l.doc_id""",
     "insights": """
         select d.doc_id as id, cast(e.ts as timestamp) as created_at, d.lang || ' text of ' || d.source as title,
-          substr(d.text, 1, 500) as insight, case when d.lang <> 'en' then d.source end as evidence,
+          d.text as insight, case when d.lang <> 'en' then d.source end as evidence,
           case when d.lang = 'en' then 'What about ' || d.source end as question, e.value < 60 as active
         from {documents} d join {events} e on e.event_id = d.doc_id""",
     # Searchable documents, their vectors and the questions asked.

@@ -206,7 +206,7 @@ def multi_key_sort(t):
 
 @query("top_k", """
     select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice from lineitem
-    order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 100""")
+    order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey limit 1000""")
 def top_k_query(t):
     order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")]
     return top_k(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), order, 1000)

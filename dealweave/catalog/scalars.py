@@ -12,7 +12,7 @@ from dealweave.functions.text import company_part, joined, name_key, profile_slu
 
 @query("name_key", f"""
     with n as (select deal as name from deals union all select s_name || ' Pvt Ltd' from supplier union all select ' ' || p_name || ' & Co' from part
-      union all select url from pages union all select substr(text, 1, 80) from documents)
+      union all select url from pages union all select text from documents)
     select name, {nk('name')} as key from n""")
 def name_key_query(t):
     names = (
@@ -20,7 +20,7 @@ def name_key_query(t):
         .unionByName(t.supplier.select(F.concat("s_name", F.lit(" Pvt Ltd")).alias("name")))
         .unionByName(t.part.select(F.concat(F.lit(" "), "p_name", F.lit(" & Co")).alias("name")))
         .unionByName(t.pages.select(F.col("url").alias("name")))
-        .unionByName(t.documents.select(F.substring("text", 1, 80).alias("name"))))
+        .unionByName(t.documents.select(F.col("text").alias("name"))))
     return names.select("name", name_key("name").alias("key"))
 
 

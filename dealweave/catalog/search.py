@@ -63,11 +63,11 @@ def vector_top_k_query(t):
         round(coalesce(1.3::double / (60::double + v.rank), 0) + coalesce(1::double / (60::double + k.rank), 0), 9) as score
       from (select * from vr where rank <= 60) v full join (select * from kr where rank <= 60) k on v.query_id = k.query_id and v.id = k.id),
     r as (select *, row_number() over (partition by query_id order by score desc, id) as position from f)
-    select query_id, r.id, position, score, round(similarity, 6) as similarity, d.kind, d.title, substr(d.body, 1, 900) as snippet
+    select query_id, r.id, position, score, round(similarity, 6) as similarity, d.kind, d.title, d.body as snippet
     from r join docs d on d.id = r.id where position <= 10""")
 def hybrid_search_query(t):
     posts = postings(spread(t.docs), "id", "body")
-    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 10, max_df=MAX_DF)
+    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 10, 60, MAX_DF)
     return found.select("query_id", "id", "position", "score", F.round("similarity", 6).alias("similarity"), "kind", "title", "snippet")
 
 
@@ -90,8 +90,8 @@ def hybrid_search_query(t):
     select query_id, id, position, score from r where position <= 5""")
 def filtered_search_query(t):
     posts = postings(spread(t.docs), "id", "body")
-    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 5, ["src1", "src2", "src3", "src4"],
-                          {"lang": "en"}, max_df=MAX_DF)
+    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 5, 60, MAX_DF,
+                          ["src1", "src2", "src3", "src4"], {"lang": "en"})
     return found.select("query_id", "id", "position", "score")
 
 
@@ -100,7 +100,7 @@ def filtered_search_query(t):
     s as (select q.query_id, d.id, round(list_cosine_similarity(v.embedding::double[], d.embedding::double[]), 9) as similarity
       from q join vecs v on v.id = q.query_id join vecs d on d.id <> q.query_id),
     r as (select *, row_number() over (partition by query_id order by similarity desc, id) as rank from s)
-    select query_id, r.id, rank, round(similarity, 6) as similarity, d.kind, substr(d.body, 1, 600) as snippet
+    select query_id, r.id, rank, round(similarity, 6) as similarity, d.kind, d.body as snippet
     from r join docs d on d.id = r.id where rank <= 10""")
 def similar_items_query(t):
     ids = t.benchmark.select(F.concat(F.lit("doc"), F.col("item_id").cast("string")).alias("id"))
@@ -128,14 +128,14 @@ def similar_items_query(t):
         round(coalesce(1.3::double / (60::double + v.rank), 0) + coalesce(1::double / (60::double + k.rank), 0), 9) as score
       from (select * from hv where rank <= 60) v full join (select * from hk where rank <= 60) k on v.query_id = k.query_id and v.id = k.id),
     hr as (select *, row_number() over (partition by query_id order by score desc, id) as position from hf),
-    hits as (select query_id, string_agg(hr.id || ' ' || d.kind || ' ' || substr(d.body, 1, 420), ', ' order by position) as hits
+    hits as (select query_id, string_agg(hr.id || ' ' || d.kind || ' ' || d.body, ', ' order by position) as hits
       from hr join docs d on d.id = hr.id where position <= 8 group by 1)
     select a.query_id, memory, hits, rules from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id, rl""")
 def memory_context_query(t):
     posts = postings(spread(t.docs), "id", "body")
     found = memory_context(
-        t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), t.rules, hit_kinds=["src3", "src4", "src5", "src6"],
-        memory_kinds=["src0", "src1", "src2"], min_similarity=0.2, max_df=MAX_DF)
+        t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), t.rules, 8, 6, 60, MAX_DF, hit_kinds=["src3", "src4", "src5", "src6"],
+        memory_kinds=["src0", "src1", "src2"], min_similarity=0.2)
     memory = F.transform("memory", lambda m: F.concat(
         m["id"], F.lit(" "), m["similarity"].cast("decimal(10,3)").cast("string")))
     hits = F.transform("hits", lambda h: F.concat_ws(" ", h["id"], h["kind"], h["snippet"]))

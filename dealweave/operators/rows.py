@@ -31,14 +31,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
     return first_per_group(df, keys, order)
 
 
-def clamp_k(k: int, low: int = 1, high: int = 100) -> int:
-    """Result size kept within the allowed range."""
-    return min(max(k, low), high)
-
-
 def top_k(df: DataFrame, order: Sequence[Column], k: int) -> DataFrame:
     """The k first rows of the whole input (each task keeps k, the rest never moves)."""
-    return df.orderBy(*order).limit(clamp_k(k))
+    return df.orderBy(*order).limit(k)
 
 
 def rank_list(df: DataFrame, order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -1,9 +1,8 @@
 """Exact cosine nearest neighbours for a batch of queries.
 
-The stored vectors are read once, partition by partition; each task multiplies its block with the query matrix and
-keeps k rows per query, so only partition x query x k rows are shuffled. The query matrix is sent to the executors
-only while it is small. A larger query side is cut into packs of fixed size that travel as ordinary rows, each pack
-meeting every packed block of stored vectors once.
+The queries are the stated query set: they travel in broadcast blocks of bounded size, and the stored vectors are read
+once where they lie. Each task multiplies block by block and carries one list of the k best per query through all its
+batches, so tasks x queries x k rows are shuffled, however many vectors there are.
 """
 
 from __future__ import annotations
@@ -15,131 +14,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from dealweave.operators.rows import top_k_per
 
-#: Queries sent to every executor at most (64 floats of 8 bytes each: about 4 MB).
-MAX_BROADCAST_QUERIES = 8192
-PACK_ROWS = 512
+#: Bytes of query vectors in one broadcast block, and of similarities computed at once.
+BLOCK_BYTES = 4 << 20
+PRODUCT_BYTES = 16 << 20
 _DIGITS = 9
 
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", query_vector: str = "vector",
-                 item_id: str = "id", item_vector: str = "embedding", exclude_self: bool = False,
-                 max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                 item_id: str = "id", item_vector: str = "embedding", exclude_self: bool = False) -> DataFrame:
     """(query_id, id, similarity, rank): the k most similar items of every query, ties by id.
 
-    Vectors without length have no similarity and never appear. ``exclude_self`` leaves out the item whose id equals
-    the query's id.
+    Vectors that are NULL, have no id or no length, hold a NULL or are of another width than the query have no similarity to
+    it and never appear. ``exclude_self`` leaves out the item whose id equals the query's id.
     """
     q_type, i_type = queries.schema[query_id].dataType, vectors.schema[item_id].dataType
     schema = T.StructType([
         T.StructField("query_id", q_type), T.StructField("id", i_type), T.StructField("similarity", T.DoubleType())])
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
-    items = vectors.filter(F.col(item_vector).isNotNull()).select(
+    q = queries.filter(F.col(query_vector).isNotNull()).select(
+        F.col(query_id).alias("query_id"), F.col(query_vector).cast("array<double>").alias("v"))
+    items = vectors.filter(F.col(item_vector).isNotNull() & F.col(item_id).isNotNull()).select(
         F.col(item_id).alias("id"), F.col(item_vector).cast("array<double>").alias("v"))
-    head = q.limit(max_broadcast + 1).toArrow()
-    if head.num_rows <= max_broadcast:
-        ids = head.column("query_id")
-        shipped = q.sparkSession.sparkContext.broadcast((ids.type, ids.to_pylist(), _matrix(head.column("v"))))
-        best = items.mapInArrow(_search_blocks(shipped, k, exclude_self), schema)
-    else:
-        best = _search_packs(q, items, k, exclude_self, schema)
-    order = [F.col("similarity").desc(), F.col("id")]
-    return top_k_per(best, ["query_id"], order, k, rank="rank")
-
-
-def _matrix(column) -> np.ndarray:
-    """Arrow list column to a matrix of unit rows; rows without length become NaN."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = len(flat)
-    if rows == 0:
-        return np.zeros((0, 0))
-    values = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), dtype=np.float64)
-    matrix = values.reshape(rows, -1)
+    types = to_arrow_type(q_type), to_arrow_type(i_type)
+    best = items.mapInArrow(_search(_query_blocks(q), k, exclude_self, types), schema)
+    return top_k_per(best, ["query_id"], [F.col("similarity").desc(), F.col("id")], k, rank="rank")
+
+
+def _query_blocks(q: DataFrame) -> list:
+    """Broadcast blocks (ids, unit vectors), each of queries of one width."""
+    context, blocks = q.sparkSession.sparkContext, []
+    held: dict[int, tuple[list, list]] = {}
+
+    def ship(width: int) -> None:
+        ids, rows = held.pop(width)
+        matrix, usable = _unit(np.array(rows, np.float64))
+        blocks.append(context.broadcast(([i for i, u in zip(ids, usable) if u], matrix[usable])))
+
+    for row in q.toLocalIterator():
+        if not row.v or any(x is None for x in row.v):
+            continue
+        ids, rows = held.setdefault(len(row.v), ([], []))
+        ids.append(row.query_id)
+        rows.append(row.v)
+        if 8 * len(rows) * len(row.v) >= BLOCK_BYTES:
+            ship(len(row.v))
+    for width in list(held):
+        ship(width)
+    return blocks
+
+
+def _unit(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one, and which rows have a finite length."""
     norms = np.sqrt((matrix * matrix).sum(axis=1))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        return matrix / np.where(norms == 0, np.nan, norms)[:, None]
-
-
-def _best_of_block(q_ids, q_matrix, ids, matrix, k, exclude_self):
-    """(query position, item position, similarity) of the block's k best per query, ties by item id."""
-    similarity = np.round(q_matrix @ matrix.T, _DIGITS)
-    similarity = np.where(np.isnan(similarity), -np.inf, similarity)
-    if exclude_self:
-        where = {value: i for i, value in enumerate(ids)}
-        for row, value in enumerate(q_ids):
-            if value in where:
-                similarity[row, where[value]] = -np.inf
-    by_id = np.argsort(np.asarray(ids), kind="stable")
-    order = by_id[np.argsort(-similarity[:, by_id], axis=1, kind="stable")[:, :k]]
-    rows = np.repeat(np.arange(len(q_ids)), order.shape[1])
-    flat = order.ravel()
-    score = similarity[rows, flat]
-    kept = np.isfinite(score)
-    return rows[kept], flat[kept], score[kept]
-
-
-def _search_blocks(shipped, k: int, exclude_self: bool):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_type, q_ids, q_matrix = shipped.value
-        for batch in batches:
-            if batch.num_rows == 0 or not q_ids:
-                continue
-            ids = batch.column("id").to_pylist()
-            rows, cols, score = _best_of_block(q_ids, q_matrix, ids, _matrix(batch.column("v")), k, exclude_self)
-            yield _result(q_type, batch.schema.field("id").type, q_ids, ids, rows, cols, score)
-
-    return search
-
+    usable = np.isfinite(norms) & (norms > 0)
+    return matrix / np.where(usable, norms, 1)[:, None], usable
 
-def _result(q_type, id_type, q_ids, ids, rows, cols, score):
-    return pa.RecordBatch.from_arrays(
-        [pa.array([q_ids[i] for i in rows], type=q_type), pa.array([ids[i] for i in cols], type=id_type),
-         pa.array(score, type=pa.float64())],
-        names=["query_id", "id", "similarity"],
-    )
 
+def _matrices(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per width: row numbers and unit vectors of the usable rows."""
+    widths = column.value_lengths().to_numpy(zero_copy_only=False)
+    found = {}
+    for width in np.unique(widths[widths > 0]).astype(int).tolist():
+        rows = np.flatnonzero(widths == width)
+        flat = column.take(pa.array(rows)).flatten()
+        matrix, usable = _unit(np.asarray(flat.to_numpy(zero_copy_only=False), np.float64).reshape(len(rows), width))
+        found[width] = rows[usable], matrix[usable]
+    return found
 
-def _search_packs(q: DataFrame, items: DataFrame, k: int, exclude_self: bool, schema: T.StructType) -> DataFrame:
-    """The same result for a query side of any size: packed queries meet packed items on a slot number."""
-    q_packs = _packed(q, "query_id", "q")
-    i_packs = _packed(items, "id", "i")
-    slots = int(q.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    placed = i_packs.withColumn("slot", F.pmod(F.xxhash64("i_pack"), F.lit(slots)).cast("int"))
-    spread = q_packs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    pairs = spread.join(placed, "slot").select("q_ids", "q_vs", "i_ids", "i_vs")
 
+def _search(blocks: list, k: int, exclude_self: bool, types: tuple):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], list] = {}
         for batch in batches:
-            for row in range(batch.num_rows):
-                q_ids, ids = batch.column("q_ids")[row].as_py(), batch.column("i_ids")[row].as_py()
-                q_matrix = _matrix(batch.column("q_vs")[row].values)
-                matrix = _matrix(batch.column("i_vs")[row].values)
-                found = _best_of_block(q_ids, q_matrix, ids, matrix, k, exclude_self)
-                q_type, id_type = (batch.schema.field(c).type.value_type for c in ("q_ids", "i_ids"))
-                yield _result(q_type, id_type, q_ids, ids, *found)
-
-    return pairs.mapInArrow(search, schema)
+            ids = batch.column("id").to_pylist()
+            for width, (rows, matrix) in _matrices(batch.column("v")).items():
+                item_ids = [ids[r] for r in rows]
+                order = np.array(sorted(range(len(item_ids)), key=item_ids.__getitem__), np.int64)
+                item_ids = [item_ids[i] for i in order]
+                step = max(1, PRODUCT_BYTES // (8 * max(1, len(item_ids))))
+                for b, block in enumerate(blocks):
+                    q_ids, q_matrix = block.value
+                    if q_matrix.shape[1] != width or not item_ids:
+                        continue
+                    for start in range(0, len(q_ids), step):
+                        similarity = np.round(q_matrix[start:start + step] @ matrix[order].T, _DIGITS)
+                        for i, row in enumerate(similarity):
+                            own = _best_of(row, item_ids, k, q_ids[start + i] if exclude_self else None)
+                            key = (b, start + i)
+                            best[key] = sorted(best.get(key, []) + own, key=lambda x: (-x[0], x[1]))[:k]
+        out = [(blocks[b].value[0][i], item, score) for (b, i), found in best.items() for score, item in found]
+        for start in range(0, len(out), 10_000):
+            q, i, s = zip(*out[start:start + 10_000])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, type=types[0]), pa.array(i, type=types[1]), pa.array(s, type=pa.float64())],
+                names=["query_id", "id", "similarity"])
 
+    return search
 
-def _packed(df: DataFrame, id_column: str, prefix: str) -> DataFrame:
-    """Rows packed in place, ``PACK_ROWS`` per row, without a shuffle."""
-    id_type = df.schema[id_column].dataType
-    schema = T.StructType([
-        T.StructField(f"{prefix}_pack", T.StringType()), T.StructField(f"{prefix}_ids", T.ArrayType(id_type)),
-        T.StructField(f"{prefix}_vs", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, PACK_ROWS):
-                part = batch.slice(start, PACK_ROWS)
-                ids, vs = part.column(id_column), part.column("v")
-                yield pa.RecordBatch.from_pydict(
-                    {f"{prefix}_pack": [f"{ids[0]}"], f"{prefix}_ids": [ids.to_pylist()],
-                     f"{prefix}_vs": [vs.to_pylist()]},
-                    schema=pa.schema([
-                        (f"{prefix}_pack", pa.string()), (f"{prefix}_ids", pa.list_(ids.type)),
-                        (f"{prefix}_vs", pa.list_(pa.list_(pa.float64())))]))
-
-    return df.mapInArrow(pack, schema)
+def _best_of(similarity: np.ndarray, ids: list, k: int, without) -> list[tuple[float, object]]:
+    """The k best (similarity, id) of one query, ids in ascending order; all ties of the last place are looked at."""
+    wanted = k + (without is not None)
+    if wanted < len(similarity):
+        least = np.partition(similarity, len(similarity) - wanted)[len(similarity) - wanted]
+        at = np.flatnonzero(similarity >= least)
+    else:
+        at = np.arange(len(similarity))
+    at = at[np.argsort(-similarity[at], kind="stable")]
+    return [(float(similarity[i]), ids[i]) for i in at.tolist() if without is None or ids[i] != without][:k]

@@ -26,8 +26,6 @@ LEARNED_KINDS = ("insight", "answer_example")
 
 # Part lengths of page texts, and lengths of the excerpts shown inside other documents.
 SUMMARY_SIZE, NOTES_SIZE, TRANSCRIPT_SIZE = 1600, 1600, 1800
-SUMMARY_EXCERPT, NOTES_EXCERPT, LEAD_EXCERPT = 900, 700, 1500
-TITLE_SIZE, ANSWER_SIZE, QUERY_SIZE = 200, 1500, 1200
 
 
 @dataclass(frozen=True)
@@ -138,8 +136,8 @@ def deal_documents(t: DocumentTables, records: DataFrame) -> DataFrame:
         ("Sectors: ", joined(sectors)), ("Type: ", F.col("type")), ("Location: ", F.col("location")),
         ("Source: ", joined("source")), ("Met on: ", _text("meeting_date")),
         ("Added: ", _text(F.to_date("created_time"))), ("What they do: ", F.col("description")),
-        ("Call summary (excerpt): ", F.substring("ct.summary", 1, SUMMARY_EXCERPT)),
-        ("Partner notes (excerpt): ", F.substring(notes, 1, NOTES_EXCERPT)),
+        ("Call summary: ", F.col("ct.summary")),
+        ("Partner notes: ", notes),
         ("Why passed / comments: ", F.col("comments")), ("What stood out: ", F.col("what_stood_out")),
         ("What to check: ", F.col("what_to_check")), ("Risk evaluation: ", F.col("risk_evaluation")),
         ("1-year view: ", F.col("view_1y")), ("3-year view: ", F.col("view_3y")),
@@ -373,7 +371,7 @@ def lead_documents(leads: DataFrame, history: DataFrame, part_items: int = PART_
         ("Source: ", F.col("source")), ("Location: ", F.col("location")), ("Industry: ", joined("industry")),
         ("Added: ", _text("created_date")), ("Description: ", F.col("description")), ("Next action: ", F.col("next_action")),
         ("LinkedIn: ", F.col("linkedin_url")), ("Founder background (from notes): ", F.col("_history")),
-        ("Page notes (excerpt): ", F.substring("body", 1, LEAD_EXCERPT)))
+        ("Page notes: ", F.col("body")))
     metadata = compact_json(
         name=F.col("company_name"), key=name_key("company_name"),
         status=F.concat(F.lit("Lead – "), F.coalesce("status", F.lit("no status"))), lead_status=F.col("status"),
@@ -406,11 +404,11 @@ def memory_documents(insights: DataFrame, feedback: DataFrame) -> DataFrame:
         compact_json(insight_id=F.col("id"), saved=saved))
     example = _document(
         feedback.filter((F.col("rating") == 1) & F.col("question").isNotNull()), "example:", "id", "answer_example",
-        F.substring("question", 1, TITLE_SIZE),
+        F.col("question"),
         F.concat_ws(
             "\n", F.concat(F.lit("Question the team asked: "), "question"),
-            F.concat(F.lit("Answer the team marked as good ("), saved, F.lit("): "), F.substring("answer", 1, ANSWER_SIZE)),
-            F.concat(F.lit("How it was answered (query): "), F.substring("sql", 1, QUERY_SIZE))),
+            F.concat(F.lit("Answer the team marked as good ("), saved, F.lit("): "), F.col("answer")),
+            F.concat(F.lit("How it was answered (query): "), F.col("sql"))),
         compact_json(feedback_id=F.col("id"), rated=saved))
     return insight.unionByName(example)
 

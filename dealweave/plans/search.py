@@ -12,19 +12,15 @@ from pyspark.sql import functions as F
 from dealweave.functions.json import json_contains
 from dealweave.functions.text import query_text_key
 from dealweave.operators.postings import keyword_search, query_terms
-from dealweave.operators.rows import clamp_k, top_k_per
+from dealweave.operators.rows import top_k_per
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.documents import LEARNED_KINDS, newest_rules
 
-# Candidates per ranking, weights of the fused score, excerpt lengths and the memory threshold.
-CANDIDATES = 60
+# Weights of the fused score and the memory threshold.
 RANK_OFFSET = 60
 VECTOR_WEIGHT = 1.3
-SNIPPET, SIMILAR_SNIPPET, CONTEXT_SNIPPET = 900, 600, 420
 MEMORY_SIMILARITY = 0.78
-MEMORY_HITS, CONTEXT_HITS = 6, 8
 CONTEXT_KINDS = ("deal", "call_summary", "call_notes", "founder", "alumni_pattern", "funding_round")
-EMBED_CHARACTERS = 1500
 
 
 def allowed(docs: DataFrame, kinds: Sequence[str] | None, metadata: dict | None) -> DataFrame:
@@ -52,55 +48,52 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                  k: int = 10, kinds: Sequence[str] | None = None, metadata: dict | None = None,
-                  max_df: int | None = None) -> DataFrame:
-    """The k best documents per question.
+                  k: int, candidates: int, max_df: int, kinds: Sequence[str] | None = None,
+                  metadata: dict | None = None) -> DataFrame:
+    """The k best documents per question, with their whole text.
+
+    Each ranking hands its ``candidates`` best per question to the fusion; words in more than ``max_df`` documents are
+    not searched for.
 
     ``queries`` has query_id, text and vector; ``docs`` id, kind, title, body, metadata; ``vectors`` id, kind,
     metadata, embedding; ``posts`` the postings and ``frequencies`` their document frequencies.
     """
     searchable = allowed(docs, kinds, metadata)
+    there = searchable.select("id")  # a stale vector or posting must not take a candidate's place
     vector_hits = vector_top_k(
-        queries.filter(F.col("vector").isNotNull()), allowed(vectors, kinds, metadata), CANDIDATES)
-    limit = {} if max_df is None else {"max_df": max_df}
-    terms = query_terms(queries, "query_id", "text", frequencies, **limit)
-    restricted = posts if kinds is None and metadata is None else posts.join(searchable.select("id"), "id", "left_semi")
-    fused = fuse(vector_hits, keyword_search(terms, restricted, CANDIDATES))
-    shown = docs.select("id", "kind", "title", F.substring("body", 1, SNIPPET).alias("snippet"), "metadata")
-    # Cutting before the documents are joined is safe as long as every candidate has its document; a stale vector
-    # or posting must not take a place, so the id check comes first and the wide columns last.
-    present = fused.join(docs.select("id"), "id", "left_semi")
-    best = top_k_per(present, ["query_id"], [F.col("score").desc(), F.col("id")], clamp_k(k), rank="position")
-    return best.join(shown, "id")
-
-
-def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 10,
+        queries.filter(F.col("vector").isNotNull()), vectors.join(there, "id", "left_semi"), candidates)
+    terms = query_terms(queries, "query_id", "text", frequencies, max_df)
+    fused = fuse(vector_hits, keyword_search(terms, posts.join(there, "id", "left_semi"), candidates))
+    best = top_k_per(fused, ["query_id"], [F.col("score").desc(), F.col("id")], k, rank="position")
+    return best.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
+
+
+def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int,
                   kinds: Sequence[str] | None = None) -> DataFrame:
     """More like this: the k nearest other documents of every stored id."""
     wanted = ids.select(F.col("id").alias("query_id")).distinct()
     queries = vectors.join(wanted, vectors["id"] == wanted["query_id"]).select(
         "query_id", F.col("embedding").alias("vector"))
-    near = vector_top_k(queries, allowed(vectors, kinds, None), clamp_k(k), exclude_self=True)
-    shown = docs.select("id", "kind", "title", F.substring("body", 1, SIMILAR_SNIPPET).alias("snippet"), "metadata")
-    return near.join(shown, "id")
+    near = vector_top_k(queries, allowed(vectors, kinds, None), k, exclude_self=True)
+    return near.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
 
 
 def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                   rules: DataFrame, k: int = CONTEXT_HITS, hit_kinds: Sequence[str] = CONTEXT_KINDS,
-                   memory_kinds: Sequence[str] = LEARNED_KINDS, min_similarity: float = MEMORY_SIMILARITY,
-                   max_df: int | None = None) -> DataFrame:
+                   rules: DataFrame, k: int, memory_k: int, candidates: int, max_df: int,
+                   hit_kinds: Sequence[str] = CONTEXT_KINDS, memory_kinds: Sequence[str] = LEARNED_KINDS,
+                   min_similarity: float = MEMORY_SIMILARITY) -> DataFrame:
     """Per question: the active rules, close memories and document hits, as arrays in the order shown."""
-    memory = hybrid_search(queries, docs, vectors, posts, frequencies, MEMORY_HITS, memory_kinds, max_df=max_df)
+    memory = hybrid_search(queries, docs, vectors, posts, frequencies, memory_k, candidates, max_df, memory_kinds)
     memory = memory.filter(F.coalesce("similarity", F.lit(0.0)) >= min_similarity)
     memory = memory.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", "title", F.col("snippet").alias("text"),
         F.round("similarity", 3).alias("similarity")))).alias("memory"))
-    hits = hybrid_search(queries, docs, vectors, posts, frequencies, k, hit_kinds, max_df=max_df)
+    hits = hybrid_search(queries, docs, vectors, posts, frequencies, k, candidates, max_df, hit_kinds)
     hits = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", F.coalesce(F.get_json_object("metadata", "$.name"), "title").alias("name"),
         F.get_json_object("metadata", "$.status").alias("status"),
         F.get_json_object("metadata", "$.meeting_date").alias("meeting_date"),
-        F.substring("snippet", 1, CONTEXT_SNIPPET).alias("snippet")))).alias("hits"))
+        "snippet"))).alias("hits"))
     listed = newest_rules(rules).agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "rule"))).alias("r"))
     shown_rules = listed.select(F.transform("r", lambda x: x["rule"]).alias("rules")).scalar()
     return (
@@ -143,9 +136,8 @@ def _embed(df: DataFrame, text: str, out: str, embedder: Embedder) -> DataFrame:
 
 
 def embed_pending(docs: DataFrame, as_of: Column, embedder: Embedder = hashed_words) -> DataFrame:
-    """Documents with their missing embeddings filled from title and body; existing ones never reach Python."""
-    text = F.substring(F.concat_ws("\n", "title", "body"), 1, EMBED_CHARACTERS)
-    pending = docs.filter(F.col("embedding").isNull()).withColumn("_text", text)
+    """Documents with their missing embeddings filled from title and whole body; existing ones never reach Python."""
+    pending = docs.filter(F.col("embedding").isNull()).withColumn("_text", F.concat_ws("\n", "title", "body"))
     done = _embed(pending.drop("embedding"), "_text", "embedding", embedder).withColumn("embedded_at", as_of)
     return docs.filter(F.col("embedding").isNotNull()).unionByName(done.select(*docs.columns))
 
@@ -159,7 +151,7 @@ def embed_queries(queries: DataFrame, cache: DataFrame, as_of: Column, keep_days
     """
     keyed = queries.withColumn("q", query_text_key("text"))
     wanted = keyed.groupBy("q").agg(F.min("text").alias("text"))
-    missing = wanted.join(cache, "q", "left_anti").withColumn("_text", F.substring("text", 1, EMBED_CHARACTERS))
+    missing = wanted.join(cache, "q", "left_anti").withColumn("_text", F.col("text"))
     fresh = _embed(missing, "_text", "embedding", embedder).select("q", "embedding", as_of.alias("used_at"))
     stale_touch = F.col("used_at") < as_of - F.make_dt_interval(F.lit(1))
     held = cache.join(wanted.select("q", F.lit(True).alias("_asked")), "q", "left").withColumn(

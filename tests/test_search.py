@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dealweave.operators.chunks import chunk_documents, chunk_text, register_text_chunks
 from dealweave.operators.postings import keyword_search, postings, query_terms, term_df
+from dealweave.operators import vectors as vector_search
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.search import embed_pending, embed_queries, hashed_words, hybrid_search, memory_context, similar_items
 from tests.test_rows_and_joins import rows
@@ -47,12 +48,15 @@ def vectors(spark, n, seed):
     return data, spark.createDataFrame(data, "id int, embedding array<float>")
 
 
-@pytest.mark.parametrize("limit", [8192, 2])
-def test_vector_top_k_equals_numpy(spark, limit):
+@pytest.mark.parametrize("limit", [4 << 20, 100])
+def test_vector_top_k_equals_numpy(spark, monkeypatch, limit):
+    monkeypatch.setattr(vector_search, "BLOCK_BYTES", limit)
+    monkeypatch.setattr(vector_search, "PRODUCT_BYTES", limit)
     data, df = vectors(spark, 60, 1)
+    df = df.unionByName(spark.createDataFrame([(100, [1.0]), (101, None), (102, [None] * 8), (None, [1.0] * 8)], df.schema))
     q = df.filter("id < 7").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
     got = {}
-    for r in vector_top_k(q, df.repartition(5), 4, exclude_self=True, max_broadcast=limit).collect():
+    for r in vector_top_k(q, df.repartition(5), 4, exclude_self=True).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.id))
     m = np.array([v for _, v in data])
     norm = np.linalg.norm(m, axis=1)
@@ -66,6 +70,16 @@ def test_vector_top_k_equals_numpy(spark, limit):
         assert [x for _, x in sorted(got[i])] == order
 
 
+def test_wide_vectors_and_ties(spark):
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(40, 1536))
+    data = [(i, wide[i % 20].tolist()) for i in range(40)]
+    df = spark.createDataFrame(data, "id int, embedding array<double>")
+    q = df.filter("id < 3").select(F.col("id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = vector_top_k(q, df.repartition(3), 2).collect()
+    assert sorted((r.query_id, r["rank"], r.id) for r in got) == [(i, k + 1, i + 20 * k) for i in range(3) for k in range(2)]
+
+
 def corpus(spark):
     docs = spark.createDataFrame([
         ("d1", "deal", "T1", "alpha alpha common", '{"name":"One","status":"Pass"}'), ("d2", "deal", "T2", "alpha common", '{"name":"Two"}'),
@@ -90,15 +104,15 @@ def test_keyword_side(spark):
 
 def test_hybrid_search(spark):
     docs, vecs, asked, posts = corpus(spark)
-    got = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 3, max_df=3)
+    got = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 3, 60, 3)
     best = {(r.query_id, r.position): r.id for r in got.collect()}
     assert best[(1, 1)] == "d1" and best[(1, 2)] == "d2" and best[(2, 1)] == "d3"
     assert "stale" not in best.values() and not any(q == 3 for q, _ in best)
     score = got.filter("query_id = 1 and id = 'd1'").first().score
     assert score == pytest.approx(1.3 / 61 + 1 / 61)
-    only = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 3, ["deal"], {"name": "Two"}, max_df=3)
+    only = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 3, 60, 3, ["deal"], {"name": "Two"})
     assert {r.id for r in only.collect()} == {"d2"}
-    nothing = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 0, ["none"], max_df=3)
+    nothing = hybrid_search(asked, docs, vecs, posts, term_df(posts, 2), 1, 60, 3, ["none"])
     assert nothing.count() == 0
 
 
@@ -108,7 +122,7 @@ def test_similar_and_context(spark):
     assert [(r.id, r["rank"]) for r in near.orderBy("rank").collect()][0][0] == "d2" or near.count() <= 2
     rules = spark.createDataFrame([(1, "2024-01-01", "r1", True), (2, "2024-01-02", "r2", True), (3, "2024-01-03", "r3", False)],
                                   "id int, created_at string, rule string, active boolean")
-    got = {r.query_id: r for r in memory_context(asked, docs, vecs, posts, term_df(posts, 2), rules, max_df=3).collect()}
+    got = {r.query_id: r for r in memory_context(asked, docs, vecs, posts, term_df(posts, 2), rules, 8, 6, 60, 3).collect()}
     assert got[1].rules == ["r1", "r2"] and [h.name for h in got[1].hits] == ["One", "Two"]
     assert [m.id for m in got[2].memory] == ["d3"] and got[1].memory is None
 
