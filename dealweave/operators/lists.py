@@ -2,19 +2,18 @@
 
 Values are always reduced to distinct (group, value) pairs first: that step aggregates inside the map tasks and
 spreads a hot group over all reducers, and only the values the result cell has to show are brought together.
-Where one group may hold more values than one cell should, ``list_parts`` writes its list in several numbered parts
-instead of cutting it.
+Lists that can outgrow a cell are written by ``list_parts`` in numbered parts of a stated size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values one list cell may hold before a group's list is written in several numbered parts.
-PART_ITEMS = 100_000
+#: Values of one part of a list.
+PART_ITEMS = 10_000
 
 
 def distinct_join(value: str | Column, separator: str = ", ", where: Column | None = None) -> Column:
@@ -54,23 +53,22 @@ def shortest(value: str) -> Column:
 
 def list_parts(df: DataFrame, keys: Sequence[str], value: str, out: str, separator: str = ", ",
                part_items: int = PART_ITEMS) -> DataFrame:
-    """(keys, part, out): distinct values per group as sorted text, in more than one part only for oversized groups.
+    """(keys, part, out): distinct values per group as sorted text, ``part_items`` values to a part.
 
-    Parts are taken by hash, so each stays near ``part_items`` values and no task gathers a whole oversized group.
-    Nothing is dropped: the parts of a group together hold each of its values once. The oversized groups number at
-    most rows / part_items.
+    Part p holds the values ranked p * part_items + 1 and on, in the order of their md5, whatever the size of the group;
+    a small group has part 0 alone. The rank is counted in 4,096 ranges of md5 with the sizes of the ranges before, so
+    no task sorts or gathers a whole group.
     """
-    pairs = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    wide = (
-        pairs.groupBy(*[F.col(k).alias(f"_w_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > part_items)
-    )
-    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys]
-    placed = pairs.join(wide, same, "left").withColumn(
-        "part",
-        F.coalesce(F.pmod(F.xxhash64(value), F.ceil(F.col("_n") / part_items)), F.lit(0)).cast("int"),
-    )
-    return placed.groupBy(*keys, "part").agg(
+    pairs = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct().withColumn("_h", F.md5(value)).withColumn(
+        "_range", F.substring("_h", 1, 3))
+    before = Window.partitionBy(*[f"_w_{k}" for k in keys]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = pairs.groupBy(*[F.col(k).alias(f"_w_{k}") for k in keys], F.col("_range").alias("_r")).agg(
+        F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys] + [F.col("_range") == F.col("_r")]
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_h"))
+    ranked = pairs.withColumn("_in", inside).join(sizes, same)
+    part = F.floor((F.col("_before") + F.col("_in") - 1) / part_items)
+    return ranked.groupBy(*keys, part.alias("part")).agg(
         F.array_join(F.sort_array(F.collect_list(value)), separator).alias(out))
 
 

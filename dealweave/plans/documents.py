@@ -218,13 +218,13 @@ def founder_documents(model, career: DataFrame, part_items: int = PART_ITEMS) ->
             "deal", F.lit(" ("), F.coalesce("status", F.lit("no status")), _tail(", ", joined("sectors")),
             _tail(", F3 ", F.col("f3_classification")), F.lit(")")))
     texts = list_parts(pitched, ["founder_key"], "_entry", "pitched", "; ", part_items)
-    names = list_parts(pitched, ["founder_key"], "deal", "deals", "\n", part_items)
+    names = pitched.select("founder_key", "deal").distinct().groupBy("founder_key").agg(distinct_array("deal").alias("deals"))
     facets = pitched.select("founder_key", "status").distinct().groupBy("founder_key").agg(
         distinct_array("status").alias("statuses"))
     sectors = pitched.select(F.col("founder_key").alias("_f"), F.explode("sectors").alias("_s")).distinct().groupBy(
         "_f").agg(distinct_array("_s").alias("sectors"))
     f = (
-        career.join(texts.join(names, ["founder_key", "part"], "full"), "founder_key").join(facets, "founder_key", "left")
+        career.join(texts, "founder_key").join(names, "founder_key", "left").join(facets, "founder_key", "left")
         .join(sectors, F.col("founder_key") == F.col("_f"), "left")
     )
     body = labelled_lines(
@@ -232,7 +232,7 @@ def founder_documents(model, career: DataFrame, part_items: int = PART_ITEMS) ->
         ("Career history: ", F.col("career")), ("Alumni of: ", joined("companies")))
     metadata = compact_json(
         name=F.col("name"), linkedin=F.col("linkedin_url"), companies=F.col("companies"),
-        deals=F.split("deals", "\n"), sectors=F.col("sectors"), statuses=F.col("statuses"))
+        deals=F.col("deals"), sectors=F.col("sectors"), statuses=F.col("statuses"))
     return _document(f, "founder:", _part_id("founder_key"), "founder", F.col("name"), body, metadata)
 
 

@@ -142,9 +142,10 @@ def test_segment_compare(spark):
     assert got[("Fintech", 1)].missed == 1 and got[("Fintech", 1)].key_difference is False
     assert got[("All sectors", 13)].seen is None and got[("All sectors", 13)].reading == "Not enough data to compare."
     assert got[("All sectors", 12)].missed == 100 and got[("All sectors", 12)].seen == 0 and got[("All sectors", 12)].key_difference is True
-    assert "%" not in got[("All sectors", 12)].reading and "%" in got[("All sectors", 8)].reading
-    missed = {(r.segment, r.investor): (r.missed_companies, r.companies, r.also_backed_seen) for r in co.missed_investors(table).collect()}
-    assert missed == {("Fintech", "A"): (1, "Acme", True), ("Fintech", "B"): (1, "Acme", False)}
+    assert "%" in got[("All sectors", 12)].reading and "%" not in got[("All sectors", 11)].reading
+    missed = {(r.segment, r.investor): (r.missed_companies, r.also_backed_seen) for r in co.missed_investors(table).collect()}
+    assert missed == {("Fintech", "A"): (1, True), ("Fintech", "B"): (1, False)}
+    assert {(r.investor, r.part, r.companies) for r in co.missed_names(table).collect()} == {("A", 0, "Acme"), ("B", 0, "Acme")}
 
 
 def test_round_fanout_flag(spark):
@@ -160,10 +161,12 @@ def test_company_list_parts(spark):
         [(f"d{i}", f"Deal {i}", "Pass" if i % 2 else "To be Passed", None if i < 3 else "NA" if i < 5 else "Deck Scan", None, "Acme", s) for i in range(40) for s in ("acme", "ACME")],
         "id string, deal string, status string, decision_to_pass_stage string, f3_classification string, company string, spelling string")
     one = co.company_list(mentions).first()
-    assert (one.deals, one.passed, one.stage_deck_scan, one.stage_not_set, one.part) == (40, 20, 35, 5, 0)
-    assert one.pass_stages == "Deck Scan 35, Not set 5" and one.f3_split == "Unclassified 40" and one.spellings == "ACME, acme"
-    many = co.company_list(mentions, part_items=10).collect()
-    assert len(many) > 1 and sum(len(r.deal_names.split(", ")) for r in many if r.deal_names) == 40 and {r.deals for r in many} == {40}
+    assert (one.deals, one.passed, one.stage_deck_scan, one.stage_not_set) == (40, 20, 35, 5)
+    assert one.pass_stages == "Deck Scan 35, Not set 5" and one.f3_split == "Unclassified 40"
+    assert rows(co.company_names(mentions).filter("kind = 'spelling'")) == [("Acme", "spelling", 0, "ACME, acme")]
+    many = co.company_names(mentions, part_items=10).filter("kind = 'deal'").collect()
+    assert sorted(r.part for r in many) == [0, 1, 2, 3] and {len(r.names.split(", ")) for r in many} == {10}
+    assert len({n for r in many for n in r.names.split(", ")}) == 40
 
 
 def test_worked_at_patterns(values):
