@@ -38,7 +38,26 @@ def op2(spark, folder):
     return token_counts.count_tokens(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
-@query("op3_suffix_dedup")
+_REPEATS_CHECK = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+pieces as (select doc_id, s, x[2 * s + 1:2 * s + 1398] as piece
+           from (select doc_id, x, unnest(range(0, length(x) // 2, 500)) as s from d)),
+strings as (select doc_id, s + p as p, md5(piece[2 * p - 1:2 * p + 398]) as h
+            from (select doc_id, s, piece, unnest(range(1, least(501, length(piece) // 2 - 198))) as p from pieces)),
+twice as (select doc_id, p from strings where h in (select h from strings group by h having count(*) > 1)),
+runs as (select doc_id, p, count(*) filter (fresh) over (partition by doc_id order by p) as run
+         from (select doc_id, p, coalesce(p - lag(p) over (partition by doc_id order by p) > 200, true) as fresh from twice)),
+spans as (select doc_id, run, min(p) as a, max(p) + 200 as b from runs group by doc_id, run),
+gaps as (select doc_id, a, lag(b, 1, 1) over (partition by doc_id order by a) as from_, b from spans),
+ends as (select doc_id, count(*) as n_spans, sum(b - a) as n_removed, max(b) as last_,
+                string_agg(x[2 * from_ - 1:2 * a - 2], '' order by a) as head
+         from gaps join d using (doc_id) group by doc_id)
+select doc_id, length(x) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(concat(coalesce(head, ''), x[2 * coalesce(last_, 1) - 1:]))) as kept_sha256
+from d left join ends using (doc_id)"""
+
+
+@query("op3_suffix_dedup", _REPEATS_CHECK)
 def op3(spark, folder):
     """Bytes of every document removed as repeats of 200 bytes, and the digest of the rest."""
     kept = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
