@@ -109,7 +109,7 @@ def similar_items_query(t):
 
 
 @query("memory_context", f"""with {_KEYWORDS.strip()}, {_VECTORS.strip()},
-    rl as (select string_agg(rule, ', ' order by created_at, id) as rules from (select * from rules where active order by created_at desc, id desc limit 40)),
+    rl as (select string_agg(rule, ', ' order by created_at, id) as rules from rules where active),
     mv as (select s.query_id, s.id, similarity, row_number() over (partition by s.query_id order by similarity desc, s.id) as rank from sims s
       join docs d on d.id = s.id where d.kind in ('src0', 'src1', 'src2')),
     mk as (select k.query_id, k.id, row_number() over (partition by k.query_id order by keyword_score desc, k.id) as rank from kw k
@@ -277,8 +277,8 @@ def table_coverage_query(t):
     with m as (select distinct l.id as answer_id, trim(unnest(regexp_extract_all(answer, '\\*\\*(.+?)\\*\\*', 1))) as name from log l where answer is not null
       union select e.event_id, c_name from events e join customer on c_custkey = e.user_id where event_type <> 'error'),
     d as (select deal, url, status, row_number() over (partition by deal order by created_time desc, id) as n from deals),
-    j as (select answer_id, name, url, status, row_number() over (partition by answer_id order by name) as i from m join d on d.deal = m.name and d.n = 1)
-    select answer_id, name, url, status from j where i <= 25""")
+    j as (select answer_id, name, url, status from m join d on d.deal = m.name and d.n = 1)
+    from j""")
 def source_links_query(t):
     answers = t.log.filter("answer is not null").select(F.col("id").alias("answer_id"), "answer")
     cells = t.events.filter("event_type <> 'error'").join(t.customer, F.col("c_custkey") == F.col("user_id")).select(

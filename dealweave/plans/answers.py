@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, oldest
 from dealweave.functions.text import any_word
-from dealweave.operators.rows import first_per_group, top_k_per
+from dealweave.operators.rows import first_per_group
 
 # Words that open a remark or make up a heading, so that bold text with them is not a name.
 REMARK_WORDS = (
@@ -210,32 +210,29 @@ def contained_tables(cells: DataFrame, rules: CoverRules = CoverRules()) -> Data
 
 # --- links and cached answers ----------------------------------------------------------------------------------
 
-MENTION_ROWS, MENTIONS, LINKS = 40, 60, 25
 ANSWER_DAYS = 14
 
 
 def mentioned_names(answers: DataFrame, table_cells: DataFrame) -> DataFrame:
-    """(answer_id, name, position): bold names, then the first text column of the first rows, at most 60.
+    """(answer_id, name, position): bold names, then the first text column of the answer's table.
 
     ``table_cells``: answer_id, row_no, value of that column.
     """
     bold = answers.select("answer_id", F.posexplode(F.regexp_extract_all("answer", F.lit(BOLD), F.lit(1))).alias("_p", "name"))
     bold = bold.select("answer_id", F.trim("name").alias("name"), F.col("_p").cast("bigint").alias("position"))
     # Table names come after every bold one of the answer.
-    cells = table_cells.filter(F.col("row_no") <= MENTION_ROWS).select(
+    cells = table_cells.select(
         "answer_id", F.col("value").alias("name"), (F.lit(1_000_000_000) + F.col("row_no")).cast("bigint").alias("position"))
     names = bold.unionByName(cells).filter((F.length("name") > 1) & (F.length("name") < 80))
-    names = names.groupBy("answer_id", "name").agg(F.min("position").alias("position"))
-    return top_k_per(names, ["answer_id"], [F.col("position"), F.col("name")], MENTIONS)
+    return names.groupBy("answer_id", "name").agg(F.min("position").alias("position"))
 
 
-def source_links(mentions: DataFrame, deals: DataFrame, limit: int = LINKS) -> DataFrame:
-    """Per answer the newest linked deal of every mentioned name, at most ``limit``."""
+def source_links(mentions: DataFrame, deals: DataFrame) -> DataFrame:
+    """Per answer the newest linked deal of every mentioned name."""
     newest_deal = first_per_group(
         deals.filter(F.col("url").isNotNull() & F.col("deal").isNotNull()), ["deal"], [newest("created_time"), oldest("id")]
     ).select(F.col("deal").alias("name"), "url", "status")
-    linked = mentions.select("answer_id", "name").distinct().join(newest_deal, "name")
-    return top_k_per(linked, ["answer_id"], [F.col("name")], limit)
+    return mentions.select("answer_id", "name").distinct().join(newest_deal, "name")
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, as_of: Column, days: int = ANSWER_DAYS

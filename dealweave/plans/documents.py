@@ -413,6 +413,7 @@ def memory_documents(insights: DataFrame, feedback: DataFrame) -> DataFrame:
     return insight.unionByName(example)
 
 
-def newest_rules(rules: DataFrame, n: int = 40) -> DataFrame:
-    """The n newest active rules, to be shown oldest first."""
-    return rules.filter("active").orderBy(newest("created_at"), newest("id")).limit(n)
+def newest_rules(rules: DataFrame, n: int | None = None) -> DataFrame:
+    """The n newest active rules (all without n), to be shown oldest first."""
+    active = rules.filter("active")
+    return active if n is None else active.orderBy(newest("created_at"), newest("id")).limit(n)

@@ -83,4 +83,4 @@ def refresh(tables: SourceTables, model: Model | None, runs: DataFrame, as_of: C
         note = "documents rebuilt" + (" + snapshot model" if rebuilt else "")
         return Refreshed(True, documents, vector_table(documents), changes, note)
     except Exception as error:  # the run log keeps the reason; the caller keeps the old tables
-        return Refreshed(False, None, None, None, str(error)[:400])
+        return Refreshed(False, None, None, None, str(error))

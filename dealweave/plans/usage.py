@@ -13,17 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, oldest
-from dealweave.functions.text import squeeze
 from dealweave.operators.rows import bounded, latest_per_key
 from dealweave.plans.answers import error_class
 
-# Report lengths of the source system.
-PERIODS = (7, 30, 90, 365)
-SERIES_DAYS = 90
-FAILURES, FAILURE_TEXT = 8, 90
+# Report lengths of the source system, as defaults of the reports that show the newest.
 LEARNING_WEEKS = 12
 EVENTS = 40
-QUEUE, ANSWER_EXCERPT = 100, 600
+QUEUE = 100
 PENDING, APPROVED, DISMISSED = "pending", "approved", "dismissed"
 UNKNOWN_USER = "(before login)"
 EXAMPLE_KIND = "answer_example"
@@ -61,8 +57,10 @@ def _int(c: Column, name: str) -> Column:
 
 
 def period(days: int) -> int:
-    """One of the offered periods; anything else means 30 days."""
-    return days if days in PERIODS else 30
+    """A number of days, at least one."""
+    if days < 1:
+        raise ValueError("a period has at least one day")
+    return days
 
 
 def usage_quota(log: DataFrame, as_of: Column, limits: Limits = Limits(), client: str = "user_email") -> DataFrame:
@@ -99,8 +97,8 @@ def _daily_counts() -> list[Column]:
 
 
 def daily_series(log: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """Counts for every day of the period, days without rows included, at most 90 days."""
-    span = min(period(days), SERIES_DAYS)
+    """Counts for every day of the period, days without rows included."""
+    span = period(days)
     today = as_of.cast("date")
     counts = log.filter(_since(as_of, span)).groupBy(F.col("created_at").cast("date").alias("d")).agg(*_daily_counts())
     calendar = log.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(today, span - 1), today)).alias("d"))
@@ -128,12 +126,11 @@ def user_totals(log: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
 
 
 def failure_reasons(log: DataFrame, as_of: Column, days: int = 30) -> DataFrame:
-    """The most frequent error texts of the period, with their class."""
+    """All error texts of the period by frequency, with their class. Runs of white space count as one space."""
     reasons = log.filter(~_ok() & _since(as_of, period(days) - 1)).groupBy(
-        squeeze("error", FAILURE_TEXT).alias("reason")).agg(
+        F.regexp_replace("error", r"\s+", " ").alias("reason")).agg(
         _int(F.count(F.lit(1)), "n"), F.max("created_at").alias("last"))
-    best = reasons.orderBy(F.desc("n"), "reason").limit(FAILURES)
-    return best.withColumn("error_class", error_class("reason"))
+    return reasons.withColumn("error_class", error_class("reason")).orderBy(F.desc("n"), "reason")
 
 
 def weekly_learning(feedback: DataFrame, rules: DataFrame, log: DataFrame, as_of: Column,
@@ -155,7 +152,7 @@ def weekly_learning(feedback: DataFrame, rules: DataFrame, log: DataFrame, as_of
 
 def event_feed(feedback: DataFrame, rules: DataFrame, log: DataFrame, n: int = EVENTS) -> DataFrame:
     """The newest learning events: examples, rules and corrections. Each source is cut to n before they are merged."""
-    channel = F.when(F.col("chat_id").startswith("team:"), F.substring("chat_id", 6, 1000)).otherwise("assistant")
+    channel = F.when(F.col("chat_id").startswith("team:"), F.regexp_replace("chat_id", "^team:", "")).otherwise("assistant")
     author = F.nullif(F.regexp_extract("source", r"by ([^ ]+)\z", 1), F.lit(""))
     no_text = F.lit(None).cast("string")
     parts = [
@@ -209,7 +206,7 @@ def review_queue(log: DataFrame, n: int = QUEUE) -> DataFrame:
     status = F.coalesce("correction_status", F.lit(PENDING))
     rows = log.filter(F.col("rating") == -1).select(
         "id", "created_at", F.coalesce("user_email", "client_id").alias("who"), "question",
-        F.substring("answer", 1, ANSWER_EXCERPT).alias("answer"), "correction", status.alias("status"))
+        "answer", "correction", status.alias("status"))
     return rows.orderBy((F.col("status") == PENDING).desc(), F.desc("id")).limit(n)
 
 
@@ -226,12 +223,12 @@ def log_search(log: DataFrame, before: int | None = None, limit: int = 30, user:
     if user:
         rows = rows.filter(F.col("user_email") == user.lower())
     if text:
-        like = f"%{text.strip()[:100]}%"
+        like = f"%{text.strip()}%"
         rows = rows.filter(F.col("question").ilike(like) | F.col("answer").ilike(like))
     if status in conditions:
         rows = rows.filter(conditions[status])
     rows = rows.withColumn("who", F.coalesce("user_email", "client_id"))
-    return bounded(rows, [F.desc("id")], min(max(limit, 10), 100))
+    return bounded(rows, [F.desc("id")], limit)
 
 
 # --- runs and freshness ----------------------------------------------------------------------------------------

@@ -78,7 +78,7 @@ def test_source_links(spark):
     longer = deals.withColumn("deal", F.concat("deal", F.lit("co")))
     names = mentioned_names(answers.withColumn("answer", F.lit("**Aco** and **Bco** and **Xco**")), table.withColumn("value", F.concat("value", F.lit("co"))))
     links = source_links(names, longer).select("answer_id", "name", "url", "status")
-    assert rows(links) == [(1, "Aco", "new", "Pass"), (1, "Cco", "c", None)]
+    assert rows(links) == [(1, "Aco", "new", "Pass"), (1, "Cco", "c", None), (1, "Dco", "d", None)]
 
 
 def test_answer_cache(spark):
