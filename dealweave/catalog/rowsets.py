@@ -10,7 +10,8 @@ from dealweave.functions.order import newest, newest_known, oldest
 from dealweave.functions.text import holds, holds_any, matches
 from dealweave.operators.chunks import count_parts
 from dealweave.operators.rows import first_per_group, rank_list, top_k, top_k_per, with_group_value
-from dealweave.plans.answers import audit_sql, error_class, question_profile
+from dealweave.plans.answers import (
+    ANALYSIS_WORDS, ASKING_WORDS, FINANCE_TOPIC, JOINING_WORDS, LONG_QUESTION, audit_sql, error_class, question_profile)
 from dealweave.plans.deals import (
     content_level, deal_content, projection, raw_data, raw_data_content, row_sum, slim_sorted, work_queue)
 
@@ -135,19 +136,22 @@ def sql_audit(t):
     return audit_sql(log, "sql", ["pg_sleep", "set_config", "copy"]).drop("sql")
 
 
-@query("question_profile", r"""
+def _any(words) -> str:
+    return rf"(?i)\b({'|'.join(words)})\b"
+
+
+@query("question_profile", rf"""
     with q as (select conv_id, turn, text || case role when 'user' then '? And who? Also why' when 'system' then ' list fintech' else '' end as question
-      from conversations)
-    select conv_id, turn, length(regexp_replace(question, '[^?]', '', 'g'))
-        + len(regexp_extract_all(question, '(?i)\b(also|and then|as well as|along with)\b')) as parts,
-      len(regexp_extract_all(question, '(?i)\b(what|which|who|whom|how|why|where|when|list|show|identify)\b')) as asks,
-      length(question) as length,
-      regexp_matches(question, '(?i)fin ?tech|financial|lending|payments?|insur|wealth|neobank|credit') as about_finance
-    from q""")
+      from conversations),
+    n as (select *, length(regexp_replace(question, '[^?]', '', 'g')) + len(regexp_extract_all(question, '{_any(JOINING_WORDS)}')) as parts,
+      len(regexp_extract_all(question, '{_any(ASKING_WORDS)}')) as asks, length(question) as length from q)
+    select conv_id, turn, parts, asks, length, regexp_matches(question, '(?i){FINANCE_TOPIC}') as about_finance,
+      parts > 1 or asks > 1 or length > {LONG_QUESTION} or regexp_matches(question, '{_any(ANALYSIS_WORDS)}') as is_complex
+    from n""")
 def question_profile_query(t):
     tail = F.when(F.col("role") == "user", "? And who? Also why").when(F.col("role") == "system", " list fintech").otherwise("")
     rows = t.conversations.select("conv_id", "turn", F.concat("text", tail).alias("question"))
-    return question_profile(rows).drop("question", "is_complex")
+    return question_profile(rows).drop("question")
 
 
 @query("error_class", r"""

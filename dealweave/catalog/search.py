@@ -12,8 +12,8 @@ from dealweave.operators.postings import keyword_search, postings, query_terms,
 from dealweave.operators.rows import spread
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.answers import (
-    bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, mentioned_names, source_links,
-    ungrounded_names)
+    HEADING_WORDS, REMARK_WORDS, bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, mentioned_names,
+    source_links, ungrounded_names)
 from dealweave.plans.search import embed_pending, embed_queries, hybrid_search, memory_context, similar_items
 
 MAX_DF = 20
@@ -197,6 +197,12 @@ _ANSWERS = r"""
     n as (select distinct conv_id, turn, trim(unnest(regexp_extract_all(answer, '\*\*(.+?)\*\*', 1))) as name from (select answer_id as conv_id, turn, answer from a))"""
 
 
+# The name rules with the word lists they share with the operator.
+_NAME_RULES = rf""",
+    f as (select * from n where length(name) > 2 and not regexp_matches(name, '\d|[:?]$') and not regexp_matches(name, '(?i)^({'|'.join(REMARK_WORDS)})\b')
+      and (len(string_split(name, ' ')) <= 2 or not regexp_matches(name, '(?i)\b({'|'.join(HEADING_WORDS)})\b')))"""
+
+
 def answers_of(t):
     """Answers with bold names made of their own first words, as they would be marked in a reply."""
     word = lambda i: F.split_part("text", F.lit(" "), F.lit(i))
@@ -206,21 +212,13 @@ def answers_of(t):
                        bold.alias("answer"))
 
 
-@query("bold_names", f"with {_ANSWERS.strip()}" + r""",
-    f as (select * from n where length(name) >= 3 and not regexp_matches(name, '\d') and not regexp_matches(name, '[:?]$')
-      and not regexp_matches(name, '(?i)^(scope|takeaway|corrected|note|part|total|all|none|not set|yes|no)\b')
-      and not (regexp_matches(name, '(?i)\b(companies|deals|founders|investors|startups|rounds|teams|sectors|missed|passed|funded|pattern|patterns|why|who|how many)\b')
-        and len(string_split(name, ' ')) > 2))
+@query("bold_names", f"with {_ANSWERS.strip()}" + _NAME_RULES + r"""
     select conv_id::varchar || '-' || turn::varchar as answer_id, name from f""")
 def bold_names_query(t):
     return bold_names(answers_of(t))
 
 
-_UNGROUNDED = f"with {_ANSWERS.strip()}" + r""",
-    f as (select * from n where length(name) >= 3 and not regexp_matches(name, '\d') and not regexp_matches(name, '[:?]$')
-      and not regexp_matches(name, '(?i)^(scope|takeaway|corrected|note|part|total|all|none|not set|yes|no)\b')
-      and not (regexp_matches(name, '(?i)\b(companies|deals|founders|investors|startups|rounds|teams|sectors|missed|passed|funded|pattern|patterns|why|who|how many)\b')
-        and len(string_split(name, ' ')) > 2)),
+_UNGROUNDED = f"with {_ANSWERS.strip()}" + _NAME_RULES + r""",
     k as (select *, trim(regexp_replace(lower(name), '\s*\(.*?\)\s*', ' ', 'g')) as key from f),
     u as (select conv_id, turn, name from k
       where not exists (select 1 from conversations c where c.conv_id = k.conv_id and c.role = 'user' and contains(lower(c.text), key)))"""
