@@ -21,7 +21,8 @@ HEADLINES = (
     "company_list", "company_deals", "employer_facts", "startup_universe", "company_rounds", "segment_metrics",
     "worked_at", "nearest_date_match", "mirror_upsert", "snapshot_diff", "pages_scan", "table_coverage",
     "chunk_documents", "term_df", "keyword_search", "vector_top_k", "similar_items", "hybrid_search", "freshness",
-    "usage_kpis", "daily_series", "stream_daily_kpis",
+    "usage_kpis", "daily_series", "stream_daily_kpis", "stream_usage_24h", "regex_join", "memory_context", "build_documents",
+    "nightly_run",
 )
 
 
