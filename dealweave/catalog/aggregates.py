@@ -192,11 +192,11 @@ ROUNDS_CHECK = """
     select company, our_status, missed::varchar as missed, is_fintech, sectors, location, founded_year::bigint as founded_year, age_at_latest_round::bigint as age_at_latest_round,
       rounds, total_raised_usd::double as total_raised_usd, latest_round, {dt('latest_date')} as latest_round_date, latest_usd::double as latest_round_usd,
       lead_investors, all_investors, investor_count::bigint as investor_count, founder_data, founders, founder_previous_companies,
-      serial_founder::varchar as serial_founder from co, (select 1 from rounds limit 1), (select 1 from company_people limit 1)""")
+      serial_founder::varchar as serial_founder, array_to_string(investor_list, ', ') as investor_list, null::varchar as founder_colleges,
+      null::varchar as prior_funded_founder from co, (select 1 from rounds limit 1), (select 1 from company_people limit 1)""")
 def company_rounds_query(t):
-    out = companies_of(t).drop("investor_list", "founder_colleges", "prior_funded_founder")
-    return out.withColumn("missed", F.col("missed").cast("string")).withColumn(
-        "serial_founder", F.col("serial_founder").cast("string"))
+    flags = ("missed", "serial_founder", "prior_funded_founder")
+    return companies_of(t).withColumns({c: F.col(c).cast("string") for c in flags})
 
 
 _FIGURES = "with " + ROUNDS_CHECK.strip() + """,
