@@ -9,8 +9,8 @@ offsets. Neighbouring strings with one such gram form a span, and grams found on
 * Where a gram has different spans, their suffixes are sorted inside a task: mergesort, each comparison finding the
   common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours that agree in ``length``
   bytes are repeats, after their bytes have been compared.
-* A gram with very many different spans would be one large task. Its strings are dealt out by two independent hashes
-  of all their bytes instead, and counted.
+* A gram with very many different spans would be one large task. Its strings are dealt out by a 128-bit hash of all
+  their bytes instead, and counted.
 
 Texts are stored once, in blocks, in a table bucketed by block; what is learned about a span goes to its block, and no
 later step moves texts.
@@ -35,7 +35,9 @@ LENGTH = 200
 GRAM = 32
 #: Different spans of one gram up to which they are sorted together in a task.
 SORTED_TOGETHER = 128
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 2 << 20
+#: Strings hashed in one call.
+SEGMENT = 1 << 20
 #: Suffixes sorted in one call.
 SORT_BYTES = 2 << 20
 
@@ -79,8 +81,24 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n - width + 1], ahead[width - 1:n])
 
 
-def spans_of(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
-    """Spans of texts that stand one after another: hash of the gram, its place, first string, strings less one."""
+def spans_of(data: np.ndarray, sizes: np.ndarray, length: int, gram: int, segment: int):
+    """Spans of texts that stand one after another: hash of the gram, its place, first string, strings less one.
+
+    ``segment`` strings are hashed at once, so the memory for a text of any size is bounded; a span that crosses the
+    end of a segment becomes two, filed under the same gram.
+    """
+    found = []
+    for at in range(0, max(len(data) - length + 1, 1), segment):
+        stop = min(at + segment + length - 1, len(data))
+        ends = np.cumsum(sizes)
+        first, last = np.searchsorted(ends, [at, stop], side="right")
+        edges = np.clip(np.append(ends[first:last], stop), at, stop) - at
+        g, place, start, more = _segment_spans(data[at:stop], np.diff(edges, prepend=0), length, gram)
+        found.append((g, place + at, start + at, more))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _segment_spans(data: np.ndarray, sizes: np.ndarray, length: int, gram: int):
     none = np.zeros(0, np.int64)
     if len(data) < length or sizes.max(initial=0) < length:
         return none.astype(np.uint64), none, none, none
@@ -194,7 +212,7 @@ def _blocks(docs: DataFrame, doc_id: str, text: str, length: int, gram: int) ->
                 texts = text_bytes(part.column("text"))
                 joined = b"".join(texts)
                 sizes = np.array([len(t) for t in texts], np.int64)
-                g, place, start, more = spans_of(np.frombuffer(joined, np.uint8), sizes, length, gram)
+                g, place, start, more = spans_of(np.frombuffer(joined, np.uint8), sizes, length, gram, SEGMENT)
                 s = np.fromiter((xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(
                     start.tolist(), (start + more + length).tolist(), strict=True)), np.uint64, len(start))
                 block = TaskContext.get().partitionId() << 16 | made
@@ -234,7 +252,7 @@ def _span_texts(length: int):
 
 
 def _span_strings(length: int):
-    """Cogroup: every string of the asked spans of a block, by its offset to the gram and two hashes of its bytes."""
+    """Cogroup: every string of the asked spans of a block, by its offset to the gram and a hash of its bytes in two parts."""
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
         names = [n.split()[0] for n in _STRINGS.split(", ")]
@@ -246,10 +264,10 @@ def _span_strings(length: int):
         which = np.repeat(np.arange(len(i)), times)
         at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
         first = start[i][which] + at
-        k = np.fromiter((xxhash.xxh64_intdigest(data[a:a + length]) for a in first.tolist()), np.uint64, len(first))
         own = [asked.column(n).to_numpy()[which] for n in ("g", "s", "n")]
-        h = PrefixHashes(np.frombuffer(data, np.uint8)).of(first, length)
-        return pa.table(dict(zip(names, [*own, at, place[i][which] - first, _signed(h), _signed(k)], strict=True)))
+        digests = b"".join(xxhash.xxh3_128_digest(data[a:a + length]) for a in first.tolist())
+        h, k = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+        return pa.table(dict(zip(names, [*own, at, place[i][which] - first, h.copy(), k.copy()], strict=True)))
 
     return run
 
@@ -344,7 +362,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(block: pa.Table, marked: pa.Table) -> pa.Table:
         ids, sizes, data, start, more = _row(block, "ids", "sizes", "data", "start", "more")
-        change = np.zeros(len(data) + 1, np.int64)
+        change = np.zeros(len(data) + 1, np.int32)
         if marked.num_rows:
             i, low, high = (marked.column(n).to_numpy() for n in ("i", "low", "high"))
             np.add.at(change, start[i] + low, 1)
