@@ -101,7 +101,8 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     common = stored(runs.frequent(), folder)
     texts = keyed.select("t1", "t2", F.explode("keys").alias("k")).select("t1", "t2", "k.a", "k.b").join(
         common, ["a", "b"], "left_semi")
-    texts = texts.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__common"))
+    # written, so that the join below has a shuffle of its own on both sides and a much repeated text can be split
+    texts = stored(texts.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__common")), folder)
     rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], whole.alias("__text")).withColumns(
         dict(zip(["__t1", "__t2"], _pair(F.col("__text")), strict=True)))
     met = rows.join(texts, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
