@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.llm.common import stored
+
 #: Words of a block, listed URLs meant for one block (32 bits a URL), and the largest filter that is broadcast.
 WORDS = 8
 PER_BLOCK = 16
@@ -83,7 +85,7 @@ def in_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
 
     ``listed`` has a column ``key``; repeated, null and empty keys count once, never and never.
     """
-    keys = listed.where("key <> ''").select("key").distinct()
+    keys = stored(listed.where("key <> ''").select("key").distinct())
     blocks = max(1, -(-keys.count() // PER_BLOCK))
     bloom = bloom_table(keys, blocks)
     if blocks * 8 * (WORDS + 1) <= BROADCAST_BYTES:
@@ -94,9 +96,12 @@ def in_list(urls: DataFrame, listed: DataFrame) -> DataFrame:
     for i in range(WORDS):
         hit = hit & (F.col(f"w{i}").bitwiseAND(F.col(f"__m{i}")) != 0)
     looked = at.join(bloom, (F.col("__block") == F.col("block")) & hit, "left")
+    # rows that are no hits take part with a value of their own, or all of them would meet in the partition of NULL
     possible = F.col("block").isNotNull()
-    looked = looked.withColumn("__probe", F.when(possible, F.col("key")))
-    exact = looked.join(keys.select(F.col("key").alias("__listed")), F.col("__probe") == F.col("__listed"), "left")
+    apart = F.concat(F.lit("\0"), F.xxhash64("key").cast("string"))
+    looked = looked.withColumns({"__possible": possible, "__probe": F.when(possible, F.col("key")).otherwise(apart)})
+    exact = looked.join(keys.select(F.col("key").alias("__listed")),
+                        (F.col("__probe") == F.col("__listed")) & F.col("__possible"), "left")
     return exact.select(*urls.columns, F.col("__listed").isNotNull().alias("listed"))
 
 
