@@ -41,7 +41,7 @@ class Shape:
     per_class: int = 32
     hidden: int = 16
     steps: int = 16
-    lanes: int = 256
+    lanes: int = 512
     rate: float = 0.05
     bound: float = 0.25
 
@@ -54,9 +54,18 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x):
+def _log_choice(x: np.ndarray, chosen: np.ndarray, train: bool):
+    """Log softmax of each row at its chosen column, and the gradient of their sum if asked for."""
+    rows = np.arange(len(x))
     x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    e = np.exp(x)
+    whole = e.sum(axis=1)
+    logp = x[rows, chosen].astype(np.float64) - np.log(whole)
+    if not train:
+        return logp, None
+    e *= (-1 / whole)[:, None]
+    e[rows, chosen] += 1
+    return logp, e
 
 
 @dataclass
@@ -89,15 +98,18 @@ class Model:
     def run(self, inputs: np.ndarray, state: np.ndarray):
         """States after each step of a window (steps x lanes), and what training needs of each step."""
         w, h = self.weights, self.shape.hidden
-        states, kept = np.empty((*inputs.shape, h), np.float32), []
+        kept = np.empty((5, *inputs.shape, h), np.float32)
+        before, own_new, update, reset, new = kept
+        states = np.empty((*inputs.shape, h), np.float32)
+        fresh = inputs == self.shape.words + 1
         for t, row in enumerate(inputs):
-            state = np.where((row == self.shape.words + 1)[:, None], np.float32(0), state)
+            if fresh[t].any():
+                state = np.where(fresh[t][:, None], np.float32(0), state)
             given, own = w["input"][row], state @ w["state"]
             gates = _sigmoid(given[:, :2 * h] + own[:, :2 * h])
-            z, r = gates[:, :h], gates[:, h:]
-            new = np.tanh(given[:, 2 * h:] + r * own[:, 2 * h:])
-            kept.append((state, own[:, 2 * h:], z, r, new))
-            state = new + z * (state - new)
+            before[t], own_new[t], update[t], reset[t] = state, own[:, 2 * h:], gates[:, :h], gates[:, h:]
+            new[t] = np.tanh(given[:, 2 * h:] + gates[:, h:] * own[:, 2 * h:])
+            state = new[t] + update[t] * (state - new[t])
             states[t] = state
         return states, kept
 
@@ -105,13 +117,9 @@ class Model:
         """Natural log probability of each target (rest words: of their class), and gradients of the sum."""
         w, size = self.weights, self.shape.per_class
         classes = np.where(targets < self.shape.words, targets // size, self.shape.classes - 1)
-        logp = _log_softmax(states @ w["class"] + w["class_bias"])
-        rows = np.arange(len(targets))
-        total = logp[rows, classes].astype(np.float64)
+        total, d = _log_choice(states @ w["class"] + w["class_bias"], classes, train)
         if train:
             grads = {k: np.zeros_like(w[k]) for k in ("word", "word_bias")}
-            d = -np.exp(logp)
-            d[rows, classes] += 1
             grads["class"], grads["class_bias"] = states.T @ d, d.sum(axis=0)
             back = d @ w["class"].T
         order = np.argsort(classes, kind="stable")
@@ -121,37 +129,36 @@ class Model:
             if not len(at):
                 continue
             part = slice(c * size, min((c + 1) * size, self.shape.words))
-            inner = _log_softmax(states[at] @ w["word"][part].T + w["word_bias"][part])
-            which = targets[at] - c * size
-            total[at] += inner[np.arange(len(at)), which]
+            own = states[at]
+            inner, d = _log_choice(own @ w["word"][part].T + w["word_bias"][part], targets[at] - c * size, train)
+            total[at] += inner
             if train:
-                d = -np.exp(inner)
-                d[np.arange(len(at)), which] += 1
-                grads["word"][part], grads["word_bias"][part] = d.T @ states[at], d.sum(axis=0)
+                grads["word"][part], grads["word_bias"][part] = d.T @ own, d.sum(axis=0)
                 back[at] += d @ w["word"][part]
         return (total, grads, back) if train else total
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> np.ndarray:
         """One training step over a window; returns the state at its end."""
         w, h = self.weights, self.shape.hidden
-        states, kept = self.run(inputs, state)
-        flat = states.reshape(-1, h)
-        _, grads, back = self.output(flat, targets.reshape(-1), True)
+        states, (before, own_new, update, reset, new) = self.run(inputs, state)
+        _, grads, back = self.output(states.reshape(-1, h), targets.reshape(-1), True)
         back = back.reshape(states.shape)
-        given = np.empty((*inputs.shape, 3 * h), np.float32)
-        grads["state"] = np.zeros_like(w["state"])
+        to_new = (1 - update) * (1 - new * new)
+        to_update = (before - new) * update * (1 - update)
+        to_reset = own_new * reset * (1 - reset)
+        fresh = inputs == self.shape.words + 1
+        given, own = np.empty((2, *inputs.shape, 3 * h), np.float32)
         flow = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
-            before, own, z, r, new = kept[t]
             flow = flow + back[t]
-            d_new = flow * (1 - z) * (1 - new * new)
-            d_z = flow * (before - new) * z * (1 - z)
-            d_r = d_new * own * r * (1 - r)
-            given[t] = np.concatenate([d_z, d_r, d_new], axis=1)
-            d_own = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            grads["state"] += before.T @ d_own
-            flow = flow * z + d_own @ w["state"].T
-            flow[inputs[t] == self.shape.words + 1] = 0
+            d_new = flow * to_new[t]
+            given[t, :, :h], given[t, :, h:2 * h], given[t, :, 2 * h:] = flow * to_update[t], d_new * to_reset[t], d_new
+            own[t] = given[t]
+            own[t, :, 2 * h:] *= reset[t]
+            flow = flow * update[t] + own[t] @ w["state"].T
+            if fresh[t].any():
+                flow[fresh[t]] = 0
+        grads["state"] = before.reshape(-1, h).T @ own.reshape(-1, 3 * h)
         order = np.argsort(inputs, axis=None, kind="stable")
         ids = inputs.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
@@ -343,7 +350,7 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
     known = np.array([r.c for r in top], np.float64)
     rest_n, rest_v = total.n - int(known.sum()), total.v - len(top)
     model = _trained(blocks, Model.fresh(shape, known, rest_n), rank, folder)
-    packed = context.broadcast(pickle.dumps((Model(shape, model.weights), rank)))
+    packed = context.broadcast(pickle.dumps(Model(shape, model.weights)))
     base_all, rest_all, train_tokens = total.n + total.v + 1, rest_n + rest_v + 1, total.n
     held = T.StructField("held_out", T.BooleanType())
     schema = T.StructType([T.StructField(doc_id, docs.schema[doc_id].dataType), held] + T.StructType.fromDDL(
@@ -351,14 +358,14 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
     arrow = to_arrow_schema(schema)
 
     def score(block: pa.Table, counted: pa.Table) -> pa.Table:
-        lm, known_words = pickle.loads(packed.value)
-        row = {n: block.column(n)[0].as_py() for n in ("ids", "held", "words", "tokens", "sizes")}
+        lm = pickle.loads(packed.value)
+        row = {n: block.column(n)[0].as_py() for n in ("ids", "held", "tokens", "sizes")}
         sizes = np.frombuffer(row["sizes"], np.int64)
         tokens = np.frombuffer(row["tokens"], np.int32)
-        count = np.zeros(len(row["words"]))
-        count[counted.column("place").to_numpy()] = counted.column("c").to_numpy()
+        place = counted.column("place").to_numpy()
+        count, numbers = np.zeros(tokens.max() + 1), np.full(tokens.max() + 1, lm.shape.words, np.int32)
+        count[place], numbers[place] = counted.column("c").to_numpy(), counted.column("number").to_numpy()
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        numbers = _numbers(row["words"], known_words, lm.shape.words)
         base = np.bincount(owner, np.log10((count + 1) / base_all)[tokens], len(sizes))
         inside = np.where(numbers == lm.shape.words, np.log10((count + 1) / rest_all), 0)
         model_score = score_block(lm, _documents(numbers[tokens], sizes)) / np.log(10)
@@ -368,7 +375,9 @@ def scores(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shape: S
             pa.array(np.bincount(owner, (count > 0)[tokens], len(sizes)).astype(np.int64)),
             pa.array(np.full(len(sizes), train_tokens, np.int64)), pa.array(base), pa.array(model_score)], schema=arrow)
 
+    numbered = docs.sparkSession.createDataFrame([(bytearray(w), i) for w, i in rank.items()], "word binary, number int")
+    counts = counts.join(F.broadcast(numbered), "word", "left")  # as many rows as the model knows words
     counted = listed.select("block", "place", "word").join(counts, "word").select(
-        F.col("block").alias("of"), "place", "c")
-    whole = blocks.select("block", "ids", "held", "words", "tokens", "sizes")
+        F.col("block").alias("of"), "place", "c", F.coalesce("number", F.lit(shape.words)).alias("number"))
+    whole = blocks.select("block", "ids", "held", "tokens", "sizes")
     return whole.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(score, schema)
