@@ -29,7 +29,7 @@ from dealweave.llm.common import shared_folder, stored, text_bytes, text_slices
 #: The end of a text as a word; it holds white space, so no word equals it.
 END = b"\n"
 #: Bytes of text meant for one block.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 10 << 20
 
 
 @dataclass(frozen=True)
