@@ -9,8 +9,8 @@ offsets. Neighbouring strings with one such gram form a span, and grams found on
 * Where a gram has different spans, their suffixes are sorted inside a task: mergesort, each comparison finding the
   common extension of two suffixes by binary search over prefix polynomial hashes. Neighbours that agree in ``length``
   bytes are repeats, after their bytes have been compared.
-* A gram with very many different spans would be one large task. Its strings are dealt out by a 128-bit hash of all
-  their bytes instead, and counted.
+* A gram with very many different spans would be one large task. Its spans are cut into pieces instead, equal pieces
+  merged, and the strings of those that are alike but not equal dealt out by a 128-bit hash and counted.
 
 Texts are stored once, in blocks, in a table bucketed by block; what is learned about a span goes to its block, and no
 later step moves texts.
@@ -34,7 +34,9 @@ from dealweave.llm.common import shared_folder, stored, text_bytes, text_slices
 LENGTH = 200
 GRAM = 32
 #: Different spans of one gram up to which they are sorted together in a task.
-SORTED_TOGETHER = 128
+SORTED_TOGETHER = 256
+#: Strings of a piece of a span where a gram has more.
+PIECE = 16
 BLOCK_BYTES = 2 << 20
 #: Strings hashed in one call.
 SEGMENT = 1 << 20
@@ -232,7 +234,9 @@ def _row(block: pa.Table, *names: str) -> list:
 
 
 _TEXTS = "g bigint, s bigint, n bigint, offset bigint, text binary"
-_STRINGS = "g bigint, s bigint, n bigint, at bigint, d bigint, h bigint, k bigint"
+_PIECES = ("g bigint, s bigint, n bigint, of bigint, i bigint, far bigint, j bigint, high bigint, low bigint, full bigint, "
+           "core bigint")
+_STRINGS = "g bigint, j bigint, full bigint, n bigint, d bigint, h bigint, k bigint"
 _FOUND = "g bigint, s bigint, low bigint, high bigint"
 
 
@@ -251,27 +255,87 @@ def _span_texts(length: int):
     return run
 
 
-def _span_strings(length: int):
-    """Cogroup: every string of the asked spans of a block, by its offset to the gram and a hash of its bytes in two parts."""
+def _empty(ddl: str) -> pa.Table:
+    return pa.table({n.split()[0]: pa.array([], pa.int64()) for n in ddl.split(", ")})
+
+
+def _digests(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128-bit hashes of parts of the data, as two columns."""
+    found = b"".join(xxhash.xxh3_128_digest(data[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(found, np.int64).reshape(-1, 2)
+
+
+def _pieces(length: int):
+    """Cogroup: the asked spans in pieces of up to ``PIECE`` strings, at aligned distances to the gram.
+
+    ``full`` is a hash of all bytes of a piece and its distances, ``core`` of the bytes that any string of the whole
+    aligned piece holds.
+    """
 
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        names = [n.split()[0] for n in _STRINGS.split(", ")]
         if not block.num_rows or not asked.num_rows:
-            return pa.table({n: pa.array([], pa.int64()) for n in names})
+            return _empty(_PIECES)
         data, place, start, more = _row(block, "data", "place", "start", "more")
         i = asked.column("i").to_numpy()
-        times = more[i] + 1
+        far, near = place[i] - start[i], place[i] - start[i] - more[i]
+        times = far // PIECE - near // PIECE + 1
         which = np.repeat(np.arange(len(i)), times)
-        at = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-        first = start[i][which] + at
+        j = near[which] // PIECE + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        high, low = np.minimum(j * PIECE + PIECE - 1, far[which]), np.maximum(j * PIECE, near[which])
+        x = place[i][which]
+        full = _digests(data, x - high, x - low + length)[:, 0] ^ (high << 16 | low)
+        core = _digests(data, x - j * PIECE, x - j * PIECE - PIECE + 1 + length)[:, 0]
         own = [asked.column(n).to_numpy()[which] for n in ("g", "s", "n")]
-        digests = b"".join(xxhash.xxh3_128_digest(data[a:a + length]) for a in first.tolist())
-        h, k = np.frombuffer(digests, np.int64).reshape(-1, 2).T
-        return pa.table(dict(zip(names, [*own, at, place[i][which] - first, h.copy(), k.copy()], strict=True)))
+        return pa.table(dict(zip([n.split()[0] for n in _PIECES.split(", ")], [
+            *own, asked.column("of").to_numpy()[which], i[which], far[which], j, high, low, full, core], strict=True)))
 
     return run
 
 
+def _strings(length: int):
+    """Cogroup: every string of the asked pieces, by its distance to the gram and a hash of its bytes."""
+
+    def run(block: pa.Table, asked: pa.Table) -> pa.Table:
+        if not block.num_rows or not asked.num_rows:
+            return _empty(_STRINGS)
+        data, place = _row(block, "data", "place")
+        high, low = (asked.column(n).to_numpy() for n in ("high", "low"))
+        times = high - low + 1
+        which = np.repeat(np.arange(len(high)), times)
+        d = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+        first = place[asked.column("i").to_numpy()][which] - d
+        h, k = _digests(data, first, first + length).T
+        own = [asked.column(n).to_numpy()[which] for n in ("g", "j", "full", "n")]
+        return pa.table(dict(zip([n.split()[0] for n in _STRINGS.split(", ")], [*own, d, h.copy(), k.copy()], strict=True)))
+
+    return run
+
+
+def _counted(blocks: DataFrame, asked: DataFrame, length: int, folder: str) -> DataFrame:
+    """Repeated strings of spans whose grams have too many different spans to be sorted in one task (g, s, low, high).
+
+    Equal pieces are merged and repeated as a whole. Pieces that differ but have a core in common are compared string
+    by string, by counting; all others hold no repeat.
+    """
+    source = blocks.select("block", "data", "place", "start", "more").groupBy("block")
+    pieces = stored(source.cogroup(asked.groupBy("of")).applyInArrow(_pieces(length), _PIECES), folder)
+    merged = pieces.groupBy("g", "j", "full").agg(
+        F.sum("n").alias("n"), F.min("core").alias("core"), F.min(F.shiftleft("of", 24).bitwiseOR(F.col("i"))).alias("p"),
+        F.min("high").alias("high"), F.min("low").alias("low"))
+    merged = stored(merged, folder)
+    cores = merged.groupBy("g", "j", "core").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    alike = merged.join(cores, ["g", "j", "core"], "left_semi").select(
+        F.shiftright("p", 24).alias("of"), F.col("p").bitwiseAND(F.lit((1 << 24) - 1)).alias("i"), "g", "j", "full", "n", "high", "low")
+    source = blocks.select("block", "data", "place").groupBy("block")
+    strings = stored(source.cogroup(alike.groupBy("of")).applyInArrow(_strings(length), _STRINGS), folder)
+    again = strings.groupBy("g", "d", "h", "k").agg(F.sum("n").alias("total")).where("total > 1").drop("total")
+    single = strings.where("n = 1").join(again, ["g", "d", "h", "k"], "left_semi")
+    marks = merged.where("n > 1").select("g", "j", "full", "high", "low").union(
+        single.select("g", "j", "full", F.col("d").alias("high"), F.col("d").alias("low")))
+    return pieces.select("g", "s", "far", "j", "full").join(stored(marks, folder), ["g", "j", "full"]).select(
+        "g", "s", (F.col("far") - F.col("high")).alias("low"), (F.col("far") - F.col("low")).alias("high"))
+
+
 def _sorter(length: int):
     """Arrow batches of span texts in order of g: runs of repeated strings inside each span."""
 
@@ -323,8 +387,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     remaining bytes. Null and empty texts have no bytes. Rows that repeat an id stay rows of their own. An empty table
     gives an empty result. Only the two named columns are read.
     """
-    if gram > length:
-        raise ValueError("a gram cannot be longer than the strings")
+    if gram > length or length < PIECE:
+        raise ValueError(f"strings have at least {PIECE} bytes and hold a gram")
     spark = docs.sparkSession
     folder = shared_folder(spark)
     name = f"llm_blocks_{uuid.uuid4().hex}"
@@ -342,15 +406,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     asked = stored(asked, folder)
     source = blocks.select("block", "data", "place", "start", "more").groupBy("block")
     few = source.cogroup(asked.where(F.col("kinds") <= together).groupBy("of")).applyInArrow(_span_texts(length), _TEXTS)
-    sorted_ = few.repartition("g").sortWithinPartitions("g", "s").mapInArrow(_sorter(length), _FOUND)
-    found = sorted_
-    if asked.where(F.col("kinds") > together).limit(1).count():
-        source = blocks.select("block", "data", "place", "start", "more").groupBy("block")
-        strings = source.cogroup(asked.where(F.col("kinds") > together).groupBy("of")).applyInArrow(_span_strings(length), _STRINGS)
-        strings = stored(strings, folder)
-        key = ["g", "d", "h", "k"]
-        again = strings.groupBy(*key).agg(F.sum("n").alias("total")).where("total > 1").select(*key)
-        found = found.union(strings.join(again, key, "left_semi").select("g", "s", F.col("at").alias("low"), F.col("at").alias("high")))
+    found = few.repartition("g").sortWithinPartitions("g", "s").mapInArrow(_sorter(length), _FOUND)
+    crowded = asked.where(F.col("kinds") > together)
+    if crowded.limit(1).count():
+        found = found.union(_counted(blocks, crowded, length, folder))
     # a span found twice is repeated as a whole; its high end is cut to the span where it is read
     whole = kinds.where("n > 1").select("g", "s", F.lit(0).cast("bigint").alias("low"), F.lit(1 << 40).alias("high"))
     found = stored(whole.union(found.join(kinds.where("n > 1"), ["g", "s"], "left_anti")), folder)

@@ -40,7 +40,9 @@ def corpus(rng, alphabet="abcd "):
 @pytest.mark.parametrize("block", [6 << 20, 300])
 def test_removed_bytes(spark, monkeypatch, together, block):
     monkeypatch.setattr(sd, "BLOCK_BYTES", block)
+    monkeypatch.setattr(sd, "SEGMENT", 1 << 20 if block > 300 else 11)
     monkeypatch.setattr(sd, "SORT_BYTES", 200)
+    monkeypatch.setattr(sd, "PIECE", 4)
     texts = corpus(random.Random(block + together))
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id int, text string, kept string")
     want = brute([(t or "").encode() for t in texts], 20)
@@ -53,10 +55,10 @@ def test_removed_bytes(spark, monkeypatch, together, block):
 
 def test_null_ids_repeated_rows_and_empty_table(spark):
     schema = "doc_id int, text string"
-    docs = spark.createDataFrame([(None, "q" * 10 + "once"), (1, "abcdefghijklmno"), (1, "abcdefghijklmno")], schema)
-    got = sorted((r.doc_id or -1, r.n_removed) for r in sd.remove_repeats(docs, length=12, gram=4).collect())
-    assert got == [(-1, 0), (1, 15), (1, 15)]
-    assert sd.remove_repeats(docs.limit(0), length=12, gram=4).count() == 0
+    docs = spark.createDataFrame([(None, "q" * 14 + "once"), (1, "abcdefghijklmnopqr"), (1, "abcdefghijklmnopqr")], schema)
+    got = sorted((r.doc_id or -1, r.n_removed) for r in sd.remove_repeats(docs, length=16, gram=4).collect())
+    assert got == [(-1, 0), (1, 18), (1, 18)]
+    assert sd.remove_repeats(docs.limit(0), length=16, gram=4).count() == 0
 
 
 @settings(deadline=None, max_examples=100)
@@ -83,11 +85,12 @@ def test_collisions_are_told_apart(monkeypatch):
     assert not any(g and counts[r] == 1 for g, r in zip(got.tolist(), rows, strict=True))
 
 
-def test_spans_cover_every_string():
+@pytest.mark.parametrize("segment", [1 << 20, 7])
+def test_spans_cover_every_string(segment):
     rng = np.random.default_rng(3)
     sizes = np.array([50, 0, 3, 200, 20, 19])
     data = rng.integers(97, 100, sizes.sum()).astype(np.uint8)
-    _, place, start, more = sd.spans_of(data, sizes, 20, 6)
+    _, place, start, more = sd.spans_of(data, sizes, 20, 6, segment)
     covered = sorted(s + k for s, m in zip(start, more, strict=True) for k in range(m + 1))
     ends = np.cumsum(sizes)
     assert covered == [i for i in range(sizes.sum()) if any(e - n <= i and i + 20 <= e for e, n in zip(ends, sizes, strict=True))]
