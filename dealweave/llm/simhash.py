@@ -108,15 +108,15 @@ def links(distinct: DataFrame, folder: str, paired: int = PAIRED) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4,
                     paired: int = PAIRED) -> DataFrame:
     """One row per document: ``doc_id``, ``fp``, ``component_id`` (smallest id reachable over links of at most four
-    differing bits, itself included) and ``label`` (smallest fingerprint of the component).
+    differing bits, itself included), ``label`` (smallest fingerprint of the component) and ``text_hash``.
 
     Null texts have fingerprint 0 and link like any other. A null id never becomes a component id unless the component
     has no other; repeated rows stay separate rows of one component. An empty table gives an empty result. Only the
     two named columns are read, so other columns cannot clash.
     """
     folder = shared_folder(docs.sparkSession)
-    marks = stored(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
-                                "text", size, keep=["doc_id"]), folder)
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
+    marks = stored(fingerprints(source, "text", size, keep=["doc_id", "text_hash"]), folder)
     distinct = stored(marks.groupBy("fp").agg(F.min("doc_id").alias("first_id")), folder)
     labels = group_labels(links(distinct.select("fp"), folder, paired), folder)
     named = distinct.join(labels, distinct["fp"] == labels["node"], "left").select(
@@ -124,18 +124,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     named = stored(named, folder)
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     owner = named.join(least, "label").select("fp", "label", "component_id")
-    return marks.join(owner, "fp").select("doc_id", "fp", "component_id", "label")
+    return marks.join(stored(owner, folder), "fp").select("doc_id", "fp", "component_id", "label", "text_hash")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The document with the smallest id of each component, all columns kept. Rows that repeat that id count once."""
     found = near_duplicates(docs, doc_id, text)
-    first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-             .select(F.col("doc_id").alias("__id"), F.col("fp").alias("__fp"), F.col("label").alias("__label"))
-             .dropDuplicates(["__id", "__label"]))
-    own = fingerprints(docs.withColumn("__id", F.col(doc_id)), text).withColumnRenamed("fp", "__own")
-    if "fp" in docs.columns:
-        own = fingerprints(docs.withColumns({"__id": F.col(doc_id), "__was": F.col("fp")}), text).withColumnRenamed(
-            "fp", "__own").withColumnRenamed("__was", "fp")
-    one = own.join(first, own["__id"].eqNullSafe(first["__id"]) & (own["__own"] == first["__fp"]), "left_semi")
-    return one.dropDuplicates(["__id", "__own"]).select(*docs.columns)
+    first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "label")
+             .agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("of"), "text_hash"))
+    first = stored(first).withColumnsRenamed({"of": "__of", "text_hash": "__hash"})
+    own = docs.withColumns({"__id": F.col(doc_id), "__text": F.xxhash64(text)})
+    one = own.join(first, own["__id"].eqNullSafe(first["__of"]) & (own["__text"] == first["__hash"]), "left_semi")
+    return one.dropDuplicates(["__id", "__text"]).select(*docs.columns)
