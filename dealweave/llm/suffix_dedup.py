@@ -397,7 +397,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     blocks = spark.table(name)
     filed = blocks.select("block", F.posexplode(F.arrays_zip("g", "s"))).select(
         F.col("col.g").alias("g"), F.col("col.s").alias("s"), F.shiftleft("block", 24).bitwiseOR(F.col("pos")).alias("place"))
-    twice = filed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    # written, so that the join has a shuffle of its own on both sides and a frequent gram can be split
+    twice = stored(filed.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), folder)
     filed = stored(filed.join(twice, "g", "left_semi"), folder)
     kinds = stored(filed.groupBy("g", "s").agg(F.count("*").alias("n"), F.min("place").alias("place")), folder)
     many = kinds.groupBy("g").agg(F.count("*").alias("kinds")).where("kinds > 1")
