@@ -48,12 +48,12 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
 
 
 def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                  k: int, candidates: int, max_df: int, kinds: Sequence[str] | None = None,
+                  k: int, candidates: int, max_df: int | None = None, kinds: Sequence[str] | None = None,
                   metadata: dict | None = None) -> DataFrame:
     """The k best documents per question, with their whole text.
 
-    Each ranking hands its ``candidates`` best per question to the fusion; words in more than ``max_df`` documents are
-    not searched for.
+    Each ranking hands its ``candidates`` best per question to the fusion; words in more than ``max_df`` documents, if
+    given, are not searched for.
 
     ``queries`` has query_id, text and vector; ``docs`` id, kind, title, body, metadata; ``vectors`` id, kind,
     metadata, embedding; ``posts`` the postings and ``frequencies`` their document frequencies.
@@ -79,7 +79,7 @@ def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int,
 
 
 def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                   rules: DataFrame, k: int, memory_k: int, candidates: int, max_df: int,
+                   rules: DataFrame, k: int, memory_k: int, candidates: int, max_df: int | None = None,
                    hit_kinds: Sequence[str] = CONTEXT_KINDS, memory_kinds: Sequence[str] = LEARNED_KINDS,
                    min_similarity: float = MEMORY_SIMILARITY) -> DataFrame:
     """Per question: the active rules, close memories and document hits, as arrays in the order shown."""

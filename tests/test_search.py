@@ -142,3 +142,15 @@ def test_embedding(spark):
     assert sizes == {1: 1, 2: 64, 3: 64}
     assert {r.q for r in state.collect()} == {"known q", "new"}
     assert hashed_words(__import__("pandas").Series([None]))[0] == [0.0] * 64
+
+
+def test_frequent_words_are_searched_unless_a_limit_is_given(spark):
+    docs = spark.range(900).selectExpr("'d' || id as id", "'common' || if(id = 5, ' common rare', '') as body")
+    posts = postings(docs, "id", "body")
+    asked = spark.createDataFrame([(1, "Common rare")], "query_id int, text string")
+    frequencies = term_df(posts)
+    assert rows(frequencies.orderBy("term")) == [("common", 900), ("rare", 1)]
+    assert rows(query_terms(asked, "query_id", "text", frequencies).orderBy("term")) == [(1, "common"), (1, "rare")]
+    got = keyword_search(query_terms(asked, "query_id", "text", frequencies), posts, 1000)
+    assert got.count() == 900 and rows(got.filter("rank = 1").select("id", "keyword_score")) == [("d5", 3)]
+    assert rows(query_terms(asked, "query_id", "text", frequencies, 800).select("query_id", "term")) == [(1, "rare")]
