@@ -137,12 +137,14 @@ class Model:
                 back[at] += d @ w["word"][part]
         return (total, grads, back) if train else total
 
-    def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray) -> np.ndarray:
-        """One training step over a window; returns the state at its end."""
+    def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray,
+              there: np.ndarray | None = None) -> np.ndarray:
+        """One training step over a window; returns the state at its end. Steps not ``there`` are padding at lane ends."""
+        there = np.ones(inputs.shape, bool) if there is None else there
         w, h = self.weights, self.shape.hidden
         states, (before, own_new, update, reset, new) = self.run(inputs, state)
-        _, grads, back = self.output(states.reshape(-1, h), targets.reshape(-1), True)
-        back = back.reshape(states.shape)
+        back = np.zeros_like(states)
+        _, grads, back[there] = self.output(states[there], targets[there], True)
         to_new = (1 - update) * (1 - new * new)
         to_update = (before - new) * update * (1 - update)
         to_reset = own_new * reset * (1 - reset)
@@ -165,7 +167,7 @@ class Model:
         grads["input"] = np.zeros_like(w["input"])
         grads["input"][ids[first]] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first, axis=0)
         for k, g in grads.items():
-            g = np.clip(g / np.float32(inputs.size), -self.shape.bound, self.shape.bound)
+            g = np.clip(g / np.float32(there.sum()), -self.shape.bound, self.shape.bound)
             s = self.squares.setdefault(k, np.full_like(g, 1e-6))
             s += g * g
             w[k] += np.float32(self.shape.rate) * g / np.sqrt(s)
@@ -218,10 +220,8 @@ def train_block(model: Model, docs: list[np.ndarray]) -> None:
     lanes = Lanes.of(docs, model.shape)
     state = np.zeros((lanes.owners.shape[1], model.shape.hidden), np.float32)
     for window, active in lanes.windows(model.shape.steps):
-        full = int((lanes.owners[window][-1] >= 0).sum())  # lanes that end inside the window train no further
-        if not full:
-            break
-        state = model.learn(lanes.inputs[window][:, :full], lanes.targets[window][:, :full], state[:full])
+        state = model.learn(lanes.inputs[window][:, :active], lanes.targets[window][:, :active], state[:active],
+                            lanes.owners[window][:, :active] >= 0)
 
 
 def score_block(model: Model, docs: list[np.ndarray]) -> np.ndarray:

@@ -81,6 +81,35 @@ def test_training_learns_what_follows_what():
     assert lm.score_block(model, docs[:5]).sum() > before / 3
 
 
+@pytest.mark.parametrize("sizes", [(2,), (3, 2), (7, 2), (20, 4, 1)])
+def test_every_token_is_trained_and_padding_is_not(sizes):
+    model, rng = small_model(6), np.random.default_rng(7)
+    docs = [rng.integers(0, 10, n).astype(np.int32) for n in sizes]
+    targets, output = [], model.output
+
+    def spy(states, chosen, train=False):
+        targets.extend(chosen.tolist())
+        return output(states, chosen, train)
+
+    model.output = spy
+    lm.train_block(model, docs)
+    assert sorted(targets) == sorted(np.concatenate(docs).tolist())
+
+
+def test_padding_changes_no_weight():
+    rng = np.random.default_rng(9)
+    inputs, targets, state = rng.integers(0, 10, (3, 2)), rng.integers(0, 10, (3, 2)), rng.normal(size=(2, 5))
+    there = np.array([[True, True], [True, False], [True, False]])
+    inputs[1:, 1] = SMALL.words + 1
+    trained = []
+    for other in (0, 7):
+        model = small_model(8)
+        model.learn(inputs, np.where(there, targets, other), state, there)
+        trained.append(model.weights)
+    assert all((trained[0][k] == trained[1][k]).all() for k in trained[0])
+    assert (trained[0]["input"][SMALL.words + 1] == small_model(8).weights["input"][SMALL.words + 1]).all()
+
+
 def test_scores_of_a_table(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 400)
     rng = random.Random(8)
