@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, recurrent_lm, simhash, suffix_dedup, token_counts, url_filter, warc
+from dealweave.llm import (
+    byte_bpe, cover_windows, decontaminate, line_runs, quality, recurrent_lm, simhash, suffix_dedup, token_counts,
+    url_filter, warc)
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -204,3 +206,24 @@ def op10(spark, folder):
     """Token count and digests of ids and decoded text of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return byte_bpe.encode_texts(docs, keep=["doc_id"], ids=False)
+
+
+_WINDOWS_CHECK = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+places as (select doc_id, words, unnest(range(1, len(words) - 18)) as p from d where len(words) >= 20),
+windows as (select doc_id, p, md5(array_to_string(list_slice(words, p, p + 19), ' ')) as h from places),
+ranked as (select doc_id, p, rank() over (partition by h order by doc_id, p) as nth from windows),
+gone as (select distinct doc_id, unnest(range(p, p + 20)) as pos from ranked where nth > 1),
+each as (select doc_id, unnest(words) as word, generate_subscripts(words, 1) as pos from d),
+left_over as (select e.doc_id, string_agg(word, ' ' order by e.pos) as kept
+              from each e left join gone g on e.doc_id = g.doc_id and e.pos = g.pos where g.pos is null group by e.doc_id),
+removed as (select doc_id, count(*) as n from gone group by doc_id)
+select doc_id, len(words)::bigint as n_words, coalesce(n, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join removed using (doc_id) left join left_over using (doc_id)"""
+
+
+@query("op11_cover_windows", _WINDOWS_CHECK)
+def op11(spark, folder):
+    """Words of every document removed as repeats of earlier 20-word windows, and the digest of the rest."""
+    kept = cover_windows.remove_windows(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
