@@ -14,6 +14,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
@@ -198,7 +199,9 @@ def encode_texts(docs: DataFrame, text: str = "text", vocabulary: str = VOCABULA
                 "decoded_sha256": [hashlib.sha256(bpe.decode(c).encode()).hexdigest() for c in coded],
             }
             if ids:
-                made["token_ids"] = [[int(i) for i in c.split(",")] if c else [] for c in coded]
+                flat = np.fromstring(",".join(c for c in coded if c), np.int32, sep=",")
+                ends = np.cumsum([0, *made["n_tokens"]]).astype(np.int32)
+                made["token_ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
             return made
 
         return work

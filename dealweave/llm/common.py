@@ -61,6 +61,26 @@ def text_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
         yield batch.slice(start)
 
 
+def column_at(df: DataFrame, name: str) -> int:
+    """Position of a column: the one of exactly this name, else the only one that differs in case alone."""
+    found = [i for i, c in enumerate(df.columns) if c == name] or [
+        i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns named {name}")
+    return found[0]
+
+
+def by_position(df: DataFrame) -> DataFrame:
+    """The same rows with columns named ``c0``, ``c1`` and so on, which clash with no other name."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def without(names: list[str], new: list[str]) -> list[str]:
+    """Names that are none of the new ones, upper or lower case alike."""
+    taken = {n.lower() for n in new}
+    return [n for n in names if n.lower() not in taken]
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -70,25 +90,36 @@ def map_texts(
 ) -> DataFrame:
     """Add columns computed from the UTF-8 bytes of one text column, slice by slice in Arrow batches.
 
-    ``make`` runs once per task and returns the function from a list of byte strings to named columns. ``keep`` lists
-    the input columns that stay (all by default); one that has the name of a new column is replaced by it.
+    ``make`` runs once per task and returns the function from a list of byte strings to named columns (lists, numpy or
+    Arrow arrays). ``keep`` lists the input columns that stay (all by default); one that has the name of a new column,
+    in upper or lower case, is replaced by it. A text that stays travels once.
     """
     added = T.StructType.fromDDL(fields)
-    kept = [c for c in (df.columns if keep is None else keep) if c not in added.names]
-    source = df.select(*kept, F.col(text).cast("string").alias("__text"))
-    schema = T.StructType([source.schema[c] for c in kept] + added.fields)
+    kept = without(df.columns if keep is None else keep, added.names)
+    at = column_at(df, text)
+    places = [column_at(df, c) for c in kept]
+    plain = by_position(df)
+    if at in places and isinstance(plain.schema[at].dataType, T.StringType):
+        source, read = plain.select(*[f"c{i}" for i in places]), places.index(at)
+    else:
+        source = plain.select(*[f"c{i}" for i in places], F.col(f"c{at}").cast("string").alias("text"))
+        read = len(places)
+    new = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(added)]
+    schema = T.StructType(source.schema.fields[:len(places)] + new)
     arrow = to_arrow_schema(added)
 
     def run(batches):
         work = make()
         for batch in batches:
-            for part in text_slices(batch, "__text"):
-                made = work(text_bytes(part.column("__text")))
-                columns = [part.column(c) for c in kept]
-                columns += [pa.array(made[f.name], type=f.type) for f in arrow]
-                yield pa.RecordBatch.from_arrays(columns, names=[*kept, *added.names])
-
-    return source.mapInArrow(run, schema)
+            for part in text_slices(batch, batch.schema.names[read]):
+                made = work(text_bytes(part.column(read)))
+                columns = [part.column(i) for i in range(len(places))]
+                for f in arrow:
+                    x = made[f.name]
+                    columns.append(x if isinstance(x, pa.Array) else pa.array(x, type=f.type))
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return source.mapInArrow(run, schema).toDF(*kept, *added.names)
 
 
 def group_labels(edges: DataFrame, folder: str, rounds: int = 60) -> DataFrame:

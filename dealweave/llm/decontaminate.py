@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import map_texts
+from dealweave.llm.common import by_position, column_at, map_texts
 
 WINDOW = 13
 #: Text bytes of one broadcast block of test items, and of a whole benchmark; larger ones are given in parts.
@@ -228,7 +228,5 @@ def contaminated(matched: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Documents that are not contaminated, with all columns of the input."""
-    names = {f"__{i}": c for i, c in enumerate(docs.columns)}
-    back = {c: k for k, c in names.items()}
-    judged = contaminated(matches(docs.select(*[F.col(c).alias(k) for k, c in names.items()]), benchmark, back[text]))
-    return judged.where("not contaminated").select(*[F.col(k).alias(c) for k, c in names.items()])
+    judged = contaminated(matches(by_position(docs), benchmark, f"c{column_at(docs, text)}"))
+    return judged.where("not contaminated").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

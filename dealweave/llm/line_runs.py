@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import lower_ascii, shared_folder, stored
+from dealweave.llm.common import by_position, column_at, lower_ascii, shared_folder, stored, without
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -86,33 +86,34 @@ def drop_common_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, b
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
-    names = ["n_lines", "n_dropped", "kept_text"]
-    kept = [c for c in docs.columns if c not in names]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    names = without(docs.columns, ["n_lines", "n_dropped", "kept_text"])
+    kept = [F.col(f"c{column_at(docs, c)}") for c in names]
+    whole = F.coalesce(F.col(f"c{column_at(docs, text)}").cast("string"), F.lit(""))
+    docs = by_position(docs)
     t1, t2 = _pair(whole)
-    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), _line_keys(whole).alias("keys")).select(
-        "t1", "t2", F.array_compact(F.array_distinct("keys")).alias("keys"),
-        F.pmod("t1", F.lit(batches)).cast("int").alias("batch"))
+    keyed = docs.select(t1.alias("t1"), t2.alias("t2"), _line_keys(whole).alias("keys")).withColumn(
+        "batch", F.pmod("t1", F.lit(batches)).cast("int"))
     keyed.write.partitionBy("batch").parquet(f"{folder}/keys")
     keyed = spark.read.schema(keyed.schema).parquet(f"{folder}/keys")
     runs = LineRuns(spark, folder, min_docs, fanout)
     for batch in range(batches):
-        runs.add(keyed.where(F.col("batch") == batch).select(F.explode("keys").alias("k")).select("k.a", "k.b"))
+        found = keyed.where(F.col("batch") == batch).select(F.explode(F.array_compact(F.array_distinct("keys"))).alias("k"))
+        runs.add(found.select("k.a", "k.b"))
     common = stored(runs.frequent(), folder)
-    texts = keyed.select("t1", "t2", F.explode("keys").alias("k")).select("t1", "t2", "k.a", "k.b").join(
+    texts = keyed.select("t1", "t2", F.posexplode("keys").alias("pos", "k")).select("t1", "t2", "pos", "k.a", "k.b").join(
         common, ["a", "b"], "left_semi")
     # written, so that the join below has a shuffle of its own on both sides and a much repeated text can be split
-    texts = stored(texts.groupBy("t1", "t2").agg(F.collect_set(F.struct("a", "b")).alias("__common")), folder)
-    rows = docs.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], whole.alias("__text")).withColumns(
-        dict(zip(["__t1", "__t2"], _pair(F.col("__text")), strict=True)))
-    met = rows.join(texts, (F.col("__t1") == F.col("t1")) & (F.col("__t2") == F.col("t2")), "left")
-    lines = F.split("__text", "\n", -1)
-    keys = _line_keys(F.col("__text"))
-    stay = F.filter(F.arrays_zip(lines.alias("line"), keys.alias("key")),
-                    lambda x: x["key"].isNull() | ~F.array_contains(F.col("__common"), x["key"]))
-    met = met.withColumn("__stay", F.when(F.col("__common").isNotNull(), F.transform(stay, lambda x: x["line"])))
-    n_lines = F.size(lines).cast("bigint")
+    texts = stored(texts.groupBy("t1", "t2").agg(F.collect_set("pos").alias("drop")), folder)
+    rows = docs.select(*kept, whole.alias("whole")).withColumns(dict(zip(["w1", "w2"], _pair(F.col("whole")), strict=True)))
+    met = rows.join(texts, (F.col("w1") == F.col("t1")) & (F.col("w2") == F.col("t2")), "left")
+    lines = F.split("whole", "\n", -1)
+    # the difference of two arrays of numbers is taken by hashing, in time linear in the lines
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    left = F.transform(stay, lambda i: F.get("lines", i))
+    met = met.withColumn("lines", lines).withColumn("stay", F.when(F.col("drop").isNotNull(), left))
+    n_lines = F.size("lines").cast("bigint")
     return met.select(
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], n_lines.alias("n_lines"),
-        F.when(F.col("__stay").isNull(), 0).otherwise(n_lines - F.size("__stay")).cast("bigint").alias("n_dropped"),
-        F.when(F.col("__stay").isNull(), F.col("__text")).otherwise(F.array_join("__stay", "\n")).alias("kept_text"))
+        *kept, n_lines.alias("n_lines"),
+        F.when(F.col("stay").isNull(), 0).otherwise(n_lines - F.size("stay")).cast("bigint").alias("n_dropped"),
+        F.when(F.col("stay").isNull(), F.col("whole")).otherwise(F.array_join("stay", "\n")).alias("kept_text"),
+    ).toDF(*names, "n_lines", "n_dropped", "kept_text")

@@ -16,7 +16,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import map_texts
+from dealweave.llm.common import by_position, column_at, map_texts
 from dealweave.llm.token_counts import word_bounds
 
 VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
@@ -182,9 +182,5 @@ def verdicts(measured: DataFrame, lang: str | None = "lang", languages: dict[str
 
 def accepted(docs: DataFrame, text: str = "text", lang: str | None = "lang") -> DataFrame:
     """Documents that pass, with all columns of the input."""
-    columns = {f"__{i}": F.col(c) for i, c in enumerate(docs.columns)}
-    names = {f"__{i}": c for i, c in enumerate(docs.columns)}
-    source = docs.select(*[c.alias(k) for k, c in columns.items()])
-    back = {c: k for k, c in names.items()}
-    judged = verdicts(measures(source, back[text]), back.get(lang))
-    return judged.where("kept").select(*[F.col(k).alias(c) for k, c in names.items()])
+    judged = verdicts(measures(by_position(docs), f"c{column_at(docs, text)}"), lang and f"c{column_at(docs, lang)}")
+    return judged.where("kept").select(*[f"c{i}" for i in range(len(docs.columns))]).toDF(*docs.columns)

@@ -127,13 +127,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marks.join(stored(owner, folder), "fp").select("doc_id", "fp", "component_id", "label", "text_hash")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, all columns kept. Rows that repeat that id count once."""
-    return one_of_each(docs, near_duplicates(docs, doc_id, text), doc_id, text)
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4) -> DataFrame:
+    """The document with the smallest id of each component, all columns kept. Rows that repeat that id count once.
 
-
-def one_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """Rows of ``docs`` whose id is the component id of ``found`` (doc_id, component_id, label, text_hash), one each."""
+    Components are those of ``near_duplicates`` with shingles of ``size`` words.
+    """
+    found = near_duplicates(docs, doc_id, text, size)
     first = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "label")
              .agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("of"), "text_hash"))
     first = stored(first).withColumnsRenamed({"of": "__of", "text_hash": "__hash"})

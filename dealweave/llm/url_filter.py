@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealweave.llm.common import stored
+from dealweave.llm.common import by_position, column_at, stored, without
 
 #: Words of a block, listed URLs meant for one block (32 bits a URL), and the largest filter that is broadcast.
 WORDS = 8
@@ -112,13 +112,14 @@ def judge(pages: DataFrame, rules: list[Rule], listed: DataFrame, url: str = "ur
     canonical forms) is blocked and any other allowed. A null URL, or one without ``://``, has an empty host and path,
     fits no rule, is never listed and is allowed. Input columns with the new names are replaced.
     """
-    host, path = url_parts(F.col(url))
-    names = ["host", "path", "rule", "verdict"]
-    kept = [c for c in pages.columns if c not in names]
-    rows = pages.select(*[F.col(c).alias(f"__c{i}") for i, c in enumerate(kept)], host.alias("host"), path.alias("path"))
+    host, path = url_parts(F.col(f"c{column_at(pages, url)}"))
+    names = without(pages.columns, ["host", "path", "rule", "verdict"])
+    kept = [f"c{column_at(pages, c)}" for c in names]
+    rows = by_position(pages).select(*kept, host.alias("host"), path.alias("path"))
     rule, verdict = matched_rule(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumns({"rule": rule, "__verdict": verdict, "key": canonical(F.col("host"), F.col("path"))})
+    rows = rows.withColumns({"rule": rule, "given": verdict, "key": canonical(F.col("host"), F.col("path"))})
     rows = in_list(rows, listed)
     return rows.select(
-        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], "host", "path", "rule",
-        F.coalesce("__verdict", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"))
+        *kept, "host", "path", "rule",
+        F.coalesce("given", F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"),
+    ).toDF(*names, "host", "path", "rule", "verdict")
