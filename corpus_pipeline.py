@@ -4,8 +4,8 @@ Stages, each over all documents its predecessor kept:
 
 * quality: documents that the fertility rules reject go;
 * line_dedup: lines found in ten documents or more go, the documents stay with what is left of their text;
-* near_dedup: the document with the smallest id of each component of near copies (five-word shingles, Jaccard
-  similarity of 0.8 or more) stays;
+* near_dedup: the document with the smallest id of each component of near copies (SimHash fingerprints of four-word
+  shingles, four differing bits at most) stays;
 * decontaminate: documents that hold a twentieth or more of benchmark words go;
 * encode: byte-level BPE token counts, ids and digests.
 
@@ -17,9 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealweave.llm import byte_bpe, decontaminate, line_runs, near_copies, quality
+from dealweave.llm import byte_bpe, decontaminate, line_runs, quality, simhash
 from dealweave.llm.common import stored
 
+#: Words of a shingle of the near-duplicate stage; links are fingerprints within ``simhash.MAX_BITS`` bits.
+SHINGLE = 4
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the fertility rules."""
@@ -37,7 +40,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the smallest id."""
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs, size=SHINGLE)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
