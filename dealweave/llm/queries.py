@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealweave.llm import (
-    byte_bpe, cover_windows, decontaminate, line_runs, quality, recurrent_lm, simhash, suffix_dedup, token_counts,
-    url_filter, warc)
+    byte_bpe, cover_windows, decontaminate, line_runs, phrase_graph, pivotal_grams, quality, recurrent_lm, simhash,
+    suffix_dedup, token_counts, url_filter, warc)
 from dealweave.llm.common import shared_folder
 
 QUERIES, CHECKS = {}, {}
@@ -227,3 +227,44 @@ def op11(spark, folder):
     """Words of every document removed as repeats of earlier 20-word windows, and the digest of the rest."""
     kept = cover_windows.remove_windows(table(spark, folder, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_spelling_variants")
+def op12(spark, folder):
+    """Near words, form and root of every frequent word."""
+    return pivotal_grams.variants(table(spark, folder, "documents"))
+
+
+_PHRASES_CHECK = r"""
+with pieces as (
+    select coalesce(lang, 'und') as lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+    from documents),
+lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+totals as (select lang, sum(len(words))::bigint as n from lists group by lang),
+runs as (
+    select lang, size, array_to_string(list_slice(words, p, p + size - 1), ' ') as phrase
+    from (select lang, words, size, unnest(range(1, len(words) - size + 2)) as p
+          from lists, (select unnest([1, 2, 3, 4]) as size) where len(words) >= size)),
+f as (select lang, size, phrase, count(*) as c from runs group by all having count(*) >= 30),
+cand as (select lang, size, phrase, c as a, string_split(phrase, ' ') as words from f where size >= 2),
+cuts as (
+    select x.lang, x.size, x.phrase, x.words, x.a, k, l.c as l, r.c as r, (2000000 * x.a::hugeint) // (l.c + r.c) as score
+    from cand x join (select unnest([1, 2, 3]) as k) on k < x.size
+    join f l on l.lang = x.lang and l.phrase = array_to_string(list_slice(x.words, 1, k), ' ')
+    join f r on r.lang = x.lang and r.phrase = array_to_string(list_slice(x.words, k + 1, x.size), ' ')),
+weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_runs as (
+    select lang, c, array_to_string(list_slice(string_split(phrase, ' '), p, p + s - 1), ' ') as phrase
+    from (select lang, phrase, c, s, unnest(range(1, size - s + 2)) as p
+          from f, (select unnest([2, 3]) as s) where s < size)),
+covers as (select lang, phrase, max(c) as longer from inner_runs group by lang, phrase),
+kept as (select w.* from weakest w left join covers v using (lang, phrase) where not coalesce(100 * longer >= 80 * a, false)),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) as rank from kept)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join totals using (lang) where rank <= 2000"""
+
+
+@query("op13_phrase_graph", _PHRASES_CHECK)
+def op13(spark, folder):
+    """The strongest phrases of each language with their weakest cut."""
+    return phrase_graph.collocations(table(spark, folder, "documents"))
