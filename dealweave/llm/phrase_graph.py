@@ -105,7 +105,7 @@ class Runs:
 
     def _possible(self, lang: str, words: list[bytes]) -> np.ndarray:
         start = zlib.crc32(lang.encode() + b"\0")
-        at = np.fromiter((zlib.crc32(w, start) for w in words), np.int64, len(words)) % BITS
+        at = np.fromiter((zlib.crc32(w, start) for w in words), np.int64, len(words)) % (8 * len(self.bits))
         return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def of(self, lang: str, texts: list[bytes]):

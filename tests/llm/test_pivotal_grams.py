@@ -70,6 +70,7 @@ def test_equals_brute_force(spark):
             w = rng.choice([w] * 5 + [w[:k] + w[k + 1:], w[:k] + rng.choice(letters) + w[k:], w[:k] + rng.choice(letters) + w[k + 1:]])
             words.append(rng.choice([w, w.upper(), w.capitalize()]))
         texts.append(rng.choice([" ", ", ", "1"]).join(words))
+    texts.append(" ".join(["mnopq"] * 3 + ["mnopr"] * 7 + ["mnotr"] * 20))  # a chain of forms
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[9]), (9, texts[9])]
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id bigint, text string, Word int")
     want = brute(rows)
