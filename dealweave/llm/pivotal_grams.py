@@ -8,9 +8,8 @@ a pivot of it that the edit leaves whole is also in the other's prefix.
 Position limits are exact for one edit, since it lies wholly on one side of a pivot that survives. If it comes after
 the first pivot, this pivot and all before it stand at the same place from the left; otherwise the second pivot and all
 after it stand at the same place from the right. So each word is looked up twice, by its beginning up to the first pivot
-and by its end from the second one on, in an index of beginnings and ends at the prefix bigrams, with the three lengths
-a near word can have. The rest of the two words, again one edit apart, agrees in its first or its last half, which is
-part of the look-up as well. Every hit is then verified.
+and by its end from the second one on, in an index of beginnings and ends at the prefix bigrams. The rest of the two words, again one edit
+apart, agrees in its first or its last half, which is part of the look-up as well. Every hit is then verified.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 ONE_IN = 97
 MIN_CHARS = 5
 MIN_COUNT = 3
-#: Classes of bigrams whose frequencies make the order; bigrams of a class are ordered by their code points.
+#: Classes of bigrams whose frequencies make the order; bigrams of one class count as the same.
 CLASSES = 1 << 16
 #: Different words that a task holds before it passes on its counts.
 HELD_WORDS = 300_000
@@ -97,90 +97,90 @@ def _class_counts(batches):
     yield pa.RecordBatch.from_pydict({"class": pa.array(used, pa.int64()), "n": pa.array(counts[used])})
 
 
-def prefix_and_pivots(word: str, weight) -> tuple[list[int], tuple[int, int], tuple[int, str]]:
-    """Places of the prefix bigrams, of the two pivots (left, right), and the order of the last prefix bigram."""
-    order = [(weight(word[i:i + 2]), word[i:i + 2]) for i in range(len(word) - 1)]
-    last = sorted(order)[2]
-    prefix = [i for i, o in enumerate(order) if o <= last]
-    # least[i]: cheapest prefix bigram at place i or before; a disjoint partner of j ends before j starts
-    best, pair, cheapest, at = None, (0, 0), None, 0
-    ready = 0
-    for j in prefix:
-        while ready < len(prefix) and prefix[ready] <= j - 2:
-            cost = order[prefix[ready]][0]
-            if cheapest is None or cost < cheapest:
-                cheapest, at = cost, prefix[ready]
-            ready += 1
-        if cheapest is not None and (best is None or cheapest + order[j][0] < best):
-            best, pair = cheapest + order[j][0], (at, j)
-    return prefix, pair, last
-
-
-def _letters(word: str) -> int:
-    mask = 0
-    for c in word:
-        mask |= 1 << (ord(c) % 63)
-    return mask
-
-
-def _first_half(rest: int) -> int:
-    return rest // 2
-
-
-def _keys(weights: np.ndarray):
-    """Arrow batches of words to look-ups (``probe``) and index entries."""
-
-    def weight(gram: str) -> int:
-        return int(weights[_class(gram)])
-
-    def entries(word: str):
-        prefix, (left, right), last = prefix_and_pivots(word, weight)
-        size, rank = len(word), f"{last[0]:015d}{last[1]}"
-        kept, tail = word[:left + 2], word[left + 2:]
-        half = _first_half(len(tail))
-        for more in (-1, 0, 1):
-            # lengths: of the word asked for; halves are cut by the length of the asking word
-            yield True, f"<a{more}{size}|{kept}|{tail[:half]}", rank
-            yield True, f"<b{more}{size}|{kept}|{tail[half:]}", rank
-        kept, head = word[right:], word[:right]
-        half = _first_half(len(head))
-        for more in (-1, 0, 1):
-            yield True, f">a{more}{size}|{kept}|{head[:half]}", rank
-            yield True, f">b{more}{size}|{kept}|{head[half:]}", rank
-        for i in prefix:
-            for more in (-1, 0, 1):
-                asking = size - more
-                kept, tail = word[:i + 2], word[i + 2:]
-                other = asking - len(kept)  # length of the asking word's rest
-                if other >= 0:
-                    half = _first_half(other)
-                    yield False, f"<a{more}{asking}|{kept}|{tail[:half]}", rank
-                    if len(tail) >= other - half:
-                        yield False, f"<b{more}{asking}|{kept}|{tail[len(tail) - (other - half):]}", rank
-                kept, head = word[i:], word[:i]
-                other = asking - len(kept)
-                if other >= 0:
-                    half = _first_half(other)
-                    yield False, f">a{more}{asking}|{kept}|{head[:half]}", rank
-                    if len(head) >= other - half:
-                        yield False, f">b{more}{asking}|{kept}|{head[len(head) - (other - half):]}", rank
+class Pivots:
+    """Prefixes and pivots under the order of bigram classes by frequency; bigrams of a class count as the same."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        self.known: dict[str, tuple[int, int]] = {}
+
+    def _of(self, gram: str) -> tuple[int, int]:
+        found = self.known.get(gram)
+        if found is None:
+            if len(self.known) >= CLASSES:
+                self.known = {}
+            c = _class(gram)
+            found = self.known[gram] = int(self.rank[c]), int(self.counts[c])
+        return found
+
+    def of(self, word: str) -> tuple[list[int], int, int, int]:
+        """Places of the prefix bigrams, of the left and the right pivot, and the order of the last prefix bigram."""
+        order = [self._of(word[i:i + 2]) for i in range(len(word) - 1)]
+        last = sorted(order)[2][0]
+        prefix = [i for i, o in enumerate(order) if o[0] <= last]
+        # the cheapest bigram that ends before place j starts is the best partner of j
+        best, pair, cheapest, at, ready = None, (0, 0), None, 0, 0
+        for j in prefix:
+            while prefix[ready] <= j - 2:
+                cost = order[prefix[ready]][1]
+                if cheapest is None or cost < cheapest:
+                    cheapest, at = cost, prefix[ready]
+                ready += 1
+            if cheapest is not None and (best is None or cheapest + order[j][1] < best):
+                best, pair = cheapest + order[j][1], (at, j)
+        return prefix, *pair, last
+
+
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def look_ups(word: str, pivots: Pivots) -> tuple[list[int], int]:
+    """Keys by which a word is looked up: two sides, of the rest either half."""
+    _, left, right, last = pivots.of(word)
+    kept, rest = word[:left + 2], word[left + 2:]
+    end, head = word[right:], word[:right]
+    h, g = len(rest) // 2, len(head) // 2
+    return [_key(f"<a{kept}|{rest[:h]}"), _key(f"<b{kept}|{rest[h:]}"), _key(f">a{end}|{head[:g]}"), _key(f">b{end}|{head[g:]}")], last
+
+
+def index_keys(word: str, pivots: Pivots) -> tuple[list[int], int]:
+    """Keys under which a word is found, for all halves that a rest one longer, as long or one shorter can have."""
+    prefix, _, _, last = pivots.of(word)
+    keys = []
+    for i in prefix:
+        for side, kept, rest in (("<", word[:i + 2], word[i + 2:]), (">", word[i:], word[:i])):
+            n = len(rest)
+            for first in {max(n - 1, 0) // 2, (n + 1) // 2}:
+                keys.append(_key(f"{side}a{kept}|{rest[:first]}"))
+            for second in {(max(n - 1, 0) + 1) // 2, (n + 2) // 2}:
+                if second <= n:
+                    keys.append(_key(f"{side}b{kept}|{rest[n - second:]}"))
+    return keys, last
+
+
+def _entries(counts: np.ndarray, keys_of):
+    """Arrow batches of words (word, n) to ``key, last, word, n``."""
 
     def run(batches):
+        pivots = Pivots(counts)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                rows = []
-                for word, n in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    letters = _letters(word)
-                    rows += [(probe, key, rank, word, n, letters) for probe, key, rank in entries(word)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
-                        pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)],
-                    names=["probe", "key", "last", "word", "n", "letters"])
+            for at in range(0, batch.num_rows, 5000):
+                part = batch.slice(at, 5000)
+                made = [keys_of(w, pivots) for w in part.column("word").to_pylist()]
+                times = np.array([len(k) for k, _ in made], np.int64)
+                which = pa.array(np.repeat(np.arange(len(made)), times))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([k for keys, _ in made for k in keys], pa.int64()),
+                    pa.array(np.repeat(np.array([x for _, x in made], np.int32), times)),
+                    part.column("word").take(which), part.column("n").take(which)], names=["key", "last", "word", "n"])
 
     return run
 
 
-_ENTRY = "probe boolean, key string, last string, word string, n bigint, letters bigint"
+_ENTRY = "key bigint, last int, word string, n bigint"
 
 
 def near_words(words: DataFrame, folder: str | None = None) -> DataFrame:
@@ -188,20 +188,18 @@ def near_words(words: DataFrame, folder: str | None = None) -> DataFrame:
     replaced code point. ``words`` (word, n) has each word once, of four code points or more."""
     spark = words.sparkSession
     folder = folder or shared_folder(spark)
-    words = stored(words.select("word", "n"), folder)
+    words = words.select("word", "n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
     classes = words.select("word").mapInArrow(_class_counts, "class bigint, n bigint").groupBy("class").agg(F.sum("n").alias("n"))
-    weights = np.zeros(CLASSES, np.int64)
+    counts = np.zeros(CLASSES, np.int64)
     for row in classes.toLocalIterator():  # at most CLASSES rows, whatever the number of words
-        weights[row["class"]] = row["n"]
-    entries = stored(words.mapInArrow(_keys(weights), _ENTRY), folder)
-    asks, index = entries.where("probe").alias("a"), entries.where("not probe").alias("b")
+        counts[row["class"]] = row["n"]
+    asks = words.mapInArrow(_entries(counts, look_ups), _ENTRY).alias("a")
+    index = words.mapInArrow(_entries(counts, index_keys), _ENTRY).alias("b")
     hit = ((F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & (F.col("a.word") != F.col("b.word"))
-           & (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2)
-           & (F.levenshtein("a.word", "b.word", 1) == 1))
-    met = asks.join(index, hit).select(
-        F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n"))
-    both = met.union(met.select("near", "near_n", "word", "n"))
-    return both.distinct()
+           & (F.abs(F.length("a.word") - F.length("b.word")) <= 1) & (F.levenshtein("a.word", "b.word", 1) == 1))
+    met = stored(asks.join(index, hit).select(
+        F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")), folder)
+    return met.union(met.select("near", "near_n", "word", "n")).distinct()
 
 
 def roots(links: DataFrame, folder: str) -> DataFrame:

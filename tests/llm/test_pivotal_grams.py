@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -87,24 +88,19 @@ def test_ties_take_the_smallest_form(spark):
     assert got["abcdef"][0] == "abcdeg"
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=2000, deadline=None)
 @given(st.text("abc", min_size=4, max_size=9), st.text("abc", min_size=4, max_size=9), st.integers(0, 9))
 def test_a_pivot_of_one_meets_the_prefix_of_the_other(a, b, salt):
     """Without Spark: near words share a look-up key, whatever the order of the bigrams."""
-    weights = __import__("numpy").random.default_rng(salt).integers(0, 4, pg.CLASSES)
-
-    def weight(gram):
-        return int(weights[pg._class(gram)])
-
-    prefix, (left, right), _ = pg.prefix_and_pivots(a, weight)
+    pivots = pg.Pivots(np.random.default_rng(salt).integers(0, 4, pg.CLASSES))
+    prefix, left, right, _ = pivots.of(a)
     assert {left, right} <= set(prefix) and right - left >= 2 and len(prefix) >= 3
     if one_edit(a, b):
-        import pyarrow as pa
-        batch = pa.RecordBatch.from_pydict({"word": [a, b], "n": [1, 1]})
-        rows = [r for out in pg._keys(weights)([batch]) for r in out.to_pylist()]
-        asks = {(r["key"], r["word"], r["last"]) for r in rows if r["probe"]}
-        index = {(r["key"], r["word"], r["last"]) for r in rows if not r["probe"]}
-        assert any(k == j and w != x and last <= other for k, w, last in asks for j, x, other in index)
+        meets = []
+        for x, y in ((a, b), (b, a)):
+            (asked, low), (held, high) = pg.look_ups(x, pivots), pg.index_keys(y, pivots)
+            meets.append(low <= high and bool(set(asked) & set(held)))
+        assert any(meets)
 
 
 def test_query_equals_brute_force(spark):
