@@ -5,9 +5,9 @@ counted in the texts, besides the last (up to three) words of every segment. All
 a run of three occurs as often as edges leave its node, plus the segments that end with it; a run of two as often as
 the runs of three that start with it, plus the segments that end with it; and so for single words.
 
-A segment is a part of a piece between words that are surely too rare to be in any phrase asked for. Which words these
-are is read from a bit map of stated size: words share bits, so some rare words stay, which costs time and changes no
-result.
+A segment is a part of a piece without words and neighbouring pairs that are surely too rare to be in any phrase asked
+for. Which these are is read from two bit maps of stated sizes, one of frequent words and one of frequent pairs: some
+rare ones share a bit with a frequent one and stay, which costs time and changes no result.
 
 Nodes with one way in and one way out are compacted: their edges form unary paths of one weight. The phrases of four
 words and the counts of the nodes inside a path are read from the paths, the other counts from the flow.
@@ -20,6 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +30,11 @@ MIN_COUNT = 30
 LONGEST = 4
 SCALE = 2_000_000
 COVERED = 80
-#: Bits of the map of words that are frequent enough.
+#: Bits of the maps of words and of pairs that are frequent enough.
 BITS = 1 << 25
+PAIR_BITS = 1 << 26
+#: Pairs that a task holds before it passes on their counts.
+HELD_PAIRS = 4_000_000
 #: Different words that a task holds before it passes on its counts.
 HELD_WORDS = 300_000
 
@@ -77,12 +81,11 @@ def _bit(lang: Column, word: Column) -> Column:
     return F.pmod(F.crc32(F.concat(lang, F.lit("\0"), word).cast("binary")), F.lit(BITS))
 
 
-def _bit_map(frequent: DataFrame) -> np.ndarray:
-    """Bit map of words (lang, word) as bytes; its size is fixed, whatever the number of words."""
+def _bit_map(places: DataFrame, size: int) -> np.ndarray:
+    """Bit map of ``size`` bits, as bytes, of a column ``at``; its size is fixed, whatever the number of rows."""
     width = 4096 * 8
-    at = frequent.select(_bit(F.col("lang"), F.col("word")).alias("at"))
-    rows = at.groupBy(F.expr(f"at div {width}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"at % {width}")).alias("bits"))
-    bits = np.zeros(BITS // 8, np.uint8)
+    rows = places.groupBy(F.expr(f"at div {width}").alias("k")).agg(F.bitmap_construct_agg(F.expr(f"at % {width}")).alias("bits"))
+    bits = np.zeros(size // 8, np.uint8)
     for row in rows.toLocalIterator():
         bits[row.k * 4096:(row.k + 1) * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
     return bits
@@ -97,45 +100,55 @@ def _unique_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return first, times
 
 
-class Runs:
-    """Edges and segment ends of slices of texts."""
+def _in_map(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
 
-    def _possible(self, lang: str, words: list[bytes]) -> np.ndarray:
-        start = zlib.crc32(lang.encode() + b"\0")
-        at = np.fromiter((zlib.crc32(w, start) for w in words), np.int64, len(words)) % (8 * len(self.bits))
-        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+class Line:
+    """Tokens of a slice of texts of one language, with the words that are possibly frequent."""
 
-    def of(self, lang: str, texts: list[bytes]):
-        """(words joined by spaces, is it an edge, count) of all runs of ``LONGEST`` words and all ends."""
+    def __init__(self, lang: str, texts: list[bytes], word_bits: np.ndarray):
         tokens = tokens_of(texts)
         index: dict[bytes, int] = {_MARK: 0}
-        ids = np.fromiter((index.setdefault(w, len(index)) for w in tokens), np.int64, len(tokens))
-        words = list(index)
-        number = np.zeros(len(words), np.int64)  # 0: ends a segment
-        number[1:] = np.cumsum(self._possible(lang, words[1:])) * self._possible(lang, words[1:])
-        names = [b""] + [w for w, k in zip(words[1:], number[1:].tolist(), strict=True) if k]
-        line = np.concatenate([np.zeros(LONGEST, np.int64), number[ids], [0]])
-        edge = np.ones(len(line) - LONGEST + 1, bool)
-        for k in range(LONGEST):
-            edge &= line[k:len(line) - LONGEST + 1 + k] > 0
-        yield from self._named(np.flatnonzero(edge) + LONGEST, line, LONGEST, names, True)
-        last = np.flatnonzero((line[:-1] > 0) & (line[1:] == 0)) + 1
+        self.ids = np.fromiter((index.setdefault(w, len(index)) for w in tokens), np.int64, len(tokens))
+        self.words = list(index)
+        start, seed = zlib.crc32(lang.encode() + b"\0"), xxhash.xxh64_intdigest(lang.encode())
+        at = np.fromiter((zlib.crc32(w, start) for w in self.words), np.int64, len(index)) % (8 * len(word_bits))
+        possible = _in_map(word_bits, at)
+        possible[0] = False  # the mark
+        self.there = possible[self.ids]
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in self.words), np.uint64, len(index))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of neighbouring possible words, and where the first stands."""
+        at = np.flatnonzero(self.there[:-1] & self.there[1:])
+        h = self.hashes[self.ids[at]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[at + 1]]
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return (h ^ (h >> np.uint64(29))).view(np.int64), at
+
+    def runs(self, pair_bits: np.ndarray):
+        """(words joined by spaces, is it an edge, count) of all runs of ``LONGEST`` words and all ends of segments."""
+        n = len(self.ids)
+        h, at = self.pairs()
+        link = np.zeros(n + 1, bool)  # does a segment go on from this word to the next?
+        link[at[_in_map(pair_bits, h % (8 * len(pair_bits)))]] = True
+        edge = np.ones(max(n - LONGEST + 1, 0), bool)
+        for k in range(LONGEST - 1):
+            edge &= link[k:len(edge) + k]
+        yield from self._named(np.flatnonzero(edge), LONGEST, True)
+        last = np.flatnonzero(self.there & ~link[:n])
         size = np.ones(len(last), np.int64)
-        for k in range(2, LONGEST):
-            size += (size == k - 1) & (line[last - k] > 0)
+        for k in range(1, LONGEST - 1):
+            size += (size == k) & (last >= k) & link[last - k]
         for k in range(1, LONGEST):
-            yield from self._named(last[size == k], line, k, names, False)
+            yield from self._named(last[size == k] - k + 1, k, False)
 
-    @staticmethod
-    def _named(stop: np.ndarray, line: np.ndarray, size: int, names: list[bytes], edge: bool):
-        if len(stop):
-            first, times = _unique_rows([line[stop - size + k] for k in range(size)])
-            parts = [line[stop[first] - size + k].tolist() for k in range(size)]
+    def _named(self, start: np.ndarray, size: int, edge: bool):
+        if len(start):
+            first, times = _unique_rows([self.ids[start + k] for k in range(size)])
+            parts = [self.ids[start[first] + k].tolist() for k in range(size)]
             for *ks, n in zip(*parts, times.tolist(), strict=True):
-                yield b" ".join([names[k] for k in ks]), edge, n
+                yield b" ".join([self.words[k] for k in ks]), edge, n
 
 
 def _sources(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -149,19 +162,46 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def graph(docs: DataFrame, frequent: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+def _pair_counts(docs: DataFrame, word_bits, text: str, lang: str) -> DataFrame:
+    """``h, n``: how often pairs of possible neighbours occur, by hash. Pairs with one hash count as the same."""
+
+    def passed_on(held):
+        h, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_pydict({"h": pa.array(h), "n": pa.array(n)})
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                for language, texts in _by_language(part):
+                    held.append(Line(language, texts, word_bits.value).pairs()[0])
+                    size += len(held[-1])
+                if size > HELD_PAIRS:
+                    yield passed_on(held)
+                    held, size = [], 0
+        if held:
+            yield passed_on(held)
+
+    return _sources(docs, text, lang).mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def graph(docs: DataFrame, words: DataFrame, min_count: int, text: str = "text", lang: str = "lang") -> DataFrame:
     """``lang, phrase, edge, c``: how often each run of four words occurs (``edge``), and each last run of up to three
-    words of a segment. ``frequent`` (lang, word) has the words that segments are made of, and may miss none asked for."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bit_map(frequent))
+    words of a segment. ``words`` are the ``word_counts``. Runs with a word or a neighbouring pair that occurs less than
+    ``min_count`` times may be left out; no other run is."""
+    context = docs.sparkSession.sparkContext
+    word_bits = context.broadcast(_bit_map(words.where(F.col("n") >= min_count).select(
+        _bit(F.col("lang"), F.col("word")).alias("at")), BITS))
+    pairs = _pair_counts(docs, word_bits, text, lang).where(F.col("n") >= min_count)
+    pair_bits = context.broadcast(_bit_map(pairs.select(F.pmod("h", F.lit(PAIR_BITS)).alias("at")), PAIR_BITS))
 
     def run(batches):
-        runs = Runs(bits.value)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                for lang, texts in _by_language(part):
-                    rows = list(runs.of(lang, texts))
+                for language, texts in _by_language(part):
+                    rows = list(Line(language, texts, word_bits.value).runs(pair_bits.value))
                     yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(rows), pa.string()),
+                        "lang": pa.array([language] * len(rows), pa.string()),
                         "phrase": pa.array([r[0] for r in rows], pa.string()),
                         "edge": pa.array([r[1] for r in rows], pa.bool_()), "c": pa.array([r[2] for r in rows], pa.int64())})
 
@@ -296,7 +336,7 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", min_co
     folder = shared_folder(docs.sparkSession)
     words = stored(word_counts(docs, text, lang), folder)
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    edges = stored(graph(docs, words.where(F.col("n") >= min_count).select("lang", "word"), text, lang), folder)
+    edges = stored(graph(docs, words, min_count, text, lang), folder)
     counts, _ = phrase_counts(edges, min_count, folder)
     found = stored(scored(counts), folder)
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")

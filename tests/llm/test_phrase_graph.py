@@ -62,7 +62,9 @@ def corpus(seed):
 def test_equals_brute_force(spark, monkeypatch):
     for seed, bits, held in [(1, 1 << 25, 300_000), (2, 1 << 15, 20)]:
         monkeypatch.setattr(pg, "BITS", bits)
+        monkeypatch.setattr(pg, "PAIR_BITS", bits)
         monkeypatch.setattr(pg, "HELD_WORDS", held)
+        monkeypatch.setattr(pg, "HELD_PAIRS", held)
         rows = corpus(seed)
         docs = spark.createDataFrame([(x, t, 0) for x, t in rows], "lang string, text string, Phrase int")
         want = brute(rows, 6)
@@ -76,7 +78,7 @@ def test_flow_and_paths(spark, tmp_path):
     rows = [("en", f"z{i} {passage} q{i}") for i in range(5)] + [("en", "truths to be told"), ("en", "to be")]
     docs = spark.createDataFrame(rows, "lang string, text string")
     words = pg.word_counts(docs)
-    edges = pg.graph(docs, words.select("lang", "word"))
+    edges = pg.graph(docs, words, 1)
     every = Counter()
     for _, t in rows:
         ws = t.split()
