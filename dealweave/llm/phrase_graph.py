@@ -33,6 +33,8 @@ COVERED = 80
 #: Bits of the maps of words and of pairs that are frequent enough.
 BITS = 1 << 25
 PAIR_BITS = 1 << 26
+#: Pairs are counted under so many numbers.
+PAIRS = 1 << 40
 #: Pairs that a task holds before it passes on their counts.
 HELD_PAIRS = 4_000_000
 #: Different words that a task holds before it passes on its counts.
@@ -124,10 +126,10 @@ class Line:
         at = np.flatnonzero(self.there[:-1] & self.there[1:])
         h = self.hashes[self.ids[at]] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[self.ids[at + 1]]
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return (h ^ (h >> np.uint64(29))).view(np.int64), at
+        return ((h ^ (h >> np.uint64(29))) & np.uint64(PAIRS - 1)).view(np.int64), at
 
     def runs(self, pair_bits: np.ndarray):
-        """(words joined by spaces, is it an edge, count) of all runs of ``LONGEST`` words and all ends of segments."""
+        """(words of a node, next word, count) of all runs of ``LONGEST`` words, and of all segment ends without a next."""
         n = len(self.ids)
         h, at = self.pairs()
         link = np.zeros(n + 1, bool)  # does a segment go on from this word to the next?
@@ -135,20 +137,20 @@ class Line:
         edge = np.ones(max(n - LONGEST + 1, 0), bool)
         for k in range(LONGEST - 1):
             edge &= link[k:len(edge) + k]
-        yield from self._named(np.flatnonzero(edge), LONGEST, True)
+        yield from self._named(np.flatnonzero(edge), LONGEST, LONGEST - 1)
         last = np.flatnonzero(self.there & ~link[:n])
         size = np.ones(len(last), np.int64)
         for k in range(1, LONGEST - 1):
             size += (size == k) & (last >= k) & link[last - k]
         for k in range(1, LONGEST):
-            yield from self._named(last[size == k] - k + 1, k, False)
+            yield from self._named(last[size == k] - k + 1, k, k)
 
-    def _named(self, start: np.ndarray, size: int, edge: bool):
+    def _named(self, start: np.ndarray, size: int, head: int):
         if len(start):
             first, times = _unique_rows([self.ids[start + k] for k in range(size)])
             parts = [self.ids[start[first] + k].tolist() for k in range(size)]
             for *ks, n in zip(*parts, times.tolist(), strict=True):
-                yield b" ".join([self.words[k] for k in ks]), edge, n
+                yield b" ".join([self.words[k] for k in ks[:head]]), self.words[ks[-1]] if head < size else None, n
 
 
 def _sources(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -186,14 +188,18 @@ def _pair_counts(docs: DataFrame, word_bits, text: str, lang: str) -> DataFrame:
 
 
 def graph(docs: DataFrame, words: DataFrame, min_count: int, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang, phrase, edge, c``: how often each run of four words occurs (``edge``), and each last run of up to three
-    words of a segment. ``words`` are the ``word_counts``. Runs with a word or a neighbouring pair that occurs less than
-    ``min_count`` times may be left out; no other run is."""
-    context = docs.sparkSession.sparkContext
-    word_bits = context.broadcast(_bit_map(words.where(F.col("n") >= min_count).select(
+    """``lang, head, last, c, f, first``: edges from the node ``head`` by the word ``last`` with their weights ``c``, and
+    rows without ``last`` for segments that end with ``head``. ``f`` is the flow through a node, the sum over its rows;
+    ``first`` marks one row of each node. Edges that weigh less than ``min_count`` and are no first rows are only in ``f``.
+
+    ``words`` are the ``word_counts``. Runs with a word or a neighbouring pair that occurs less than ``min_count`` times
+    may be left out; no other run is. Rows are dealt by node once, for their own sums and for the flow.
+    """
+    spark = docs.sparkSession
+    word_bits = spark.sparkContext.broadcast(_bit_map(words.where(F.col("n") >= min_count).select(
         _bit(F.col("lang"), F.col("word")).alias("at")), BITS))
     pairs = _pair_counts(docs, word_bits, text, lang).where(F.col("n") >= min_count)
-    pair_bits = context.broadcast(_bit_map(pairs.select(F.pmod("h", F.lit(PAIR_BITS)).alias("at")), PAIR_BITS))
+    pair_bits = spark.sparkContext.broadcast(_bit_map(pairs.select(F.pmod("h", F.lit(PAIR_BITS)).alias("at")), PAIR_BITS))
 
     def run(batches):
         for batch in batches:
@@ -202,24 +208,26 @@ def graph(docs: DataFrame, words: DataFrame, min_count: int, text: str = "text",
                     rows = list(Line(language, texts, word_bits.value).runs(pair_bits.value))
                     yield pa.RecordBatch.from_pydict({
                         "lang": pa.array([language] * len(rows), pa.string()),
-                        "phrase": pa.array([r[0] for r in rows], pa.string()),
-                        "edge": pa.array([r[1] for r in rows], pa.bool_()), "c": pa.array([r[2] for r in rows], pa.int64())})
-
-    found = _sources(docs, text, lang).mapInArrow(run, "lang string, phrase string, edge boolean, c bigint")
-    return found.groupBy("lang", "phrase", "edge").agg(F.sum("c").alias("c"))
-
+                        "head": pa.array([r[0] for r in rows], pa.string()),
+                        "last": pa.array([r[1] for r in rows], pa.string()), "c": pa.array([r[2] for r in rows], pa.int64())})
 
-def _words(phrase: Column) -> Column:
-    return F.size(F.split(phrase, " "))
+    found = _sources(docs, text, lang).mapInArrow(run, "lang string, head string, last string, c bigint")
+    found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "head")
+    edges = found.groupBy("lang", "head", "last").agg(F.sum("c").alias("c"))
+    node = Window.partitionBy("lang", "head").orderBy("c")
+    whole = node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    flowing = edges.withColumns({"f": F.sum("c").over(whole), "first": F.row_number().over(node) == 1})
+    return flowing.where(F.col("first") | F.col("last").isNull() | (F.col("c") >= min_count))
 
 
 def flow(edges: DataFrame) -> dict[int, DataFrame]:
     """Counts ``lang, phrase, f`` of runs of three, two and one words, by size, from the flow through their nodes."""
-    ends = edges.where("not edge").withColumn("size", _words(F.col("phrase")))
-    longer, counts = edges.where("edge").select("lang", "phrase", F.col("c").alias("f")), {}
-    for size in range(LONGEST - 1, 0, -1):
-        ended = ends.where(F.col("size") >= size).select(
-            "lang", F.substring_index("phrase", " ", -size).alias("phrase"), F.col("c").alias("f"))
+    sized = edges.withColumn("size", F.size(F.split("head", " ")))
+    longer = sized.where(F.col("first") & (F.col("size") == LONGEST - 1)).select("lang", F.col("head").alias("phrase"), "f")
+    counts = {LONGEST - 1: longer}
+    for size in range(LONGEST - 2, 0, -1):
+        ended = sized.where(F.col("last").isNull() & (F.col("size") >= size)).select(
+            "lang", F.substring_index("head", " ", -size).alias("phrase"), F.col("c").alias("f"))
         left = longer.select("lang", F.substring_index("phrase", " ", size).alias("phrase"), "f")
         counts[size] = longer = left.union(ended).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
     return counts
@@ -263,7 +271,8 @@ def _windows(words: Column, size: int, first: int, last: Column) -> Column:
 def phrase_counts(edges: DataFrame, min_count: int, folder: str) -> tuple[dict[int, DataFrame], DataFrame]:
     """Counts of all runs of one to four words that occur at least ``min_count`` times, by size, and the unary paths."""
     counts = {size: stored(c.where(F.col("f") >= min_count), folder) for size, c in flow(edges).items()}
-    heavy = stored(edges.where(F.col("edge") & (F.col("c") >= min_count)).select("lang", "phrase", F.col("c").alias("f")), folder)
+    heavy = edges.where(F.col("last").isNotNull() & (F.col("c") >= min_count))
+    heavy = stored(heavy.select("lang", F.concat_ws(" ", "head", "last").alias("phrase"), F.col("c").alias("f")), folder)
     paths = stored(unary_paths(heavy, counts[LONGEST - 1], folder), folder)
     words, n = F.col("words"), F.size("words")
     counts[LONGEST] = paths.select("lang", F.explode(_windows(words, LONGEST, 0, n - LONGEST + 1)).alias("phrase"), "f")
