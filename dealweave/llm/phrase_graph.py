@@ -33,6 +33,8 @@ COVERED = 80
 #: Bits of the maps of words and of pairs that are frequent enough.
 BITS = 1 << 25
 PAIR_BITS = 1 << 26
+#: Text bytes whose runs are counted together in a task.
+RUN_BYTES = 12 << 20
 #: Pairs are counted under so many numbers.
 PAIRS = 1 << 40
 #: Pairs that a task holds before it passes on their counts.
@@ -203,7 +205,7 @@ def graph(docs: DataFrame, words: DataFrame, min_count: int, text: str = "text",
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text"):
+            for part in text_slices(batch, "text", RUN_BYTES):
                 for language, texts in _by_language(part):
                     rows = list(Line(language, texts, word_bits.value).runs(pair_bits.value))
                     yield pa.RecordBatch.from_pydict({
