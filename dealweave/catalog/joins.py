@@ -84,12 +84,12 @@ def broadcast_scalar(t):
 
 @query("regex_join", r"""
     with p as (select s_name as name, '\b(' || case when s_nationkey < 8 then 'red' when s_nationkey < 16 then 'old' else 'x+' end
-      || '|' || lower(s_name) || ')\b.*g' as pattern from supplier where s_acctbal > 9000 group by all
+      || '|' || lower(s_name) || ')\b.*g' as pattern from supplier group by all
       union all select 'broken', '(' )
     select p_partkey, name from part join (select * from p where name <> 'broken') p on regexp_matches(p_name, '(?is)' || pattern)""")
 def regex_join_query(t):
     word = F.when(F.col("s_nationkey") < 8, "red").when(F.col("s_nationkey") < 16, "old").otherwise("x+")
-    patterns = t.supplier.filter("s_acctbal > 9000").select(
+    patterns = t.supplier.select(
         F.col("s_name").alias("name"),
         F.concat(F.lit(r"\b("), word, F.lit("|"), F.lower("s_name"), F.lit(r")\b.*g")).alias("pattern")).distinct()
     broken = t.region.select(F.lit("broken").alias("name"), F.lit("(").alias("pattern")).distinct()

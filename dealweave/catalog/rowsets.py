@@ -259,10 +259,10 @@ def distinct_rows(t):
 
 
 @query("log_search", """
-    with f as (select * from log where id < 9000 and (question ilike '%click%' or answer ilike '%click%') and error is null)
+    with f as (select * from log where (question ilike '%click%' or answer ilike '%click%') and error is null)
     select id, coalesce(user_email, client_id) as who, question, (select count(*) from f) > 100 as truncated from f
     order by id desc limit 100""")
 def log_search_query(t):
     from dealweave.plans.usage import log_search
-    return log_search(t.log, before=9000, limit=100, text="click", status="answered").select(
+    return log_search(t.log, limit=100, text="click", status="answered").select(
         "id", "who", "question", "truncated")

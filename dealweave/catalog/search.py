@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dealweave.catalog.base import chunks_of, query
+from dealweave.catalog.base import chunks_of, query, ts
 from dealweave.catalog.rowsets import as_of
 from dealweave.functions.hashing import request_key
 from dealweave.operators.chunks import chunk_documents
@@ -14,17 +14,16 @@ from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.answers import (
     HEADING_WORDS, REMARK_WORDS, bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, mentioned_names,
     source_links, ungrounded_names)
+from dealweave.plans.documents import newest_rules
 from dealweave.plans.search import embed_pending, embed_queries, hybrid_search, memory_context, similar_items
 
-MAX_DF = 20
-
 _POSTINGS = """
     words as (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from documents),
     posts as (select 'doc' || doc_id::varchar as id, term, count(*) as tf from words where term <> '' group by 1, 2),
     freq as (select term, count(*) as ndoc from posts group by 1)"""
 _KEYWORDS = _POSTINGS + """,
     asked_words as (select distinct item_id as query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from benchmark),
-    terms as (select query_id, term from asked_words where term <> '' and term not in (select term from freq where ndoc > 20)),
+    terms as (select query_id, term from asked_words where term <> ''),
     kw as (select query_id, id, sum(tf)::bigint as keyword_score from terms join posts using (term) group by 1, 2),
     kr as (select *, row_number() over (partition by query_id order by keyword_score desc, id) as rank from kw)"""
 _VECTORS = """
@@ -39,7 +38,7 @@ def chunk_documents_query(t):
     return chunk_documents(spread(t.documents), "doc_id", "text", 1600)
 
 
-@query("term_df", f"with {_POSTINGS.strip()} select term, ndoc from freq where ndoc >= 200")
+@query("term_df", f"with {_POSTINGS.strip()} select term, ndoc from freq")
 def term_df_query(t):
     return term_df(postings(spread(t.docs), "id", "body"))
 
@@ -47,8 +46,7 @@ def term_df_query(t):
 @query("keyword_search", f"with {_KEYWORDS.strip()} select query_id, id, keyword_score, rank from kr where rank <= 60")
 def keyword_search_query(t):
     posts = postings(spread(t.docs), "id", "body")
-    terms = query_terms(t.asked, "query_id", "text", term_df(posts, MAX_DF), MAX_DF)
-    return keyword_search(terms, posts, 60)
+    return keyword_search(query_terms(t.asked, "query_id", "text"), posts, 60)
 
 
 @query("vector_top_k", f"""with {_VECTORS.strip()}
@@ -67,7 +65,7 @@ def vector_top_k_query(t):
     from r join docs d on d.id = r.id where position <= 10""")
 def hybrid_search_query(t):
     posts = postings(spread(t.docs), "id", "body")
-    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 10, 60, MAX_DF)
+    found = hybrid_search(t.asked, t.docs, t.vecs, posts, 10, 60)
     return found.select("query_id", "id", "position", "score", F.round("similarity", 6).alias("similarity"), "kind", "title", "snippet")
 
 
@@ -77,7 +75,7 @@ def hybrid_search_query(t):
     freq as (select term, count(*) as ndoc from posts group by 1),
     ok as (select 'doc' || doc_id::varchar as id from documents where source in ('src1', 'src2', 'src3', 'src4') and lang = 'en'),
     asked_words as (select distinct item_id as query_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from benchmark),
-    terms as (select query_id, term from asked_words where term <> '' and term not in (select term from freq where ndoc > 20)),
+    terms as (select query_id, term from asked_words where term <> ''),
     kw as (select query_id, id, sum(tf)::bigint as s from terms join posts using (term) where id in (select id from ok) group by 1, 2),
     kr as (select *, row_number() over (partition by query_id order by s desc, id) as rank from kw),
     sims as (select a.query_id, v.id, round(list_cosine_similarity(a.vector::double[], v.embedding::double[]), 9) as similarity
@@ -90,8 +88,7 @@ def hybrid_search_query(t):
     select query_id, id, position, score from r where position <= 5""")
 def filtered_search_query(t):
     posts = postings(spread(t.docs), "id", "body")
-    found = hybrid_search(t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), 5, 60, MAX_DF,
-                          ["src1", "src2", "src3", "src4"], {"lang": "en"})
+    found = hybrid_search(t.asked, t.docs, t.vecs, posts, 5, 60, ["src1", "src2", "src3", "src4"], {"lang": "en"})
     return found.select("query_id", "id", "position", "score")
 
 
@@ -109,7 +106,6 @@ def similar_items_query(t):
 
 
 @query("memory_context", f"""with {_KEYWORDS.strip()}, {_VECTORS.strip()},
-    rl as (select string_agg(rule, ', ' order by created_at, id) as rules from rules where active),
     mv as (select s.query_id, s.id, similarity, row_number() over (partition by s.query_id order by similarity desc, s.id) as rank from sims s
       join docs d on d.id = s.id where d.kind in ('src0', 'src1', 'src2')),
     mk as (select k.query_id, k.id, row_number() over (partition by k.query_id order by keyword_score desc, k.id) as rank from kw k
@@ -130,16 +126,22 @@ def similar_items_query(t):
     hr as (select *, row_number() over (partition by query_id order by score desc, id) as position from hf),
     hits as (select query_id, string_agg(hr.id || ' ' || d.kind || ' ' || d.body, ', ' order by position) as hits
       from hr join docs d on d.id = hr.id where position <= 8 group by 1)
-    select a.query_id, memory, hits, rules from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id, rl""")
+    select a.query_id, memory, hits from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id""")
 def memory_context_query(t):
     posts = postings(spread(t.docs), "id", "body")
     found = memory_context(
-        t.asked, t.docs, t.vecs, posts, term_df(posts, MAX_DF), t.rules, 8, 6, 60, MAX_DF, hit_kinds=["src3", "src4", "src5", "src6"],
+        t.asked, t.docs, t.vecs, posts, 8, 6, 60, hit_kinds=["src3", "src4", "src5", "src6"],
         memory_kinds=["src0", "src1", "src2"], min_similarity=0.2)
     memory = F.transform("memory", lambda m: F.concat(
         m["id"], F.lit(" "), m["similarity"].cast("decimal(10,3)").cast("string")))
     hits = F.transform("hits", lambda h: F.concat_ws(" ", h["id"], h["kind"], h["snippet"]))
-    return found.select("query_id", memory.alias("memory"), hits.alias("hits"), "rules")
+    return found.select("query_id", memory.alias("memory"), hits.alias("hits"))
+
+
+@query("memory_rules", f"select id, {ts('created_at')} as created_at, rule from rules where active")
+def memory_rules_query(t):
+    """The active rules that go with every question's memory, one row each however many there are."""
+    return newest_rules(t.rules).select("id", "created_at", "rule")
 
 
 # --- embeddings ------------------------------------------------------------------------------------------------

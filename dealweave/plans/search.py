@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from dealweave.functions.json import json_contains
 from dealweave.functions.text import query_text_key
-from dealweave.operators.postings import keyword_search, query_terms
+from dealweave.operators.postings import Analyzer, keyword_search, plain_tokens, query_terms
 from dealweave.operators.rows import top_k_per
 from dealweave.operators.vectors import vector_top_k
-from dealweave.plans.documents import LEARNED_KINDS, newest_rules
+from dealweave.plans.documents import LEARNED_KINDS
 
 # Weights of the fused score and the memory threshold.
 RANK_OFFSET = 60
@@ -47,22 +47,21 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     return both.withColumn("score", F.round(fused_score(F.col("vector_rank"), F.col("keyword_rank")), 9))
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                  k: int, candidates: int, max_df: int | None = None, kinds: Sequence[str] | None = None,
-                  metadata: dict | None = None) -> DataFrame:
+def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, candidates: int,
+                  kinds: Sequence[str] | None = None, metadata: dict | None = None,
+                  analyzer: Analyzer = plain_tokens) -> DataFrame:
     """The k best documents per question, with their whole text.
 
-    Each ranking hands its ``candidates`` best per question to the fusion; words in more than ``max_df`` documents, if
-    given, are not searched for.
+    Each ranking hands its ``candidates`` best per question to the fusion; every word of a question is searched for.
 
     ``queries`` has query_id, text and vector; ``docs`` id, kind, title, body, metadata; ``vectors`` id, kind,
-    metadata, embedding; ``posts`` the postings and ``frequencies`` their document frequencies.
+    metadata, embedding; ``posts`` the postings, made with the same ``analyzer``.
     """
     searchable = allowed(docs, kinds, metadata)
     there = searchable.select("id")  # a stale vector or posting must not take a candidate's place
     vector_hits = vector_top_k(
         queries.filter(F.col("vector").isNotNull()), vectors.join(there, "id", "left_semi"), candidates)
-    terms = query_terms(queries, "query_id", "text", frequencies, max_df)
+    terms = query_terms(queries, "query_id", "text", analyzer=analyzer)
     fused = fuse(vector_hits, keyword_search(terms, posts.join(there, "id", "left_semi"), candidates))
     best = top_k_per(fused, ["query_id"], [F.col("score").desc(), F.col("id")], k, rank="position")
     return best.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
@@ -78,28 +77,27 @@ def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int,
     return near.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
 
 
-def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, frequencies: DataFrame,
-                   rules: DataFrame, k: int, memory_k: int, candidates: int, max_df: int | None = None,
-                   hit_kinds: Sequence[str] = CONTEXT_KINDS, memory_kinds: Sequence[str] = LEARNED_KINDS,
+def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, memory_k: int,
+                   candidates: int, hit_kinds: Sequence[str] = CONTEXT_KINDS,
+                   memory_kinds: Sequence[str] = LEARNED_KINDS,
                    min_similarity: float = MEMORY_SIMILARITY) -> DataFrame:
-    """Per question: the active rules, close memories and document hits, as arrays in the order shown."""
-    memory = hybrid_search(queries, docs, vectors, posts, frequencies, memory_k, candidates, max_df, memory_kinds)
+    """Per question: close memories and document hits, as arrays in the order shown.
+
+    The rules that hold for every question are a result of their own (``plans.documents.newest_rules``), a row each:
+    there may be more of them than a cell holds.
+    """
+    memory = hybrid_search(queries, docs, vectors, posts, memory_k, candidates, memory_kinds)
     memory = memory.filter(F.coalesce("similarity", F.lit(0.0)) >= min_similarity)
     memory = memory.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", "title", F.col("snippet").alias("text"),
         F.round("similarity", 3).alias("similarity")))).alias("memory"))
-    hits = hybrid_search(queries, docs, vectors, posts, frequencies, k, candidates, max_df, hit_kinds)
+    hits = hybrid_search(queries, docs, vectors, posts, k, candidates, hit_kinds)
     hits = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", F.coalesce(F.get_json_object("metadata", "$.name"), "title").alias("name"),
         F.get_json_object("metadata", "$.status").alias("status"),
         F.get_json_object("metadata", "$.meeting_date").alias("meeting_date"),
         "snippet"))).alias("hits"))
-    listed = newest_rules(rules).agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "rule"))).alias("r"))
-    shown_rules = listed.select(F.transform("r", lambda x: x["rule"]).alias("rules")).scalar()
-    return (
-        queries.select("query_id").join(memory, "query_id", "left").join(hits, "query_id", "left")
-        .withColumn("rules", shown_rules)
-    )
+    return queries.select("query_id").join(memory, "query_id", "left").join(hits, "query_id", "left")
 
 
 # --- embeddings ------------------------------------------------------------------------------------------------
