@@ -30,18 +30,21 @@ from dealweave.llm.common import shared_folder, stored, text_bytes, text_slices
 END = b"\n"
 #: Bytes of text meant for one block.
 BLOCK_BYTES = 10 << 20
+#: Tokens scored at once where few documents run side by side.
+SCORED_TOGETHER = 8192
 
 
 @dataclass(frozen=True)
 class Shape:
     """Size of the model and of its training: known words, words of a class, hidden units, steps of a window, documents
-    that run side by side, learning rate and gradient bound."""
+    that run side by side, tokens of a training piece, learning rate and gradient bound."""
 
     words: int = 1024
     per_class: int = 32
     hidden: int = 16
     steps: int = 16
     lanes: int = 512
+    piece: int = 1024
     rate: float = 0.05
     bound: float = 0.25
 
@@ -95,13 +98,16 @@ class Model:
 
     # word numbers: 0 .. words - 1 known words by rank, ``words`` any other, ``words + 1`` start of a text
 
-    def run(self, inputs: np.ndarray, state: np.ndarray):
-        """States after each step of a window (steps x lanes), and what training needs of each step."""
+    def run(self, inputs: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None):
+        """States after each step of a window (steps x lanes), and what training needs of each step.
+
+        Where ``fresh`` (by default: at the start of a text) a step begins with an empty state.
+        """
         w, h = self.weights, self.shape.hidden
         kept = np.empty((5, *inputs.shape, h), np.float32)
         before, own_new, update, reset, new = kept
         states = np.empty((*inputs.shape, h), np.float32)
-        fresh = inputs == self.shape.words + 1
+        fresh = inputs == self.shape.words + 1 if fresh is None else fresh
         for t, row in enumerate(inputs):
             if fresh[t].any():
                 state = np.where(fresh[t][:, None], np.float32(0), state)
@@ -138,17 +144,18 @@ class Model:
         return (total, grads, back) if train else total
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray,
-              there: np.ndarray | None = None) -> np.ndarray:
+              there: np.ndarray | None = None, fresh: np.ndarray | None = None) -> np.ndarray:
         """One training step over a window; returns the state at its end. Steps not ``there`` are padding at lane ends."""
         there = np.ones(inputs.shape, bool) if there is None else there
         w, h = self.weights, self.shape.hidden
-        states, (before, own_new, update, reset, new) = self.run(inputs, state)
+        states, (before, own_new, update, reset, new) = (
+            self.run(inputs, state) if fresh is None else self.run(inputs, state, fresh))
+        fresh = inputs == self.shape.words + 1 if fresh is None else fresh
         back = np.zeros_like(states)
         _, grads, back[there] = self.output(states[there], targets[there], True)
         to_new = (1 - update) * (1 - new * new)
         to_update = (before - new) * update * (1 - update)
         to_reset = own_new * reset * (1 - reset)
-        fresh = inputs == self.shape.words + 1
         given, own = np.empty((2, *inputs.shape, 3 * h), np.float32)
         flow = np.zeros_like(state)
         for t in range(len(inputs) - 1, -1, -1):
@@ -181,47 +188,67 @@ class Lanes:
     inputs: np.ndarray
     targets: np.ndarray
     owners: np.ndarray
+    fresh: np.ndarray
 
     @classmethod
-    def of(cls, docs: list[np.ndarray], shape: Shape) -> Lanes:
-        """``docs``: word numbers of each text, the end included. Padding has owner -1 and stands at lane ends."""
-        sizes = np.array([len(d) for d in docs])
-        count = int(max(1, min(shape.lanes, len(docs), 4 * sizes.sum() // max(sizes.max(initial=1), 1))))
+    def of(cls, docs: list[np.ndarray], shape: Shape, piece: int | None = None) -> Lanes:
+        """``docs``: word numbers of each text, the end included. Padding has owner -1 and stands at lane ends.
+
+        With ``piece``, longer texts are dealt in pieces of so many tokens, each from an empty state on.
+        """
+        parts = [(d, a) for d, t in enumerate(docs) for a in range(0, len(t), piece or max(len(t), 1))]
+        sizes = np.array([min(len(docs[d]) - a, piece or len(docs[d])) for d, a in parts])
+        count = int(max(1, min(shape.lanes, len(parts), 4 * sizes.sum() // max(sizes.max(initial=1), 1))))
         heap = [(0, i) for i in range(count)]
         lanes: list[list[int]] = [[] for _ in range(count)]
-        for d in np.argsort(-sizes, kind="stable").tolist():
+        loads = [0] * count
+        for p in np.argsort(-sizes, kind="stable").tolist():
             load, i = heapq.heappop(heap)
-            lanes[i].append(d)
-            heapq.heappush(heap, (load + len(docs[d]), i))
-        lanes.sort(key=lambda lane: -sum(len(docs[d]) for d in lane))
-        depth = sum(len(docs[d]) for d in lanes[0])
-        made = cls(*(np.full((depth, count), v, np.int32) for v in (shape.words + 1, 0, -1)))
-        for i, lane in enumerate(lanes):
+            lanes[i].append(p)
+            loads[i] = load + int(sizes[p])
+            heapq.heappush(heap, (loads[i], i))
+        order = sorted(range(count), key=lambda i: -loads[i])
+        made = cls(*(np.full((max(loads), count), v, np.int32) for v in (shape.words + 1, 0, -1)),
+                   np.ones((max(loads), count), bool))
+        for i, lane in enumerate(order):
             at = 0
-            for d in lane:
-                end = at + len(docs[d])
-                made.targets[at:end, i] = docs[d]
-                made.inputs[at + 1:end, i] = docs[d][:-1]
+            for p in lanes[lane]:
+                (d, a), end = parts[p], at + int(sizes[p])
+                text = docs[d][a:a + end - at]
+                made.targets[at:end, i] = text
+                made.inputs[at + 1:end, i] = text[:-1]
+                if a:
+                    made.inputs[at, i] = docs[d][a - 1]
                 made.owners[at:end, i] = d
+                made.fresh[at + 1:end, i] = False
                 at = end
         return made
 
-    def windows(self, steps: int):
-        """Window bounds and how many lanes still have tokens in each."""
+    def windows(self, steps: int, tokens: int = 0):
+        """Window bounds and how many lanes still have tokens in each. Windows of few lanes are longer, up to about
+        ``tokens`` tokens in all."""
         lengths = (self.owners >= 0).sum(axis=0)
-        for start in range(0, len(self.owners), steps):
-            yield slice(start, start + steps), int((lengths > start).sum())
+        start = 0
+        while start < len(self.owners):
+            active = int((lengths > start).sum())
+            size = max(steps, min(tokens // active, 64 * steps))
+            yield slice(start, start + size), active
+            start += size
 
 
 def train_block(model: Model, docs: list[np.ndarray]) -> None:
-    """One pass of training over the documents of a block."""
+    """One pass of training over the documents of a block.
+
+    Truncated backpropagation ends at windows. Texts of more than ``piece`` tokens are learned in pieces, each from an
+    empty state on, so that lanes are about equally long; every token is learned from, and scoring carries the state on.
+    """
     if not docs:
         return
-    lanes = Lanes.of(docs, model.shape)
+    lanes = Lanes.of(docs, model.shape, model.shape.piece)
     state = np.zeros((lanes.owners.shape[1], model.shape.hidden), np.float32)
     for window, active in lanes.windows(model.shape.steps):
         state = model.learn(lanes.inputs[window][:, :active], lanes.targets[window][:, :active], state[:active],
-                            lanes.owners[window][:, :active] >= 0)
+                            lanes.owners[window][:, :active] >= 0, lanes.fresh[window][:, :active])
 
 
 def score_block(model: Model, docs: list[np.ndarray]) -> np.ndarray:
@@ -231,7 +258,7 @@ def score_block(model: Model, docs: list[np.ndarray]) -> np.ndarray:
         return total
     lanes = Lanes.of(docs, model.shape)
     state = np.zeros((lanes.owners.shape[1], model.shape.hidden), np.float32)
-    for window, active in lanes.windows(model.shape.steps):
+    for window, active in lanes.windows(model.shape.steps, SCORED_TOGETHER):
         owners = lanes.owners[window][:, :active].reshape(-1)
         states, _ = model.run(lanes.inputs[window][:, :active], state[:active])
         state = states[-1]

@@ -70,6 +70,24 @@ def test_state_is_carried_through_whole_documents():
         assert total == pytest.approx(model.output(states.reshape(-1, 5), d).sum(), rel=1e-4)
 
 
+def test_pieces_hold_every_token_once():
+    rng = np.random.default_rng(8)
+    docs = [rng.integers(0, 11, n).astype(np.int32) for n in (1, 7, 20, 3, 41, 2, 2)]
+    lanes = lm.Lanes.of(docs, SMALL, 6)
+    there = lanes.owners >= 0
+    assert there.sum() == sum(map(len, docs)) and lanes.fresh[there].sum() == sum(-(-len(d) // 6) for d in docs)
+    seen = {d: [] for d in range(len(docs))}
+    for lane in range(there.shape[1]):
+        at = np.flatnonzero(there[:, lane])
+        assert at.tolist() == list(range(len(at)))  # padding stands at the end
+        for t in at:
+            seen[lanes.owners[t, lane]].append((lanes.inputs[t, lane], lanes.targets[t, lane]))
+    for d, text in enumerate(docs):
+        assert sorted(seen[d]) == sorted(zip([SMALL.words + 1, *text[:-1]], text, strict=True))
+    covered = sum(len(range(*w.indices(len(there)))) for w, _ in lanes.windows(3, 12))
+    assert covered == len(there)
+
+
 def test_training_learns_what_follows_what():
     shape = lm.Shape(words=12, per_class=4, hidden=8, steps=8, lanes=8, rate=0.1)
     rng = random.Random(1)
