@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, oldest
+from dealweave.functions.sql_text import bare_sql
 from dealweave.functions.text import any_word
 from dealweave.operators.rows import first_per_group
 
@@ -41,14 +42,12 @@ BOLD = r"\*\*(.+?)\*\*"
 def audit_sql(log: DataFrame, sql: str, blocked: Sequence[str]) -> DataFrame:
     """Flags on logged query texts: more than one statement, not a plain query, calls to ``blocked`` functions.
 
-    Literals and comments are taken out first, so text inside them raises no flag.
+    Strings, quoted names, dollar-quoted texts and (nested) comments are taken out first, in one pass, so text inside
+    them raises no flag and what looks like an opening quote inside a comment hides nothing.
     """
     body = F.regexp_replace(F.trim(sql), r";+\s*\z", "")
-    bare = F.regexp_replace(F.col("_body"), r"'(?:[^']|'')*'", "''")
-    bare = F.regexp_replace(bare, r"--[^\n]*", " ")
-    bare = F.regexp_replace(bare, r"(?s)/\*.*?\*/", " ")
     calls = rf"(?i)\b({'|'.join(blocked)})\s*\("
-    audited = log.withColumn("_body", body).withColumn("_bare", bare)
+    audited = log.withColumn("_body", body).withColumn("_bare", bare_sql(F.col("_body")))
     return audited.select(
         *log.columns, (F.trim("_body") == "").alias("is_empty"), F.contains("_bare", F.lit(";")).alias("many_statements"),
         (~F.col("_bare").rlike(r"(?i)^\s*(select|with)\b")).alias("not_a_query"),
