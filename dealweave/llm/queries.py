@@ -240,12 +240,16 @@ with pieces as (
     select coalesce(lang, 'und') as lang, unnest(string_split_regex(
         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
     from documents),
-lists as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
+lists as (select lang, row_number() over () as piece_no, regexp_extract_all(piece, '[^\x20\x09]+') as words from pieces),
 totals as (select lang, sum(len(words))::bigint as n from lists group by lang),
+each as (select lang, piece_no, unnest(words) as w, generate_subscripts(words, 1) as p from lists),
+ahead as (select lang, w, lead(w, 1) over x as w2, lead(w, 2) over x as w3, lead(w, 3) over x as w4
+          from each window x as (partition by piece_no order by p)),
 runs as (
-    select lang, size, array_to_string(list_slice(words, p, p + size - 1), ' ') as phrase
-    from (select lang, words, size, unnest(range(1, len(words) - size + 2)) as p
-          from lists, (select unnest([1, 2, 3, 4]) as size) where len(words) >= size)),
+    select lang, 1 as size, w as phrase from ahead
+    union all select lang, 2, concat(w, ' ', w2) from ahead where w2 is not null
+    union all select lang, 3, concat(w, ' ', w2, ' ', w3) from ahead where w3 is not null
+    union all select lang, 4, concat(w, ' ', w2, ' ', w3, ' ', w4) from ahead where w4 is not null),
 f as (select lang, size, phrase, count(*) as c from runs group by all having count(*) >= 30),
 cand as (select lang, size, phrase, c as a, string_split(phrase, ' ') as words from f where size >= 2),
 cuts as (
