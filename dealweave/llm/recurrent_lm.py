@@ -53,22 +53,27 @@ class Shape:
         return -(-self.words // self.per_class) + 1
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> None:
+    """Logistic function in place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
 def _log_choice(x: np.ndarray, chosen: np.ndarray, train: bool):
-    """Log softmax of each row at its chosen column, and the gradient of their sum if asked for."""
-    rows = np.arange(len(x))
-    x = x - x.max(axis=1, keepdims=True)
-    e = np.exp(x)
-    whole = e.sum(axis=1)
-    logp = x[rows, chosen].astype(np.float64) - np.log(whole)
+    """Log softmax of each column at its chosen row, and the gradient of their sum if asked for; ``x`` is used up."""
+    columns = np.arange(x.shape[1])
+    x -= x.max(axis=0)
+    logp = x[chosen, columns].astype(np.float64)
+    np.exp(x, out=x)
+    whole = x.sum(axis=0)
+    logp -= np.log(whole)
     if not train:
         return logp, None
-    e *= (-1 / whole)[:, None]
-    e[rows, chosen] += 1
-    return logp, e
+    x *= -1 / whole
+    x[chosen, columns] += 1
+    return logp, x
 
 
 @dataclass
@@ -98,50 +103,62 @@ class Model:
 
     # word numbers: 0 .. words - 1 known words by rank, ``words`` any other, ``words + 1`` start of a text
 
-    def run(self, inputs: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None):
-        """States after each step of a window (steps x lanes), and what training needs of each step.
+    def run(self, inputs: np.ndarray, state: np.ndarray, fresh: np.ndarray | None = None, keep: bool = True):
+        """States after each step of a window (steps x lanes x hidden), and what training needs of each step.
 
-        Where ``fresh`` (by default: at the start of a text) a step begins with an empty state.
+        Where ``fresh`` (by default: at the start of a text) a step begins with an empty state. Inside, the axes are
+        unit, step and lane, so that every operation runs along many lanes.
         """
         w, h = self.weights, self.shape.hidden
-        kept = np.empty((5, *inputs.shape, h), np.float32)
-        before, own_new, update, reset, new = kept
-        states = np.empty((*inputs.shape, h), np.float32)
+        given = np.take(w["input"].T, inputs, axis=1)
+        states = np.empty((h, *inputs.shape), np.float32)
+        before, own_new = np.empty((2, *(states.shape if keep else (h, 0, 0))), np.float32)
         fresh = inputs == self.shape.words + 1 if fresh is None else fresh
-        for t, row in enumerate(inputs):
-            if fresh[t].any():
-                state = np.where(fresh[t][:, None], np.float32(0), state)
-            given, own = w["input"][row], state @ w["state"]
-            gates = _sigmoid(given[:, :2 * h] + own[:, :2 * h])
-            before[t], own_new[t], update[t], reset[t] = state, own[:, 2 * h:], gates[:, :h], gates[:, h:]
-            new[t] = np.tanh(given[:, 2 * h:] + gates[:, h:] * own[:, 2 * h:])
-            state = new[t] + update[t] * (state - new[t])
-            states[t] = state
-        return states, kept
+        starts = fresh.any(axis=1).tolist()
+        step, state = np.ascontiguousarray(w["state"].T), state.T
+        for t, start in enumerate(starts):
+            if start:
+                state = np.where(fresh[t], np.float32(0), state)
+            own, gates, new = step @ state, given[:2 * h, t], given[2 * h:, t]
+            gates += own[:2 * h]
+            _sigmoid(gates)
+            if keep:
+                before[:, t], own_new[:, t] = state, own[2 * h:]
+            new += gates[h:] * own[2 * h:]
+            np.tanh(new, out=new)
+            states[:, t] = new + gates[:h] * (state - new)
+            state = states[:, t]
+        return states.transpose(1, 2, 0), (before, own_new, given[:h], given[h:2 * h], given[2 * h:])
 
     def output(self, states: np.ndarray, targets: np.ndarray, train: bool = False):
         """Natural log probability of each target (rest words: of their class), and gradients of the sum."""
         w, size = self.weights, self.shape.per_class
         classes = np.where(targets < self.shape.words, targets // size, self.shape.classes - 1)
-        total, d = _log_choice(states @ w["class"] + w["class_bias"], classes, train)
+        order = np.argsort(classes, kind="stable")
+        classes, chosen, own = classes[order], targets[order], np.take(states.T, order, axis=1)
+        total, d = _log_choice(w["class"].T @ own + w["class_bias"][:, None], classes, train)
         if train:
             grads = {k: np.zeros_like(w[k]) for k in ("word", "word_bias")}
-            grads["class"], grads["class_bias"] = states.T @ d, d.sum(axis=0)
-            back = d @ w["class"].T
-        order = np.argsort(classes, kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(self.shape.classes))
+            grads["class"], grads["class_bias"] = own @ d.T, d.sum(axis=1)
+            back = w["class"] @ d
+        ends = np.searchsorted(classes, np.arange(self.shape.classes))
         for c in range(self.shape.classes - 1):
-            at = order[ends[c]:ends[c + 1]]
-            if not len(at):
+            at = slice(ends[c], ends[c + 1])
+            if at.start == at.stop:
                 continue
             part = slice(c * size, min((c + 1) * size, self.shape.words))
-            own = states[at]
-            inner, d = _log_choice(own @ w["word"][part].T + w["word_bias"][part], targets[at] - c * size, train)
+            inner, d = _log_choice(w["word"][part] @ own[:, at] + w["word_bias"][part][:, None], chosen[at] - c * size, train)
             total[at] += inner
             if train:
-                grads["word"][part], grads["word_bias"][part] = d.T @ own, d.sum(axis=0)
-                back[at] += d @ w["word"][part]
-        return (total, grads, back) if train else total
+                grads["word"][part], grads["word_bias"][part] = d @ own[:, at].T, d.sum(axis=1)
+                back[:, at] += w["word"][part].T @ d
+        result = np.empty_like(total)
+        result[order] = total
+        if not train:
+            return result
+        flow = np.empty_like(back)
+        flow[:, order] = back
+        return result, grads, flow.T
 
     def learn(self, inputs: np.ndarray, targets: np.ndarray, state: np.ndarray,
               there: np.ndarray | None = None, fresh: np.ndarray | None = None) -> np.ndarray:
@@ -151,28 +168,31 @@ class Model:
         states, (before, own_new, update, reset, new) = (
             self.run(inputs, state) if fresh is None else self.run(inputs, state, fresh))
         fresh = inputs == self.shape.words + 1 if fresh is None else fresh
-        back = np.zeros_like(states)
-        _, grads, back[there] = self.output(states[there], targets[there], True)
+        back = np.zeros((h, *inputs.shape), np.float32)
+        _, grads, found = self.output(states.reshape(-1, h)[there.reshape(-1)], targets[there], True)
+        back[:, there] = found.T
         to_new = (1 - update) * (1 - new * new)
         to_update = (before - new) * update * (1 - update)
         to_reset = own_new * reset * (1 - reset)
-        given, own = np.empty((2, *inputs.shape, 3 * h), np.float32)
-        flow = np.zeros_like(state)
+        given = np.empty((3 * h, *inputs.shape), np.float32)
+        flow = np.zeros((h, inputs.shape[1]), np.float32)
+        grads["state"] = np.zeros_like(w["state"])
+        starts = fresh.any(axis=1).tolist()
         for t in range(len(inputs) - 1, -1, -1):
-            flow = flow + back[t]
-            d_new = flow * to_new[t]
-            given[t, :, :h], given[t, :, h:2 * h], given[t, :, 2 * h:] = flow * to_update[t], d_new * to_reset[t], d_new
-            own[t] = given[t]
-            own[t, :, 2 * h:] *= reset[t]
-            flow = flow * update[t] + own[t] @ w["state"].T
-            if fresh[t].any():
-                flow[fresh[t]] = 0
-        grads["state"] = before.reshape(-1, h).T @ own.reshape(-1, 3 * h)
+            flow = flow + back[:, t]
+            d_new = flow * to_new[:, t]
+            given[:h, t], given[h:2 * h, t], given[2 * h:, t] = flow * to_update[:, t], d_new * to_reset[:, t], d_new
+            own = given[:, t].copy()
+            own[2 * h:] *= reset[:, t]
+            grads["state"] += before[:, t] @ own.T
+            flow = flow * update[:, t] + w["state"] @ own
+            if starts[t]:
+                flow[:, fresh[t]] = 0
         order = np.argsort(inputs, axis=None, kind="stable")
         ids = inputs.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
         grads["input"] = np.zeros_like(w["input"])
-        grads["input"][ids[first]] = np.add.reduceat(given.reshape(-1, 3 * h)[order], first, axis=0)
+        grads["input"][ids[first]] = np.add.reduceat(np.take(given.reshape(3 * h, -1), order, axis=1), first, axis=1).T
         for k, g in grads.items():
             g = np.clip(g / np.float32(there.sum()), -self.shape.bound, self.shape.bound)
             s = self.squares.setdefault(k, np.full_like(g, 1e-6))
@@ -260,7 +280,7 @@ def score_block(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     state = np.zeros((lanes.owners.shape[1], model.shape.hidden), np.float32)
     for window, active in lanes.windows(model.shape.steps, SCORED_TOGETHER):
         owners = lanes.owners[window][:, :active].reshape(-1)
-        states, _ = model.run(lanes.inputs[window][:, :active], state[:active])
+        states, _ = model.run(lanes.inputs[window][:, :active], state[:active], keep=False)
         state = states[-1]
         there = owners >= 0
         logp = model.output(states.reshape(-1, model.shape.hidden)[there],
