@@ -8,6 +8,7 @@ from dealweave.catalog.base import chunks_of, query, ts
 from dealweave.catalog.rowsets import as_of
 from dealweave.functions.hashing import request_key
 from dealweave.operators.chunks import chunk_documents
+from dealweave.operators.pivots import pivot_index, pivot_top_k
 from dealweave.operators.postings import keyword_search, postings, query_terms, term_df
 from dealweave.operators.rows import spread
 from dealweave.operators.vectors import vector_top_k
@@ -56,6 +57,22 @@ def vector_top_k_query(t):
         "similarity", F.round("similarity", 6))
 
 
+@query("pivot_search", f"""with {_VECTORS.strip()}
+    select query_id, id, round(similarity, 6) as similarity, rank from vr where rank <= 20""")
+def pivot_search_query(t):
+    hits, _ = pivot_top_k(t.asked, pivot_index(t.vecs), 20)
+    return hits.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("pivot_reads", """
+    select query_id, (select count(*) from vecs) as stored, true as enough, true as within from asked where vector is not null""")
+def pivot_reads_query(t):
+    """Vectors that each question was compared with: at least as many as it returns, at most as there are."""
+    _, reads = pivot_top_k(t.asked, pivot_index(t.vecs), 20)
+    return reads.select("query_id", "stored", (F.col("compared") >= F.least(F.lit(20), F.col("stored"))).alias("enough"),
+                        (F.col("compared") <= F.col("stored")).alias("within"))
+
+
 @query("hybrid_search", f"""with {_KEYWORDS.strip()}, {_VECTORS.strip()},
     f as (select coalesce(v.query_id, k.query_id) as query_id, coalesce(v.id, k.id) as id, v.similarity,
         round(coalesce(1.3::double / (60::double + v.rank), 0) + coalesce(1::double / (60::double + k.rank), 0), 9) as score

@@ -13,7 +13,7 @@ from tools.check_queries import rows_of
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = (
     "pages_scan", "mirror_upsert", "snapshot_diff", "raw_data", "in_flag_nullable", "regex_join", "nearest_date_match",
-    "alias_cascade", "company_rounds", "snapshot_roles", "startup_universe", "keyword_search", "vector_top_k",
+    "alias_cascade", "company_rounds", "snapshot_roles", "startup_universe", "keyword_search", "vector_top_k", "pivot_search",
     "hybrid_search", "grounding_check", "answer_cache", "usage_quota", "weekly_learning", "stream_daily_kpis",
 )
 
