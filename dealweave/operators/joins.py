@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -88,26 +89,117 @@ def _compiles(batches):
         yield batch.assign(_ok=batch["_pattern"].map(ok))
 
 
+_TOKEN = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|\(\?:|(?:[*+?]|\{\d*,?\d*\})[?+]?|.", re.DOTALL)
+_REPEAT = re.compile(r"([*+?]|\{(\d*),?\d*\})[?+]?")
+#: Letters outside ASCII that equal an ASCII letter when case is ignored.
+_FOLDED = str.maketrans({"\u017f": "s", "\u212a": "k", "\u0130": "i", "\u0131": "i"})
+
+
+class _Unclear(Exception):
+    """The pattern holds something whose matches are not looked into."""
+
+
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """Runs of ASCII letters and digits of which every match holds at least one, in any case; empty when none is certain.
+
+    Of a sequence the longest run or group counts, of a choice all its branches. Look-arounds, flags, fuzzy counts, and
+    escapes other than ``\\b \\d \\s \\w`` and punctuation are not looked into, so the answer may be missing, never wrong.
+    """
+    if "[:" in pattern or "[[" in pattern:
+        return ()
+    tokens = _TOKEN.findall(pattern)
+    at = 0
+
+    def repeats() -> str | None:
+        """Kind of the repeat that follows: None, ``some`` (once at least) or ``any``."""
+        nonlocal at
+        found = _REPEAT.fullmatch(tokens[at]) if at < len(tokens) else None
+        if not found:
+            return None
+        at += 1
+        sign, least = found[1], found[2]
+        return "some" if sign == "+" or (least or "0").strip("0") else "any"
+
+    def choice() -> tuple[str, ...]:
+        nonlocal at
+        branches = [sequence()]
+        while at < len(tokens) and tokens[at] == "|":
+            at += 1
+            branches.append(sequence())
+        return tuple(sorted(set().union(*branches))) if all(branches) else ()
+
+    def sequence() -> tuple[str, ...]:
+        nonlocal at
+        known: list[tuple[str, ...]] = [()]
+        run = ""
+        while at < len(tokens) and tokens[at] not in "|)":
+            token = tokens[at]
+            at += 1
+            if token in ("(", "(?:"):
+                inner = choice()
+                if at == len(tokens) or (at < len(tokens) and tokens[at] != ")"):
+                    raise _Unclear
+                at += 1
+                known += [(run,)] if run else []
+                run = ""
+                if repeats() != "any":
+                    known.append(inner)
+                continue
+            if _REPEAT.fullmatch(token) or token == "{" or re.fullmatch(r"\\[0-9A-Za-z]", token) and token[1] not in "bBdDsSwW":
+                raise _Unclear
+            plain = re.fullmatch("[0-9A-Za-z]", token) is not None
+            repeat = repeats()
+            if plain and repeat != "any":
+                run += token.lower()
+            if not plain or repeat:
+                known += [(run,)] if run else []
+                run = ""
+        known += [(run,)] if run else []
+        return max(known, key=lambda texts: (min(map(len, texts), default=0), -len(texts)))
+
+    try:
+        found = choice()
+        return found if at == len(tokens) else ()
+    except _Unclear:
+        return ()
+
+
 def required_text(pattern: str) -> str:
-    """Longest run of letters and digits that every match holds in any case; empty when none is certain.
+    """The one run of letters and digits that every match holds in any case; empty when none is certain."""
+    found = required_literals(pattern)
+    return found[0] if len(found) == 1 else ""
+
+
+def candidate_finder(literals: Sequence[Sequence[str]]):
+    """``find(text)``: ascending numbers of the patterns whose literals the text holds, and of those without any.
 
-    Only what stands outside brackets, choices and repeats counts, so the answer may be shorter than possible, never
-    wrong.
+    All literals go into one automaton, so a text is read once however many patterns there are.
     """
-    if "|" in pattern or "(?" in pattern or re.search(r"\\[a-zA-Z0-9]", re.sub(r"\\[bBdDsSwW]", "", pattern)):
-        return ""
-    plain = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)", "\0", pattern)
-    plain = re.sub(r".(?:[?*]|\{[^}]*\})", "\0", plain)
-    if any(c in plain for c in "()[]"):
-        return ""
-    return max(re.findall(r"[0-9A-Za-z]+", plain), key=len, default="").lower()
+    always = [i for i, texts in enumerate(literals) if not texts]
+    owners: dict[str, list[int]] = {}
+    for i, texts in enumerate(literals):
+        for text in texts:
+            owners.setdefault(text, []).append(i)
+    automaton = ahocorasick.Automaton()
+    for text, numbers in owners.items():
+        automaton.add_word(text, (text, numbers))
+    if owners:
+        automaton.make_automaton()
+
+    def find(text: str) -> list[int]:
+        if not owners:
+            return always
+        held = {word: numbers for _, (word, numbers) in automaton.iter(text.translate(_FOLDED).lower())}
+        return sorted({*always, *(i for numbers in held.values() for i in numbers)})
+
+    return find
 
 
 def pattern_blocks(patterns: DataFrame, name: str, pattern: str) -> list:
     """The patterns as broadcast blocks of at most ``PATTERN_BLOCK_BYTES`` each."""
     context, blocks, held, size = patterns.sparkSession.sparkContext, [], [], 0
     for row in patterns.select(name, pattern).toLocalIterator():
-        held.append((row[0], row[1], required_text(row[1])))
+        held.append((row[0], row[1], required_literals(row[1])))
         size += len(row[1]) + 64
         if size > PATTERN_BLOCK_BYTES:
             blocks.append(context.broadcast(held))
@@ -119,8 +211,9 @@ def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern
     """One row per text and matching pattern (case ignored, ``.`` matches line breaks), adding column ``name``.
 
     The patterns are the stated query set: they travel in blocks of bounded size, and every text meets every block in
-    place, so the texts are not shuffled. A different text is tested once per Arrow batch, and a pattern only when the
-    letters it requires are there. Patterns that do not compile match nothing; ``valid_patterns`` returns them.
+    place, so the texts are not shuffled. A different text is looked at once per Arrow batch: an automaton of the literals
+    that the patterns require names its candidates, and only those are compiled and run. Patterns without a certain
+    literal are candidates of every text. Patterns that do not compile match nothing; ``valid_patterns`` returns them.
     """
     usable = valid_patterns(patterns.filter(F.col(pattern).isNotNull()), pattern)[0]
     blocks = pattern_blocks(usable, name, pattern)
@@ -129,16 +222,20 @@ def regex_join(df: DataFrame, text: str, patterns: DataFrame, name: str, pattern
     arrow_type = to_arrow_type(T.ArrayType(name_type))
 
     def run(batches):
-        tests = None
+        held = [entry for b in blocks for entry in b.value]
+        find = candidate_finder([literals for _, _, literals in held])
+        search: dict[int, Callable] = {}
         for batch in batches:
-            tests = tests or [(n, _compiled(p).search, need) for b in blocks for n, p, need in b.value]
             found: dict[str | None, list] = {None: []}
             values = batch.column(text).to_pylist()
             for value in values:
                 if value not in found:
-                    small = value.lower()
-                    sure = small.isascii()  # other letters may fold to ASCII ones
-                    found[value] = [n for n, search, need in tests if (not sure or need in small) and search(value)]
+                    found[value] = names = []
+                    for i in find(value):
+                        if i not in search:
+                            search[i] = _compiled(held[i][1]).search
+                        if search[i](value):
+                            names.append(held[i][0])
             names = pa.array([found[v] for v in values], type=arrow_type)
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=[*batch.schema.names, "_names"])
 
