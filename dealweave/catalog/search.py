@@ -13,8 +13,8 @@ from dealweave.operators.postings import keyword_search, postings, query_terms,
 from dealweave.operators.rows import spread
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.answers import (
-    HEADING_WORDS, REMARK_WORDS, bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, mentioned_names,
-    source_links, ungrounded_names)
+    HEADING_WORDS, REMARK_WORDS, bold_names, cache_lookup, cache_update, contained_tables, drop_ungrounded, full_coverage,
+    mentioned_names, source_links, ungrounded_names)
 from dealweave.plans.documents import newest_rules
 from dealweave.plans.search import embed_pending, embed_queries, hybrid_search, memory_context, similar_items
 
@@ -290,6 +290,50 @@ def table_coverage_query(t):
     return contained_tables(result_tables(t))
 
 
+_ORDER_CELLS = """
+    orders_of as (select o_custkey as a, o_orderkey as k, o_orderstatus as st, o_orderpriority as pri, o_orderdate as d,
+        cast(extract(year from o_orderdate) as {text}) as y from {orders}),
+    summaries as (select a, count(*) as n, sum(case when st = 'F' then 1 else 0 end) as f from orders_of group by a),
+    result_cells as (
+      select a, 1 as t, k as r, concat('order ', k) as v, false as num from orders_of union all
+      select a, 1, k, y, false from orders_of union all select a, 1, k, pri, false from orders_of union all
+      select a, 2, k, concat('Order ', k, '!'), false from orders_of where st = 'F' union all
+      select a, 2, k, substring(pri, 3), false from orders_of where st = 'F' union all
+      select a, 3, 0, cast(n as {text}), true from summaries union all select a, 3, 0, cast(f as {text}), true from summaries union all
+      select a, 4, k, concat('order ', k), false from orders_of where st <> 'F' union all
+      select a, 4, k, cast(d as {text}), false from orders_of where st <> 'F' union all
+      select a, 5, k, pri, false from orders_of union all select a, 5, k, '', false from orders_of)"""
+
+
+def order_tables(t):
+    """Five result tables for every customer: orders, closed ones in other words, a line of counts, open ones with
+    their date, and priorities next to an empty column."""
+    sql = "with " + _ORDER_CELLS.format(orders="{orders}", text="string").strip() + " select * from result_cells"
+    return t.spark.sql(sql, orders=t.orders).select(
+        F.col("a").alias("answer_id"), F.col("t").alias("table_no"), F.col("r").alias("row_no"), F.col("v").alias("value"),
+        F.col("num").alias("numeric"))
+
+
+@query("table_containment", "with " + _ORDER_CELLS.format(orders="orders", text="varchar").strip() + """,
+    cells as (select a, t, r, num, trim(regexp_replace(lower(v), '[^a-z0-9.]+', ' ', 'g')) as v from result_cells),
+    rws as (select a, t, r, bool_and(num) as num, coalesce(list(v) filter (where v <> ''), []) as cs from cells group by a, t, r),
+    sz as (select a, t, count(*) as n, bool_and(num) as num from rws group by a, t),
+    hit as (select distinct x.a, x.t, x.r, b.t as bt from rws x join rws b on b.a = x.a and b.t <> x.t and len(x.cs) > 0
+      and len(list_filter(x.cs, lambda c: list_contains(b.cs, c) or (length(c) > 3 and len(list_filter(b.cs, lambda y: contains(y, c))) > 0)))
+        >= 0.9 * len(x.cs)),
+    hn as (select a, t, bt, count(*) as n from hit group by 1, 2, 3),
+    em as (select a, t, count(*) as n from rws where len(cs) = 0 group by a, t),
+    cv as (select p.a, p.t, q.t as bt from sz p join sz q on q.a = p.a and q.t <> p.t left join em on em.a = p.a and em.t = p.t
+      left join hn on hn.a = p.a and hn.t = p.t and hn.bt = q.t
+      where p.n <= q.n and coalesce(hn.n, 0) + coalesce(em.n, 0) >= 0.95 * p.n),
+    k1 as (select sz.*, not exists (select 1 from cv x where x.a = sz.a and x.t = sz.t
+      and (x.bt > x.t or not exists (select 1 from cv y where y.a = x.a and y.t = x.bt and y.bt = x.t))) as k from sz),
+    lf as (select a, count(*) filter (where k) as n, count(*) filter (where k and not (n = 1 and num)) as rest from k1 group by a)
+    select k1.a as answer_id, t as table_no, k and (not (k1.n = 1 and num) or lf.n <= 1 or rest = 0) as kept from k1 join lf using (a)""")
+def table_containment(t):
+    return contained_tables(order_tables(t), coverage=full_coverage)
+
+
 @query("source_links", """
     with m as (select distinct l.id as answer_id, trim(unnest(regexp_extract_all(answer, '\\*\\*(.+?)\\*\\*', 1))) as name from log l where answer is not null
       union select e.event_id, c_name from events e join customer on c_custkey = e.user_id where event_type <> 'error'),

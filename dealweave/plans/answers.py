@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from dealweave.functions.order import newest, oldest
 from dealweave.functions.sql_text import bare_sql
 from dealweave.functions.text import any_word
+from dealweave.operators.containment import Containment
 from dealweave.operators.rows import first_per_group
+from dealweave.session import materialised
 
 # Words that open a remark or make up a heading, so that bold text with them is not a name.
 REMARK_WORDS = (
@@ -152,7 +154,6 @@ def table_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFr
     rarer is shared.
     """
     rows = _table_rows(cells)
-    sizes = rows.groupBy("answer_id", "table_no").agg(F.count(F.lit(1)).alias("rows"))
     kinds = rows.groupBy("answer_id", "table_no", "cells").agg(F.count(F.lit(1)).alias("copies")).withColumn(
         "row_key", F.xxhash64("cells"))
     b = kinds.filter(F.size("cells") > 0).select(
@@ -172,6 +173,12 @@ def table_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFr
         (F.length(c) >= rules.min_partial) & F.exists("b_cells", lambda x: F.contains(x, c))))
     hits = pairs.filter(F.size(held) >= rules.cell_share * F.size("cells")).select(
         "answer_id", "covered", "row_key", "by").distinct()
+    return _coverage(rows, a, hits, rules)
+
+
+def _coverage(rows: DataFrame, a: DataFrame, hits: DataFrame, rules: CoverRules) -> DataFrame:
+    """Counts of covered rows for every two tables of an answer."""
+    sizes = rows.groupBy("answer_id", "table_no").agg(F.count(F.lit(1)).alias("rows"))
     from_hits = hits.join(a, ["answer_id", "covered", "row_key"]).groupBy("answer_id", "covered", "by").agg(
         F.sum("copies").alias("_hit"))
     empty = a.filter(F.size("cells") == 0).groupBy("answer_id", "covered").agg(F.sum("copies").alias("_empty"))
@@ -185,13 +192,25 @@ def table_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFr
         "is_covered", (F.col("rows") <= F.col("by_rows")) & (F.col("rows_covered") >= rules.row_share * F.col("rows")))
 
 
-def contained_tables(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFrame:
+def full_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFrame:
+    """As ``table_coverage``, with every covered row found: also where the rarest shared cell leads to other rows, and
+    where no cell is equal but all are part of longer ones."""
+    rows = materialised(_table_rows(cells))
+    kinds = rows.groupBy("answer_id", "table_no", "cells").agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "row_key", F.sha2(F.array_join("cells", "\n"), 256))
+    named = kinds.select(F.col("answer_id").alias("group"), F.col("table_no").alias("table"), "row_key", "cells")
+    hits = Containment(named, rules.cell_share, rules.min_partial).covered().withColumnRenamed("group", "answer_id")
+    return _coverage(rows, kinds.withColumnRenamed("table_no", "covered"), hits, rules)
+
+
+def contained_tables(cells: DataFrame, rules: CoverRules = CoverRules(),
+                     coverage: Callable[[DataFrame, CoverRules], DataFrame] = table_coverage) -> DataFrame:
     """(answer_id, table_no, kept): which result tables of an answer are worth showing.
 
     A table inside another one is dropped, of two equal ones the earlier. After that a one-row table of numbers is
     dropped as well, unless nothing would be left.
     """
-    cover = table_coverage(cells, rules).filter("is_covered").select("answer_id", "covered", "by")
+    cover = coverage(cells, rules).filter("is_covered").select("answer_id", "covered", "by")
     back = cover.select("answer_id", F.col("covered").alias("by"), F.col("by").alias("covered"), F.lit(True).alias("_both"))
     inside = cover.join(back, ["answer_id", "covered", "by"], "left").filter(
         F.col("_both").isNull() | (F.col("by") > F.col("covered")))
