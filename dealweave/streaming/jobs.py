@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from dealweave.functions.text import query_text_key
-from dealweave.operators.merge import finish_documents, merge_documents
+from dealweave.operators.merge import classify_documents, finish_documents, merge_documents
 from dealweave.operators.rows import first_per_group
 from dealweave.plans.search import Embedder, embed_pending, hashed_words
-from dealweave.session import list_paths
+from dealweave.streaming.log_table import LogTable
 
 WATERMARK = "1 hour"
 DEDUPE_HORIZON = "30 days"
@@ -39,69 +39,27 @@ def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], ch
     query.awaitTermination()
 
 
-class TableStates:
-    """A table in buckets of its key; a batch writes the buckets it touches below a folder of its number.
-
-    The state before batch n is, for each bucket, the newest committed version below n. It is read from storage, so a
-    restarted job goes on where the last one ended, and a repeated batch meets the same state as before. The start is
-    written only where no version exists.
-    """
-
-    def __init__(self, spark: SparkSession, folder: str, start: DataFrame, key: str = "id", buckets: int = 16):
-        self.spark, self.folder, self.schema, self.key, self.buckets = spark, folder, start.schema, key, buckets
-        if not self._versions():
-            self.write(start, -1)
-
-    def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _versions(self) -> dict[int, str]:
-        """Folders of committed batches by number (the start is -1)."""
-        done = [p.rsplit("/", 2)[-2] for p in list_paths(self.spark, f"{self.folder}/state-*/_SUCCESS")]
-        return {int(d.removeprefix("state-")) - 1: f"{self.folder}/{d}" for d in done}
-
-    def write(self, df: DataFrame, batch: int) -> None:
-        df.select(*self.schema.names).withColumn("_bucket", self.bucket()).write.mode("overwrite").partitionBy(
-            "_bucket").parquet(f"{self.folder}/state-{batch + 1}")
-
-    def before(self, batch: int | None, touched: list[int] | None = None) -> DataFrame:
-        """The table as it was before a batch (None: after all), whole or in the touched buckets only."""
-        paths: dict[str, str] = {}
-        for number, folder in sorted(self._versions().items()):
-            if batch is None or number < batch:
-                paths |= {p.rsplit("=", 1)[1]: p for p in list_paths(self.spark, f"{folder}/_bucket=*")}
-        wanted = [p for b, p in paths.items() if touched is None or int(b) in touched]
-        if not wanted:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*wanted)
-
-    def touched(self, df: DataFrame) -> list[int]:
-        """Buckets that hold a key of ``df``; at most ``buckets`` numbers."""
-        return [r[0] for r in df.select(self.bucket()).distinct().collect()]
-
-    def current(self) -> DataFrame:
-        return self.before(None)
-
-
 def stream_merge(arriving: DataFrame, target: DataFrame, folder: str, as_of: Column) -> DataFrame:
-    """Arriving documents merged into the stored ones; documents not in a batch stay.
+    """Arriving documents merged into the stored ones; a batch reads the rows of its ids and writes those that change.
 
     ``arriving``: id, kind, title, body, metadata. Within a batch the longest text of an id wins. Run again on the
     same folder, the job takes up the stored state; ``target`` then is not read.
     """
-    states = TableStates(target.sparkSession, f"{folder}/documents", target)
+    table = LogTable(target.sparkSession, f"{folder}/documents", target.schema)
+    table.start(target)
 
     def merge(batch: DataFrame, number: int) -> None:
         new = finish_documents(first_per_group(
             batch, ["id"], [F.desc(F.length("body")), F.col("title"), F.xxhash64(*batch.columns)])).persist()
-        old = states.before(number, states.touched(new))
-        others = old.join(new.select("id"), "id", "left_anti")
-        state, _ = merge_documents(old.join(new.select("id"), "id", "left_semi"), new, as_of)
-        states.write(others.unionByName(state), number)
+        old = table.before(number, new)
+        state, _ = merge_documents(old, new, as_of)
+        same = classify_documents(old, new).filter("change = 'unchanged'").select("id")
+        table.write(state.join(new.select("id"), "id", "left_semi").join(same, "id", "left_anti"), number)
+        table.compact_if_due(number)
         new.unpersist()
 
     run_to_end(arriving, merge, f"{folder}/checkpoint")
-    return states.current()
+    return table.current()
 
 
 def stream_embed(arriving: DataFrame, folder: str, as_of: Column, embedder: Embedder = hashed_words) -> DataFrame:
