@@ -9,6 +9,7 @@ from dealweave.catalog.rowsets import as_of
 from dealweave.operators.merge import finish_documents, vector_table
 from dealweave.session import shared_folder
 from dealweave.streaming import jobs
+from dealweave.streaming.quota import run_usage_steps
 
 
 def streamed(t: Tables, table: str) -> Tables:
@@ -59,6 +60,18 @@ def stream_usage_24h(t):
         jobs.rolling_usage(streamed(t, "events").log), shared_folder(t.spark), ["window_start", "window_end", "client"])
 
 
+@query("stream_usage_steps", f"""
+    with u as (select user_email as client, date_trunc('second', created_at) as s, created_at from log where error is null and user_email is not null),
+    moves as (select client, s as moment, 1 as n from u union all select client, s + interval 24 hour, -1 from u),
+    net as (select client, moment, sum(n) as n from moves group by 1, 2),
+    total as (select client, moment, sum(n) over (partition by client order by moment) as used from net)
+    select client, {ts('moment')} as "at", used::bigint as used from total
+    where moment < (select max(created_at) from u) - interval 3600500 millisecond""")
+def stream_usage_steps(t):
+    """Uses of the last 24 hours to the second, as far as the watermark has come."""
+    return run_usage_steps(streamed(t, "events").log, shared_folder(t.spark))
+
+
 @query("stream_daily_kpis", f"""
     select {ts("date_trunc('day', created_at)")} as day, count(*) filter (where error is null) as answered, count(*) filter (where error is not null) as failed,
       count(*) filter (where rating = 1) as up, count(*) filter (where rating = -1) as down from log group by 1""")
