@@ -36,7 +36,7 @@ def found(work):
     return {tuple(r) for r in work.covered().select("group", "covered", "row_key", "by").collect()}
 
 
-@pytest.mark.parametrize("crowded", [0, 2, 64])
+@pytest.mark.parametrize("crowded", [0, 64])
 def test_against_brute_force(spark, crowded):
     rng = random.Random(crowded)
     words = ["a", "bc", "swift", "swift labs", "amber swift labs", "labs", "12", "1234", "12345", "x" * 33, "y" + "x" * 40, "lab"]
@@ -54,9 +54,8 @@ def test_repeats_and_a_spare_cell(spark):
     many = [f"cell{i:02d}" for i in range(20)]
     tables = {(1, 1): [["x"] * 9 + ["y"], many, many[:18] + ["q1", "q2"], many[:17] + ["q1", "q2", "q3"]],
               (1, 2): [["x", "z"], many[::-1] + ["more"]]}
-    for crowded in (0, 64):
-        got = {k for g, t, k, by in found(Containment(table_rows(spark, tables), crowded=crowded)) if t == 1}
-        assert got == {"|".join(sorted(r)) for r in tables[1, 1][:3]}
+    got = {k for g, t, k, by in found(Containment(table_rows(spark, tables), crowded=0)) if t == 1}
+    assert got == {"|".join(sorted(r)) for r in tables[1, 1][:3]}
 
 
 def test_holders_of_long_cells(spark):
