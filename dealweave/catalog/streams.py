@@ -13,9 +13,10 @@ from dealweave.streaming.quota import run_usage_steps
 
 
 def streamed(t: Tables, table: str) -> Tables:
-    """The same views with one table read as a stream."""
+    """The same views with one table read as a stream, whether it is one file or a folder of files."""
     batch = t.spark.read.parquet(f"{t.folder}/{table}.parquet")
-    stream = jobs.file_stream(t.spark, t.folder, batch.schema, f"{table}.parquet")
+    # A pattern of one name: a plain path to a file would be taken for a folder.
+    stream = jobs.file_stream(t.spark, f"{t.folder}/{{{table}.parquet}}", batch.schema)
     out = Tables(t.spark, t.folder)
     times = {f.name: F.col(f.name).cast("timestamp") for f in batch.schema.fields if f.dataType.typeName() == "timestamp_ntz"}
     out._known[table] = stream.withColumns(times) if times else stream

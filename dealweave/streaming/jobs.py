@@ -16,6 +16,7 @@ from dealweave.functions.text import query_text_key
 from dealweave.operators.merge import classify_documents, finish_documents, merge_documents
 from dealweave.operators.rows import first_per_group
 from dealweave.plans.search import Embedder, embed_pending, hashed_words
+from dealweave.session import list_paths
 from dealweave.streaming.log_table import LogTable
 
 WATERMARK = "1 hour"
@@ -39,6 +40,13 @@ def run_to_end(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], ch
     query.awaitTermination()
 
 
+def written(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What the batches wrote below a folder; no rows if nothing has arrived so far."""
+    if not list_paths(spark, f"{folder}/*"):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+
+
 def stream_merge(arriving: DataFrame, target: DataFrame, folder: str, as_of: Column) -> DataFrame:
     """Arriving documents merged into the stored ones; a batch reads the rows of its ids and writes those that change.
 
@@ -71,7 +79,7 @@ def stream_embed(arriving: DataFrame, folder: str, as_of: Column, embedder: Embe
         embed_pending(batch, as_of, embedder).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     run_to_end(arriving, embed, f"{folder}/checkpoint")
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
+    return written(spark, out, schema)
 
 
 def rolling_usage(log: DataFrame, user: str = "user_email", length: str = "24 hours", step: str = "1 hour") -> DataFrame:
@@ -106,8 +114,7 @@ def updated_result(aggregated: DataFrame, folder: str, keys: Sequence[str]) -> D
 
     run_to_end(aggregated, add, f"{folder}/checkpoint", "update")
     schema = StructType([*aggregated.schema.fields, StructField("_batch", IntegerType())])
-    changes = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out)
-    return first_per_group(changes, keys, [F.desc("_batch")]).drop("_batch")
+    return first_per_group(written(spark, out, schema), keys, [F.desc("_batch")]).drop("_batch")
 
 
 def appended_result(stream: DataFrame, folder: str) -> DataFrame:
@@ -118,7 +125,7 @@ def appended_result(stream: DataFrame, folder: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{out}/part-{number}")
 
     run_to_end(stream, add, f"{folder}/checkpoint")
-    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(out)
+    return written(spark, out, stream.schema)
 
 
 def distinct_queries(queries: DataFrame, text: str = "question", horizon: str = DEDUPE_HORIZON) -> DataFrame:

@@ -103,3 +103,26 @@ def test_document_stream_over_several_batches(spark, tmp_path):
     for _ in range(2):  # restarted with another file, then with nothing new: every row stays
         state = jobs.stream_merge(arriving, stored, f"{tmp_path}/out", as_of())
         assert {r.id: r.body for r in state.collect()} == {"a": "newer", "b": "b", "c": "c", "d": "d"}
+
+
+def test_tables_in_one_file_or_many_and_without_rows(spark, tmp_path):
+    from dealweave.catalog.base import QUERIES
+
+    docs = spark.createDataFrame(
+        [(i, f"text {i}", "en", f"src{i}", 6) for i in range(6)], "doc_id bigint, text string, lang string, source string, n_chars int")
+    docs.repartition(3).write.parquet(f"{tmp_path}/many/documents.parquet")
+    docs.limit(0).coalesce(1).write.parquet(f"{tmp_path}/none/documents.parquet")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/part")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "part").glob("*.parquet")).rename(tmp_path / "one" / "documents.parquet")
+    for folder, n in (("many", 6), ("one", 6), ("none", 0)):
+        done = QUERIES["stream_embed_pending"](spark, f"{tmp_path}/{folder}")
+        assert {(r.id, r.dimensions) for r in done.collect()} == {(f"doc{i}", 64) for i in range(n)}
+    merged = QUERIES["stream_doc_merge"](spark, f"{tmp_path}/many")
+    assert {r.id: r.has_vector for r in merged.collect()} == {
+        "doc0": True, "doc1": False, "doc2": False, "doc3": False, "doc4": True, "doc5": True}
+    empty = spark.createDataFrame([], "id bigint, created_at timestamp, user_email string, error string, rating int, question string")
+    (tmp_path / "nothing").mkdir()
+    nothing = jobs.file_stream(spark, str(tmp_path / "nothing"), empty.schema)
+    assert jobs.appended_result(nothing.select("question"), f"{tmp_path}/a").count() == 0
+    assert jobs.updated_result(jobs.daily_kpis(nothing), f"{tmp_path}/u", ["day"]).count() == 0
