@@ -62,7 +62,9 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts
     vector_hits = vector_top_k(
         queries.filter(F.col("vector").isNotNull()), vectors.join(there, "id", "left_semi"), candidates)
     terms = query_terms(queries, "query_id", "text", analyzer=analyzer)
-    fused = fuse(vector_hits, keyword_search(terms, posts.join(there, "id", "left_semi"), candidates))
+    # looked up by the ids of a share of the documents: postings lie by id and need no sort
+    stored = posts.join(there.hint("shuffle_hash"), "id", "left_semi")
+    fused = fuse(vector_hits, keyword_search(terms, stored, candidates))
     best = top_k_per(fused, ["query_id"], [F.col("score").desc(), F.col("id")], k, rank="position")
     return best.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
 
