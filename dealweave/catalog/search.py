@@ -143,8 +143,11 @@ def similar_items_query(t):
     hr as (select *, row_number() over (partition by query_id order by score desc, id) as position from hf),
     hits as (select query_id, string_agg(hr.id || ' ' || d.kind || ' ' || d.body, ', ' order by position) as hits
       from hr join docs d on d.id = hr.id where position <= 8 group by 1)
-    select a.query_id, memory, hits from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id""")
+    select a.query_id, memory, hits, null as rule_id, null as rule_created_at, null as rule
+    from asked a left join mem on mem.query_id = a.query_id left join hits on hits.query_id = a.query_id
+    union all select null, null, null, id, {ts('created_at')}, rule from rules where active""")
 def memory_context_query(t):
+    """A row for each question, and the active rules that go with every question, a row each, once."""
     posts = postings(t.docs, "id", "body")
     found = memory_context(
         t.asked, t.docs, t.vecs, posts, 8, 6, 60, hit_kinds=["src3", "src4", "src5", "src6"],
@@ -152,7 +155,9 @@ def memory_context_query(t):
     memory = F.transform("memory", lambda m: F.concat(
         m["id"], F.lit(" "), m["similarity"].cast("decimal(10,3)").cast("string")))
     hits = F.transform("hits", lambda h: F.concat_ws(" ", h["id"], h["kind"], h["snippet"]))
-    return found.select("query_id", memory.alias("memory"), hits.alias("hits"))
+    asked = found.select("query_id", memory.alias("memory"), hits.alias("hits"))
+    rules = newest_rules(t.rules).select(F.col("id").alias("rule_id"), F.col("created_at").alias("rule_created_at"), "rule")
+    return asked.unionByName(rules, allowMissingColumns=True)
 
 
 @query("memory_rules", f"select id, {ts('created_at')} as created_at, rule from rules where active")
