@@ -68,3 +68,11 @@ def test_state_is_bounded(spark, tmp_path):
     run_usage_steps(stream(spark, tmp_path), f"{tmp_path}/out")
     state = spark.read.format("statestore").option("stateVarName", "uses").load(f"{tmp_path}/out/checkpoint")
     assert 0 < state.count() <= 100  # the last day's seconds, not those of all four
+
+
+def test_one_value_and_one_timer_a_client(spark, tmp_path):
+    """The calls to the state grow with the clients of a batch, not with the seconds they used."""
+    arrive(spark, tmp_path, 0, [(u, s, None) for u in "abc" for s in range(0, 9000, 50)])
+    run_usage_steps(stream(spark, tmp_path), f"{tmp_path}/out")
+    for option in (("stateVarName", "uses"), ("readRegisteredTimers", True)):
+        assert spark.read.format("statestore").option(*option).load(f"{tmp_path}/out/checkpoint").count() == 3
