@@ -108,6 +108,28 @@ def test_employer_facts_both_versions(spark):
     assert career["ann"].career == "CTO at Acme; Lead at Acme; VP - R&D at New" and career["cy"].companies == [] and career["cy"].career is None
 
 
+def test_mentions_are_dealt_by_deal_once(spark):
+    """Attributes and flags come to the mentions by deal; rows without a model deal do not meet in one task."""
+    model = rebuild_model(snapshot(spark), companies(spark))
+    text = F.lit(None).cast("string")
+    pipeline = spark.createDataFrame([("p1", "D-1 Ltd", "beta"), ("p1", "D-1 Ltd", "beta"), ("p3", "Z", "Acme, beta")],
+                                     "id string, deal string, previous_company_worked_at string").select(
+        "*", F.lit("Pass").alias("status"), F.lit(None).cast("date").alias("meeting_date"), text.alias("previous_company"),
+        text.alias("founder_name"), text.alias("founder_linkedin"), text.alias("f3_classification"),
+        F.lit(None).cast("array<string>").alias("sectors"), now().alias("created_time"))
+    entities = spark.createDataFrame([("beta", "Beta", None, None, None, None)], "name string, entity string, parent_group string, status string, domain string, entity_type string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for dedupe in ("entity", "name"):
+            facts = employer_facts(pipeline, model, pipeline.select("id"), entities, dedupe)
+            assert "hashpartitioning(pipeline_id" not in facts._jdf.queryExecution().executedPlan().toString()
+            got = [(r.deal_id, r.company, r.in_raw_data) for r in facts.collect() if r.source == "pipeline" and r.company == "beta"]
+            assert sorted(got) == [("p1", "beta", True)] * 2 + [("p3", "beta", True)]  # a deal's row that comes twice
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def rounds(spark):
     data = [("r1", "Acme", "Seed", "Missing", "2020-01-01", "10", ["A", "B"], ["A"]), ("r2", "Acme", None, "Missing", "2021-01-01", None, None, []),
             ("r3", "Bolt", "Series A", "Pass", None, "30", ["A"], ["A"]), ("r4", "Bolt", "Seed", "Late", None, "5", ["X, Y"], None),
