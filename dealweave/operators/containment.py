@@ -20,6 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dealweave.functions.hashing import short_digest
 from dealweave.operators.rows import first_per_group
 from dealweave.session import materialised
 
@@ -88,7 +89,7 @@ def _pairs_of(cells: Column) -> Column:
 
 
 def _digest(cells: Column) -> Column:
-    return F.sha2(F.array_join(F.sort_array(F.array_distinct(cells)), "\n"), 256)
+    return short_digest(F.array_join(F.sort_array(F.array_distinct(cells)), "\n"))
 
 
 class Containment:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealweave.functions.hashing import short_digest
 from dealweave.functions.order import newest, oldest
 from dealweave.functions.sql_text import bare_sql
 from dealweave.functions.text import any_word
@@ -197,7 +198,7 @@ def full_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFra
     where no cell is equal but all are part of longer ones."""
     rows = materialised(_table_rows(cells))
     kinds = rows.groupBy("answer_id", "table_no", "cells").agg(F.count(F.lit(1)).alias("copies")).withColumn(
-        "row_key", F.sha2(F.array_join("cells", "\n"), 256))
+        "row_key", short_digest(F.array_join("cells", "\n")))
     named = kinds.select(F.col("answer_id").alias("group"), F.col("table_no").alias("table"), "row_key", "cells")
     hits = Containment(named, rules.cell_share, rules.min_partial).covered().withColumnRenamed("group", "answer_id")
     return _coverage(rows, kinds.withColumnRenamed("table_no", "covered"), hits, rules)

@@ -93,6 +93,14 @@ def test_equal_cells_with_a_missing_partner(spark):
     assert found(w) == set()
 
 
+def test_rows_go_by_short_keys(spark, monkeypatch):
+    """Keys and digests of rows travel through every step: 16 bytes each, not texts of 64 letters."""
+    seen = []
+    monkeypatch.setattr("dealweave.plans.answers.Containment", lambda kinds, *a: seen.append(kinds) or Containment(kinds, *a))
+    assert contained_tables(cells(spark, {1: [["x"]], 2: [["x"]]}), coverage=full_coverage).count() == 2
+    assert {len(r.row_key) for r in seen[0].collect()} == {16}
+
+
 def test_tables_worth_showing(spark):
     full = [["Swift", "Pass"], ["Zed", "Pass"], ["Amber", "Hold"]]
     def kept(tables, numeric=()):

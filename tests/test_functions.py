@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from dealweave.functions.hashing import content_hash, request_key
+from dealweave.functions.hashing import content_hash, request_key, short_digest
 from dealweave.functions.json import compact_json, json_contains
 from dealweave.functions.text import (
     blank_to_null, company_part, first_name_token, holds, holds_any, labelled_lines, name_key, profile_slug,
@@ -81,3 +81,7 @@ def test_hashes(values):
     assert hashes[1] == hashes[2] and len({*hashes}) == 3
     keys = values([("Why?",), ("why ",)], "q string", request_key("q", F.lit("v1")))
     assert keys[0] == keys[1]
+
+
+def test_short_digest(values):
+    assert values([("a", 1), (None, 2)], "c string, n int", F.hex(short_digest("c"))) == ["CA978112CA1BBDCAFAC231B39A23DC4D", None]
