@@ -208,18 +208,23 @@ def graph(docs: DataFrame, words: DataFrame, min_count: int, text: str = "text",
             for part in text_slices(batch, "text", RUN_BYTES):
                 for language, texts in _by_language(part):
                     rows = list(Line(language, texts, word_bits.value).runs(pair_bits.value))
+                    mark = f"{len(language)} {language}".encode()
                     yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([language] * len(rows), pa.string()),
-                        "head": pa.array([r[0] for r in rows], pa.string()),
-                        "last": pa.array([r[1] for r in rows], pa.string()), "c": pa.array([r[2] for r in rows], pa.int64())})
-
-    found = _sources(docs, text, lang).mapInArrow(run, "lang string, head string, last string, c bigint")
-    found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "lang", "head")
-    edges = found.groupBy("lang", "head", "last").agg(F.sum("c").alias("c"))
-    node = Window.partitionBy("lang", "head").orderBy("c")
+                        "node": pa.array([mark + r[0] for r in rows], pa.string()),
+                        "last": pa.array([r[1] for r in rows], pa.string()), "c": pa.array([r[2] for r in rows], pa.int32())})
+
+    # A node travels as one text, the length of its language, the language and the words: shorter rows to shuffle.
+    found = _sources(docs, text, lang).mapInArrow(run, "node string, last string, c int")
+    found = found.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "node")
+    edges = found.groupBy("node", "last").agg(F.sum("c").alias("c"))
+    node = Window.partitionBy("node").orderBy("c")
     whole = node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     flowing = edges.withColumns({"f": F.sum("c").over(whole), "first": F.row_number().over(node) == 1})
-    return flowing.where(F.col("first") | F.col("last").isNull() | (F.col("c") >= min_count))
+    flowing = flowing.where(F.col("first") | F.col("last").isNull() | (F.col("c") >= min_count))
+    size = F.substring_index("node", " ", 1)
+    start, length = F.length(size) + 2, size.cast("int")
+    return flowing.select(F.substr("node", start, length).alias("lang"), F.substr("node", start + length).alias("head"),
+                          "last", "c", "f", "first")
 
 
 def flow(edges: DataFrame) -> dict[int, DataFrame]:

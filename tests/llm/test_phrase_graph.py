@@ -95,6 +95,17 @@ def test_flow_and_paths(spark, tmp_path):
             p: c for p, c in every.items() if p.count(" ") == size - 1 and c >= 2}
 
 
+def test_nodes_travel_as_one_text(spark):
+    """Language and words share a column in the shuffle; any language comes back as it was."""
+    langs = ["", "1 a", "12", "a\0b", "zh ü", " en", None]
+    docs = spark.createDataFrame([(x, "b a\0 c d e") for x in langs for _ in range(2)], "lang string, text string")
+    edges = pg.graph(docs, pg.word_counts(docs), 2)
+    assert "hashpartitioning(node" in edges._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lang, r.head, r["last"], r.c) for r in edges.collect()}
+    assert got == {(x or ("und" if x is None else ""), *row) for x in langs for row in [
+        ("b a\0 c", "d", 2), ("a\0 c d", "e", 2), ("c d e", None, 2)]}
+
+
 def test_exact_products_and_empty_tables(spark):
     counts = {1: [("en", "a", 1 << 61), ("en", "b", 1 << 61)], 2: [("en", "a b", (1 << 61) - 1)], 3: [], 4: []}
     frames = {k: spark.createDataFrame(v, "lang string, phrase string, f bigint") for k, v in counts.items()}
