@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 from decimal import Decimal
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dealweave.plans import companies as co
 from dealweave.plans.deals import content_level, raw_data, row_sum, work_queue
-from dealweave.plans.employers import employer_facts, founder_career
+from dealweave.plans.employers import employer_facts, founder_career, founder_facts
 from dealweave.plans.model import EmptySourceError, rebuild_model, snapshot_view
 from dealweave.plans.nightly import refresh
 from dealweave.plans.universe import round_totals
@@ -130,6 +131,27 @@ def test_mentions_are_dealt_by_deal_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_careers_leave_the_deals_own_fields_alone(spark):
+    """The founders' facts give the same careers as all facts; of deal fields only those of a founder's key are read."""
+    model = rebuild_model(snapshot(spark), companies(spark))
+    text = F.lit(None).cast("string")
+    pipeline = spark.createDataFrame(
+        [("p1", "D-1 Ltd", "beta, labs; Acme"), ("p1", "D-1 Ltd", "more"), ("p3", "Z", "Acme, beta"), (None, "D-2", "beta"), ("p4", None, "ghost")],
+        "id string, deal string, previous_company_worked_at string").select(
+        "*", F.lit("Pass").alias("status"), F.lit(None).cast("date").alias("meeting_date"), text.alias("previous_company"),
+        text.alias("founder_name"), text.alias("founder_linkedin"), text.alias("f3_classification"),
+        F.lit(None).cast("array<string>").alias("sectors"), now().alias("created_time"))
+    entities = spark.createDataFrame([("beta", "Beta", None, "unresolved", None, None), ("Acme", "ACME", None, None, None, None)],
+                                     "name string, entity string, parent_group string, status string, domain string, entity_type string")
+    odd = spark.createDataFrame([("deal:p3", "Odd", None), ("deal:p4", "Ghost", None), (None, "No key", None)], model.founders.schema)
+    for founders in (model.founders, model.founders.unionByName(odd)):
+        m = dataclasses.replace(model, founders=founders)
+        facts, few = employer_facts(pipeline, m, pipeline.select("id"), entities), founder_facts(pipeline, m, entities)
+        assert rows(founder_career(m.founders, m.roles, few)) == rows(founder_career(m.founders, m.roles, facts))
+        own = {r.founder_key for r in few.filter("startswith(founder_key, 'deal:')").collect()}
+        assert own == ({"deal:p3"} if founders is not model.founders else set())
+
+
 def rounds(spark):
     data = [("r1", "Acme", "Seed", "Missing", "2020-01-01", "10", ["A", "B"], ["A"]), ("r2", "Acme", None, "Missing", "2021-01-01", None, None, []),
             ("r3", "Bolt", "Series A", "Pass", None, "30", ["A"], ["A"]), ("r4", "Bolt", "Seed", "Late", None, "5", ["X, Y"], None),
