@@ -57,8 +57,7 @@ def stream_embed_pending(t):
     from (select user_email, unnest(generate_series(date_trunc('hour', created_at) - interval 23 hour, date_trunc('hour', created_at), interval 1 hour)) as w
       from log where error is null) group by w, user_email""")
 def stream_usage_24h(t):
-    return jobs.updated_result(
-        jobs.rolling_usage(streamed(t, "events").log), shared_folder(t.spark), ["window_start", "window_end", "client"])
+    return jobs.rolling_usage(streamed(t, "events").log, shared_folder(t.spark))
 
 
 @query("stream_usage_steps", f"""

@@ -20,6 +20,8 @@ from dealweave.session import list_paths
 from dealweave.streaming.log_table import LogTable
 
 WATERMARK = "1 hour"
+#: Hours of a window of the rolling usage.
+USAGE_HOURS = 24
 DEDUPE_HORIZON = "30 days"
 
 
@@ -82,15 +84,39 @@ def stream_embed(arriving: DataFrame, folder: str, as_of: Column, embedder: Embe
     return written(spark, out, schema)
 
 
-def rolling_usage(log: DataFrame, user: str = "user_email", length: str = "24 hours", step: str = "1 hour") -> DataFrame:
-    """Successful uses per user in every window of the last 24 hours, moved by the hour."""
+def hourly_usage(log: DataFrame, user: str = "user_email") -> DataFrame:
+    """Successful uses per user and hour. An hour is held until the last of the windows it counts in has closed."""
     return (
-        log.withWatermark("created_at", WATERMARK).filter(F.col("error").isNull())
-        .groupBy(F.window("created_at", length, step), F.col(user).alias("client")).agg(F.count(F.lit(1)).alias("used"))
-        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "client", "used")
+        log.withWatermark("created_at", f"{USAGE_HOURS} hours").filter(F.col("error").isNull())
+        .groupBy(F.window("created_at", "1 hour"), F.col(user).alias("client")).agg(F.count(F.lit(1)).alias("used"))
+        .select(F.col("window.start").alias("hour"), "client", "used")
     )
 
 
+def usage_windows(hourly: DataFrame) -> DataFrame:
+    """Uses per user in every window of 24 hours, moved by the hour, from the uses per hour.
+
+    The hours are dealt by user before each is copied into its windows, so the copies are not shuffled. The number of
+    shares is given, since the rows are few only before they are copied.
+    """
+    shares = int(hourly.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("hour") - F.expr(f"interval '{USAGE_HOURS - 1}' hour")
+    starts = F.sequence(first, F.col("hour"), F.expr("interval '1' hour"))
+    counted = hourly.repartition(shares, "client").select("client", F.explode(starts).alias("window_start"), "used") \
+        .groupBy("client", "window_start").agg(F.sum("used").alias("used"))
+    return counted.select(
+        "window_start", (F.col("window_start") + F.expr(f"interval '{USAGE_HOURS}' hour")).alias("window_end"), "client", "used")
+
+
+def rolling_usage(log: DataFrame, folder: str, user: str = "user_email") -> DataFrame:
+    """Successful uses per user in every window of the last 24 hours, moved by the hour.
+
+    The stream keeps one count per user and hour instead of one per window. A late row counts in all of its windows as
+    long as the newest of them is open.
+    """
+    return usage_windows(updated_result(hourly_usage(log, user), folder, ["hour", "client"]))
+
+
 def daily_kpis(log: DataFrame) -> DataFrame:
     """Counts by outcome per day."""
     return (

@@ -126,3 +126,21 @@ def test_tables_in_one_file_or_many_and_without_rows(spark, tmp_path):
     nothing = jobs.file_stream(spark, str(tmp_path / "nothing"), empty.schema)
     assert jobs.appended_result(nothing.select("question"), f"{tmp_path}/a").count() == 0
     assert jobs.updated_result(jobs.daily_kpis(nothing), f"{tmp_path}/u", ["day"]).count() == 0
+
+
+def test_rolling_usage_holds_hours_and_counts_windows(spark, tmp_path):
+    """The stream writes a row per user and hour; every window of 24 hours is counted from them, over several batches."""
+    schema = files(spark, tmp_path, [(1, "2024-01-01T10:00:00", "a"), (2, "2024-01-01T10:59:59", "a")],
+                   [(3, "2024-01-02T09:00:00", "b")], [(4, "2024-01-01T12:00:00", "late"), (5, "2024-01-02T10:00:00", "c")])
+    got = jobs.rolling_usage(stream(spark, tmp_path, schema), f"{tmp_path}/usage")
+    want = {}
+    for t in ("2024-01-01T10", "2024-01-01T10", "2024-01-02T09", "2024-01-01T12", "2024-01-02T10"):
+        for back in range(24):
+            start = at(t + ":00:00") - dt.timedelta(hours=back)
+            want[start] = want.get(start, 0) + 1
+    assert {r.window_start: r.used for r in got.collect()} == want
+    assert got.filter("window_end <> window_start + interval '24' hour or client <> 'u'").count() == 0
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/usage/result").count() == 4
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(client#" in plan and "window_start#" not in "".join(
+        line for line in plan.splitlines() if "hashpartitioning" in line)
