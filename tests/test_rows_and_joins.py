@@ -86,6 +86,19 @@ def test_regex_join_in_one_and_several_blocks(spark, monkeypatch):
     assert regex_join(texts, "t", patterns.filter("n = 'bad'"), "n", "p").count() == 0
 
 
+def test_regex_join_pairs_are_made_by_part_outside_python(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PART_NAMES", 2, raising=False)
+    monkeypatch.setattr(joins, "PARTS_AT_ONCE", 2, raising=False)
+    texts = [(1, "red ring"), (1, "red ring"), (2, "red ring"), (3, "blue ring"), (4, "none"), (5, None)]
+    patterns = [(f"n{i}", f"red|x{i}") for i in range(5)] + [(None, "ring"), ("twice", "blue"), ("twice", "blue")]
+    found = regex_join(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(patterns, "n string, p string"), "n", "p")
+    matched = {"red ring": [*[f"n{i}" for i in range(5)], None], "blue ring": [None, "twice", "twice"]}
+    assert found.columns == ["id", "t", "n"]
+    assert rows(found) == sorted([(i, t, n) for i, t in texts for n in matched.get(t, [])], key=repr)
+    # The names of a row were lists in Arrow batches before, too large for a batch where many patterns match many rows.
+    assert "MapInArrow" not in plan(found)
+
+
 def test_nearest_match_equals_brute_force(spark):
     rng = random.Random(5)
     base = dt.date(2020, 1, 1)
