@@ -15,6 +15,7 @@ from dealweave.operators.postings import Analyzer, keyword_search, plain_tokens,
 from dealweave.operators.rows import top_k_per
 from dealweave.operators.vectors import vector_top_k
 from dealweave.plans.documents import LEARNED_KINDS
+from dealweave.session import materialised
 
 # Weights of the fused score and the memory threshold.
 RANK_OFFSET = 60
@@ -47,16 +48,15 @@ def fuse(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     return both.withColumn("score", F.round(fused_score(F.col("vector_rank"), F.col("keyword_rank")), 9))
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, candidates: int,
-                  kinds: Sequence[str] | None = None, metadata: dict | None = None,
-                  analyzer: Analyzer = plain_tokens) -> DataFrame:
-    """The k best documents per question, with their whole text.
+def _with_documents(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The found rows with their documents. The rows, a few per question, are written so that Spark knows how few they
+    are: it then reads the documents where they lie instead of shuffling all texts to find those of a few ids."""
+    return materialised(found).join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
 
-    Each ranking hands its ``candidates`` best per question to the fusion; every word of a question is searched for.
 
-    ``queries`` has query_id, text and vector; ``docs`` id, kind, title, body, metadata; ``vectors`` id, kind,
-    metadata, embedding; ``posts`` the postings, made with the same ``analyzer``.
-    """
+def _ranked(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, candidates: int,
+            kinds: Sequence[str] | None = None, metadata: dict | None = None, analyzer: Analyzer = plain_tokens) -> DataFrame:
+    """``hybrid_search`` without the documents."""
     searchable = allowed(docs, kinds, metadata)
     there = searchable.select("id")  # a stale vector or posting must not take a candidate's place
     vector_hits = vector_top_k(
@@ -65,8 +65,20 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts
     # looked up by the ids of a share of the documents: postings lie by id and need no sort
     stored = posts.join(there.hint("shuffle_hash"), "id", "left_semi")
     fused = fuse(vector_hits, keyword_search(terms, stored, candidates))
-    best = top_k_per(fused, ["query_id"], [F.col("score").desc(), F.col("id")], k, rank="position")
-    return best.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
+    return top_k_per(fused, ["query_id"], [F.col("score").desc(), F.col("id")], k, rank="position")
+
+
+def hybrid_search(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, candidates: int,
+                  kinds: Sequence[str] | None = None, metadata: dict | None = None,
+                  analyzer: Analyzer = plain_tokens) -> DataFrame:
+    """The k best documents per question, with their whole text.
+
+    Each ranking hands its ``candidates`` best per question to the fusion; every word of a question is searched for.
+
+    ``queries`` has query_id, text and vector; ``docs`` id, kind, title, body, metadata; ``vectors`` id, kind,
+    metadata, embedding; ``posts`` the postings, made with the same ``analyzer``.
+    """
+    return _with_documents(_ranked(queries, docs, vectors, posts, k, candidates, kinds, metadata, analyzer), docs)
 
 
 def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int,
@@ -76,7 +88,7 @@ def similar_items(ids: DataFrame, vectors: DataFrame, docs: DataFrame, k: int,
     queries = vectors.join(wanted, vectors["id"] == wanted["query_id"]).select(
         "query_id", F.col("embedding").alias("vector"))
     near = vector_top_k(queries, allowed(vectors, kinds, None), k, exclude_self=True)
-    return near.join(docs.select("id", "kind", "title", F.col("body").alias("snippet"), "metadata"), "id")
+    return _with_documents(near, docs)
 
 
 def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, posts: DataFrame, k: int, memory_k: int,
@@ -88,13 +100,15 @@ def memory_context(queries: DataFrame, docs: DataFrame, vectors: DataFrame, post
     The rules that hold for every question are a result of their own (``plans.documents.newest_rules``), a row each:
     there may be more of them than a cell holds.
     """
-    memory = hybrid_search(queries, docs, vectors, posts, memory_k, candidates, memory_kinds)
-    memory = memory.filter(F.coalesce("similarity", F.lit(0.0)) >= min_similarity)
+    # Both searches are written in one job, which deals the texts for the postings once, and read the documents once.
+    sides = {"memory": (memory_k, candidates, memory_kinds), "hits": (k, candidates, hit_kinds)}
+    ranked = [_ranked(queries, docs, vectors, posts, *of).withColumn("_side", F.lit(side)) for side, of in sides.items()]
+    found = _with_documents(ranked[0].unionByName(ranked[1]), docs)
+    memory = found.filter((F.col("_side") == "memory") & (F.coalesce("similarity", F.lit(0.0)) >= min_similarity))
     memory = memory.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", "title", F.col("snippet").alias("text"),
         F.round("similarity", 3).alias("similarity")))).alias("memory"))
-    hits = hybrid_search(queries, docs, vectors, posts, k, candidates, hit_kinds)
-    hits = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
+    hits = found.filter(F.col("_side") == "hits").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "position", "id", "kind", F.coalesce(F.get_json_object("metadata", "$.name"), "title").alias("name"),
         F.get_json_object("metadata", "$.status").alias("status"),
         F.get_json_object("metadata", "$.meeting_date").alias("meeting_date"),

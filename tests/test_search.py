@@ -130,6 +130,17 @@ def test_similar_and_context(spark):
     assert rows(newest_rules(rules).select("rule")) == [("r1",), ("r2",)]
 
 
+def test_texts_of_found_documents_are_read_where_they_lie(spark):
+    docs, vecs, asked, posts = corpus(spark)
+    far = docs.repartition(3).unionByName(docs.limit(0))
+    near = similar_items(spark.createDataFrame([("d1",)], "id string"), vecs, far, 2)
+    for found in (hybrid_search(asked, far, vecs, posts, 3, 60), near):
+        shown = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in shown and "SortMergeJoin" not in shown and "hashpartitioning(id" not in shown
+    got = {r.query_id: r for r in memory_context(asked, far, vecs, posts, 8, 6, 60).collect()}
+    assert sorted(got) == [1, 2, 3] and [h.id for h in got[1].hits] == ["d1", "d2", "d4"] and [m.id for m in got[2].memory] == ["d3"]
+
+
 def test_embedding(spark):
     now = F.lit("2024-02-01 00:00:00").cast("timestamp")
     docs = spark.createDataFrame([("a", "t", "b", [0.5]), ("b", "t", "w w", None)], "id string, title string, body string, embedding array<float>") \
