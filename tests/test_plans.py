@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from dealweave.plans import companies as co
+from dealweave.plans import documents as docs
 from dealweave.plans.deals import content_level, raw_data, row_sum, work_queue
 from dealweave.plans.employers import employer_facts, founder_career, founder_facts
 from dealweave.plans.model import EmptySourceError, rebuild_model, snapshot_view
 from dealweave.plans.nightly import refresh
-from dealweave.plans.universe import round_totals
+from dealweave.plans.universe import pipeline_records, round_totals
 from dealweave.plans.worked_at import EmployerPatterns, profile_lines
 from tests.test_rows_and_joins import rows
 
@@ -228,3 +229,22 @@ def test_failed_refresh_is_reported(spark):
 
     result = refresh(Broken(), None, spark.createDataFrame([], "source string, ok boolean, started_at timestamp"), now(), "/tmp/unused")
     assert not result.ok and result.documents is None and result.note
+
+
+def test_round_documents_look_up_each_company_once(spark):
+    deals = spark.createDataFrame(
+        [("d1", "ACME Inc", "Pass", "Deck Scan", "2020-01-01"), ("d2", "Acme", "Open", None, "2021-01-01"), ("d3", None, "Lost", None, None)],
+        "id string, deal string, status string, decision_to_pass_stage string, created_time string").selectExpr(
+        "*", "cast(null as string) as f3_classification", "array('s') as sectors", "cast(null as date) as meeting_date")
+    records = pipeline_records(deals)
+    assert rows(records.select("key", "pipeline_id", "pipeline_status")) == [("acme", "d2", "Open")]
+    given = rounds(spark).withColumn("url", F.lit("u")).withColumn("company", F.when(F.col("id") != "r5", F.col("company")))
+    given = given.unionByName(given.filter("id = 'r1'").withColumn("company", F.lit("acme ltd")))
+    made = docs.round_documents(given, records)
+    bodies = sorted((r.id, r.body.split("\n")[0].split(" raised")[0], (r.body.split("Our pipeline record: ") + [None])[1]) for r in made.collect())
+    assert [b for b in bodies if b[0] != "round:r5"] == [
+        ("round:r1", "Company: Acme", "Open"), ("round:r1", "Company: acme ltd", "Open"), ("round:r2", "Company: Acme", "Open"),
+        ("round:r3", "Company: Bolt", None), ("round:r4", "Company: Bolt", None)]
+    assert len(bodies) == 6
+    # the rounds stay where they lie: only companies and records are shuffled
+    assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
