@@ -248,3 +248,25 @@ def test_round_documents_look_up_each_company_once(spark):
     assert len(bodies) == 6
     # the rounds stay where they lie: only companies and records are shuffled
     assert "SortMergeJoin" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_company_rounds_read_the_rounds_twice(spark):
+    day = dt.date(2020, 1, 1)
+    schema = rounds(spark).schema
+    more = [("r6", None, "Seed", None, None, Decimal("2"), ["A"], None, None, None, None), ("r7", None, "Late", "Pass", None, None, [None, " "], ["L"], [], ["M"], 2001),
+            ("r8", "Dusk", "One", "Late", day, Decimal("3"), ["B", "A"], ["L"], ["FinTech", None], ["M"], 2010),
+            ("r9", "Dusk", "Two", "Missing", day, None, ["A"], ["L"], None, ["M"], 2011), ("r9", "Dusk", "Two", "Missing", day, None, ["A"], ["L"], None, ["M"], 2011),
+            ("r99", "Dusk", None, None, None, Decimal("4"), None, ["K"], None, None, None)]
+    given = rounds(spark).unionByName(spark.createDataFrame(more, schema)).repartition(3)
+    made = co.company_rounds(given, people(spark))
+    got = {r.company: r for r in made.collect()}
+    figures = ("our_status", "sectors", "location", "founded_year", "rounds", "total_raised_usd", "latest_round", "latest_round_date", "latest_round_usd",
+               "lead_investors", "investor_list")
+    assert [got["Dusk"][f] for f in figures] == [
+        "Missed (never in our pipeline)", "FinTech", "M", 2011, 4, Decimal("7.00"), "Two", day, None, "K, L", ["A", "B"]]
+    # companies without a name are a group without lists, as a null key joins nothing
+    assert [got[None][f] for f in figures] == ["Seen and passed", None, None, 2001, 2, Decimal("2.00"), "Late", None, None, None, None]
+    assert got["Bolt"].latest_round == "Seed" and got["Bolt"].latest_round_usd == 5 and got["Acme"].latest_round is None
+    assert made.schema["total_raised_usd"].dataType.simpleString() == "decimal(28,2)"
+    # once for the latest rounds and once for the investors, the rest comes from written counts
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Repartition 3") == 2
