@@ -197,7 +197,8 @@ def near_words(words: DataFrame, folder: str | None = None) -> DataFrame:
     index = words.mapInArrow(_entries(counts, index_keys), _ENTRY).alias("b")
     hit = ((F.col("a.key") == F.col("b.key")) & (F.col("a.last") <= F.col("b.last")) & (F.col("a.word") != F.col("b.word"))
            & (F.abs(F.length("a.word") - F.length("b.word")) <= 1) & (F.levenshtein("a.word", "b.word", 1) == 1))
-    met = stored(asks.join(index, hit).select(
+    # Each word makes many keys, which Spark sizes as one row: it would broadcast the index of a small table of words.
+    met = stored(asks.join(index.hint("merge"), hit).select(
         F.col("a.word").alias("word"), F.col("a.n").alias("n"), F.col("b.word").alias("near"), F.col("b.n").alias("near_n")), folder)
     return met.union(met.select("near", "near_n", "word", "n")).distinct()
 

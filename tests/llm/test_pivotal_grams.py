@@ -103,6 +103,18 @@ def test_a_pivot_of_one_meets_the_prefix_of_the_other(a, b, salt):
         assert any(meets)
 
 
+def test_the_index_is_not_broadcast(spark, monkeypatch):
+    """A word makes many keys, but Spark sizes them as one row a word; so a few MB of words became GB on the driver."""
+    plans = []
+    kept = pg.stored
+    monkeypatch.setattr(pg, "stored", lambda df, folder=None: plans.append(
+        df._jdf.queryExecution().executedPlan().toString()) or kept(df, folder))
+    words = kept(spark.createDataFrame([(w, 3) for w in ("abcdef", "abcdeg", "abcde", "xyzxyz")], "word string, n bigint"))
+    assert {(r.word, r.near) for r in pg.near_words(words).collect()} == {
+        (a, b) for a in ("abcdef", "abcdeg", "abcde") for b in ("abcdef", "abcdeg", "abcde") if a != b}
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
