@@ -57,7 +57,7 @@ def refresh(tables: SourceTables, model: Model | None, runs: DataFrame, as_of: C
     """Rebuild everything derived. A failure is reported, not raised, so the old state stays in use.
 
     The model is rebuilt only after a fresh snapshot load; otherwise the given ``model`` is used. Tables read several
-    times (facts, universe) are written once and read back, which also bounds the plans.
+    times (pipeline, facts, universe) are written once and read back, which also bounds the plans.
     """
     spark = tables.pipeline.sparkSession
     folder = folder or shared_folder(spark)
@@ -67,19 +67,19 @@ def refresh(tables: SourceTables, model: Model | None, runs: DataFrame, as_of: C
         if rebuilt:
             held = (model.founders, model.investors) if model else (None, None)
             current = rebuild_model(tables.snapshot, tables.companies, *held).stored(folder)
+        pipeline = materialised(tables.pipeline, folder)
         facts = materialised(
-            employer_facts(tables.pipeline, current, tables.decided, tables.entities), folder)
+            employer_facts(pipeline, current, tables.decided, tables.entities), folder)
         universe = materialised(
-            startup_universe(tables.pipeline, current.deals, tables.rounds, tables.out_of_coverage,
+            startup_universe(pipeline, current.deals, tables.rounds, tables.out_of_coverage,
                              tables.sector_master, tables.investor_missing), folder)
         career = founder_career(current.founders, current.roles, facts)
         built = build_documents(DocumentTables(
-            tables.pipeline, tables.decided, tables.content, current, facts, career, universe, sector_patterns(facts),
+            pipeline, tables.decided, tables.content, current, facts, career, universe, sector_patterns(facts),
             tables.rounds, tables.investor_missing, tables.out_of_coverage, tables.sector_master, tables.investor_mix,
             tables.leads, tables.history))
         new = materialised(finish_documents(built), folder)
-        state, changes = merge_documents(tables.documents, new, as_of, LEARNED_KINDS)
-        documents = materialised(state, folder)
+        documents, changes = merge_documents(tables.documents, new, as_of, LEARNED_KINDS, folder)
         note = "documents rebuilt" + (" + snapshot model" if rebuilt else "")
         return Refreshed(True, documents, vector_table(documents), changes, note)
     except Exception as error:  # the run log keeps the reason; the caller keeps the old tables

@@ -111,6 +111,44 @@ def test_merge_documents(spark):
     assert {r.id for r in vector_table(state).collect()} == {"same", "meta", "kept", "blank"}
 
 
+def test_merge_by_written_ids(spark, tmp_path):
+    """With a folder only the ids on both sides meet; repeated and null ids give the rows of the full join."""
+    old = stored(spark, [("both", "k", "t", "b", "{}"), ("both", "j", "t", "b", "{}"), (None, "insight", "t", "b", "{}"), (None, "k", "x", "y", "{}"),
+                         ("gone", "k", "t", "b", "{}"), ("kept", "insight", "t", "b", "{}")])
+    new = documents(spark, [("both", "k", "t", "b", "{}"), ("both", "k", "t", "B", "{}"), (None, "k", "t", "b", "{}"), ("new", "k", "a", "b", "{}")])
+    new.write.parquet(f"{tmp_path}/new")
+    new = spark.read.parquet(f"{tmp_path}/new")
+    for kinds in ([], ["insight"]):
+        (state, changes), (by_ids, counted) = merge_documents(old, new, as_of(), kinds), merge_documents(old, new, as_of(), kinds, f"{tmp_path}/kept")
+        assert by_ids.schema.simpleString() == state.schema.simpleString()
+        assert sorted(map(str, by_ids.collect())) == sorted(map(str, state.collect()))
+        assert sorted(map(str, counted.collect())) == sorted(map(str, changes.collect()))
+
+
+def test_merge_moves_no_text_of_inserted_documents(spark, tmp_path):
+    documents(spark, [(f"n{i}", "k", "t", f"text {i}", "{}") for i in range(20)]).write.parquet(f"{tmp_path}/new")
+    new = spark.read.parquet(f"{tmp_path}/new")
+    state, _ = merge_documents(stored(spark, [("kept", "insight", "t", "b", "{}"), ("gone", "k", "t", "b", "{}")]), new, as_of(), ["insight"], f"{tmp_path}/kept")
+    written = [spark.read.parquet(str(p)) for p in (tmp_path / "kept").iterdir()]
+    assert [df.count() for df in written if "body" in df.columns] == [1]
+    assert "Exchange hashpartitioning" not in state._jdf.queryExecution().executedPlan().toString()
+    assert state.count() == 21
+    assert all("zstd" in p.name for p in (tmp_path / "kept").glob("*/part-*.parquet"))
+
+
+def test_list_parts_of_small_and_large_groups(spark):
+    """Groups that fit a part are brought together at once, others by ranges; null keys are groups as well."""
+    data = [(k, f"v{i}") for k, n in (("s", 3), ("t", 5), (None, 4), ("l", 23)) for i in range(n)] * 2 + [("s", None)]
+    for size in (5, 100):
+        got = list_parts(spark.createDataFrame(data, "k string, v string"), ["k"], "v", "vs", part_items=size).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.k, []).append((r.part, r.vs.split(", ")))
+        assert {k: sorted(p for p, _ in x) for k, x in by.items()} == {"s": [0], "t": [0], None: [0], "l": list(range(-(-23 // size)))}
+        assert all(v == sorted(v) and len(v) <= size for x in by.values() for _, v in x)
+        assert {k: sorted(y for _, v in x for y in v) for k, x in by.items()} == {k: sorted({v for j, v in data if j == k and v}) for k in by}
+
+
 def test_merge_twice_changes_nothing(spark):
     new = documents(spark, [("a", "k", "t", "b", "{}"), ("b", "k", "t2", "b2", "{}")])
     first, _ = merge_documents(stored(spark, [("a", "k", "x", "y", "{}")]), new, as_of())
