@@ -49,3 +49,9 @@ def test_entry_and_registry(spark):
 def test_plans(spark, name, wanted, unwanted):
     plan = contract.queries()[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert wanted in plan and unwanted not in plan
+
+
+def test_deal_documents_read_written_deals(spark):
+    """Deals, careers and universe are written before: the documents are not built from line items again."""
+    plan = QUERIES["doc_deal"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
