@@ -214,6 +214,19 @@ def test_company_list_parts(spark):
     assert len({n for r in many for n in r.names.split(", ")}) == 40
 
 
+def test_sector_patterns_count_by_what_is_shown(spark):
+    """Founders and deals of an employer and sector count once; founders that nobody reads are not counted."""
+    facts = spark.createDataFrame(
+        [("verified", "Acme", "A", "f1", "d1", "Pass", ["X", "Y"]), ("verified", "Acme Ltd", "A", "f1", "d1", None, ["X"]),
+         (None, "x", "A", "f9", "d9", "Pass", ["X"]), ("unchecked", "Acme", "A", "f2", "d2", "To be Passed", None), ("verified", "Self", "A", "f3", "d3", "Pass", ["X"]),
+         ("verified", "b", None, "f4", "d4", "Pass", ["X"]), ("verified", "c", "C", None, None, "Pass", [None, "Z"])],
+        "entity_status string, company string, entity string, founder_key string, deal_id string, status string, sectors array<string>")
+    got = co.sector_patterns(facts)
+    assert rows(got) == [("A", "Unclassified", 1, 1, 0, 1), ("A", "X", 1, 1, 1, 0), ("A", "Y", 1, 1, 1, 0), ("C", "Z", 0, 0, 1, 0)]
+    plan = got.select("company", "sector", "startups")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_worked_at_patterns(values):
     p = EmployerPatterns("groove|acme labs")
     texts = [("ex-Groove",), ("Ann (ex Groove)",), ("Groovepay",), ("Groover",), ("at Groove now",), ("GROOVE alumni",)]
