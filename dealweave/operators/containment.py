@@ -1,7 +1,9 @@
 """Rows whose cells lie in a row of another table of the same group.
 
 A cell is held by a row that has an equal cell or, from ``min_part`` characters on, a longer cell it is part of. A row
-is covered by a table if one of the table's rows holds the wanted share of its cells. All covered rows are found:
+is covered by a table if one of the table's rows holds the wanted share of its cells. All covered rows are found. A group
+of few cells (``SMALL_CELLS``, ``SMALL_CHARS``) is brought together, and its rows are compared with each other. In larger
+ones:
 
 * ``cell_holders`` finds which cells are part of others through a look-up of character windows, so afterwards every row
   is a plain set of the cells it holds and only equal values meet;
@@ -15,7 +17,7 @@ Nulls and empty cells have to be left out before; a group or table without rows
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +30,8 @@ from dealweave.session import materialised
 CROWDED = 64
 #: Long cells are cut into blocks before their windows are taken, since a place in a text is found by counting to it.
 BLOCK = 1000
+#: Groups of at most so many cells, with so many characters, are compared row by row: the work for each is bounded.
+SMALL_CELLS, SMALL_CHARS = 512, 16_384
 
 
 def window_hashes(text: Column, width: Column) -> Column:
@@ -93,18 +97,54 @@ def _digest(cells: Column) -> Column:
 
 
 class Containment:
-    """Covered rows of ``kinds`` (group, table, row_key, cells); the steps are kept for tests and plans."""
+    """Covered rows of ``kinds`` (group, table, row_key, cells); the steps for large groups are kept for tests and plans."""
 
-    def __init__(self, kinds: DataFrame, share: float = 0.9, min_part: int = 4, crowded: int = CROWDED):
-        self.crowded = crowded
+    def __init__(self, kinds: DataFrame, share: float = 0.9, min_part: int = 4, crowded: int = CROWDED,
+                 small_cells: int = SMALL_CELLS):
+        self.share, self.min_part, self.crowded = share, min_part, crowded
         self.kinds = materialised(kinds.filter(F.size("cells") > 0).select("group", "table", "row_key", "cells"))
-        self.held = materialised(held_cells(self.kinds, min_part))
-        self.rows = self.kinds.select(
-            "group", F.col("table").alias("covered"), "row_key", "cells",
-            F.ceil(F.round(F.size("cells") * F.lit(share), 6)).cast("int").alias("need"))
-        self.entries = self.held.select(
+        chars = F.aggregate("cells", F.lit(0).cast("bigint"), lambda n, c: n + F.coalesce(F.length(c), F.lit(0)))
+        sizes = self.kinds.groupBy("group").agg(F.sum(F.size("cells")).alias("n"), F.sum(chars).alias("chars"))
+        large = materialised(sizes.filter((F.col("n") > small_cells) | (F.col("chars") > SMALL_CHARS)).select("group"))
+        self.any_large = not large.isEmpty()
+        self.small = self.kinds.join(large, "group", "left_anti") if self.any_large else self.kinds
+        self.large = self.kinds.join(large, "group", "left_semi")
+
+    @cached_property
+    def held(self) -> DataFrame:
+        return materialised(held_cells(self.large, self.min_part))
+
+    @cached_property
+    def rows(self) -> DataFrame:
+        return self.large.select(
+            "group", F.col("table").alias("covered"), "row_key", "cells", self._need(F.col("cells")).alias("need"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return self.held.select(
             "group", F.col("table").alias("by"), F.col("row_key").alias("by_key"), F.explode("held").alias("cell"))
-        self.met = materialised(self._met())
+
+    @cached_property
+    def met(self) -> DataFrame:
+        return materialised(self._met())
+
+    def _need(self, cells: Column) -> Column:
+        return F.ceil(F.round(F.size(cells) * F.lit(self.share), 6)).cast("int")
+
+    def in_small_groups(self) -> DataFrame:
+        """Covered rows of small groups: every row is compared with the rows of the group's other tables where they lie."""
+        kinds = self.small.groupBy("group").agg(F.collect_list(F.struct("table", "row_key", "cells")).alias("rows"))
+        each = kinds.filter(F.col("group").isNotNull()).select("group", "rows", F.explode("rows").alias("row"))
+
+        def covers(other: Column) -> Column:
+            held = F.filter("row.cells", lambda c: F.exists(other["cells"], lambda x: (x == c) | (
+                (F.length(c) >= self.min_part) & F.contains(x, c))))
+            return (other["table"] != F.col("row.table")) & (
+                F.size(held) >= F.greatest(self._need(F.col("row.cells")), F.lit(1)))
+
+        tables = F.array_distinct(F.transform(F.filter("rows", covers), lambda other: other["table"]))
+        return each.select("group", F.col("row.table").alias("covered"), F.col("row.row_key").alias("row_key"),
+                           F.explode(tables).alias("by"))
 
     def _met(self) -> DataFrame:
         """Cells of each row that a table holds anywhere, rarest first, where these are enough.
@@ -159,9 +199,13 @@ class Containment:
 
     def covered(self) -> DataFrame:
         """(group, covered, row_key, by): every row and the tables that cover it."""
+        found = self.in_small_groups().select(*_ROW)
+        return found.unionByName(self._in_large_groups()).distinct() if self.any_large else found.distinct()
+
+    def _in_large_groups(self) -> DataFrame:
         equal = materialised(self.equal_sets())
         pairs = self.candidates(equal).join(self.rows, ["group", "covered", "row_key"]).join(
             self.held.select("group", F.col("table").alias("by"), F.col("row_key").alias("by_key"), "held"),
             ["group", "by", "by_key"])
         enough = F.size(F.filter("cells", lambda c: F.array_contains("held", c))) >= F.col("need")
-        return self.at_once().unionByName(equal).unionByName(pairs.filter(enough).select(*_ROW)).distinct()
+        return self.at_once().unionByName(equal).unionByName(pairs.filter(enough).select(*_ROW))

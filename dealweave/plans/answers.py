@@ -197,8 +197,8 @@ def full_coverage(cells: DataFrame, rules: CoverRules = CoverRules()) -> DataFra
     """As ``table_coverage``, with every covered row found: also where the rarest shared cell leads to other rows, and
     where no cell is equal but all are part of longer ones."""
     rows = materialised(_table_rows(cells))
-    kinds = rows.groupBy("answer_id", "table_no", "cells").agg(F.count(F.lit(1)).alias("copies")).withColumn(
-        "row_key", short_digest(F.array_join("cells", "\n")))
+    kinds = materialised(rows.groupBy("answer_id", "table_no", "cells").agg(F.count(F.lit(1)).alias("copies")).withColumn(
+        "row_key", short_digest(F.array_join("cells", "\n"))))
     named = kinds.select(F.col("answer_id").alias("group"), F.col("table_no").alias("table"), "row_key", "cells")
     hits = Containment(named, rules.cell_share, rules.min_partial).covered().withColumnRenamed("group", "answer_id")
     return _coverage(rows, kinds.withColumnRenamed("table_no", "covered"), hits, rules)

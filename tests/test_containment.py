@@ -49,6 +49,21 @@ def test_against_brute_force(spark, crowded):
     assert found(Containment(table_rows(spark, tables), crowded=crowded)) == want
 
 
+@pytest.mark.parametrize("small", [0, 30, 512])
+def test_small_groups_are_brought_together(spark, small):
+    """Groups of few cells are compared where they lie; with none larger, nothing is looked up by windows."""
+    rng = random.Random(3)
+    words = ["a", "bc", "swift", "swift labs", "amber swift labs", "labs", "12", "1234", "12345", "lab"]
+    tables = {(g, t): [[rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 9, 10]))] for _ in range(rng.randrange(1, 3 + g))]
+              for g in range(6) for t in range(3)}
+    work = Containment(table_rows(spark, tables), small_cells=small)
+    assert found(work) == by_force(tables) and work.any_large == (small < 512)
+    assert ("held" in vars(work)) == (small < 512)
+    if small == 512:
+        plan = work.covered()._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1  # the rows by group
+
+
 def test_repeats_and_a_spare_cell(spark):
     """Nine repeats of one cell are enough of ten; a row of twenty may miss two."""
     many = [f"cell{i:02d}" for i in range(20)]
