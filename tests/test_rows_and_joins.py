@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dealweave.functions.order import newest, newest_known, oldest
@@ -99,6 +100,17 @@ def test_regex_join_pairs_are_made_by_part_outside_python(spark, monkeypatch):
     assert "MapInArrow" not in plan(found)
 
 
+@pytest.mark.parametrize("lanes", [1, 2, 50])
+def test_regex_join_rows_travel_once_a_lane(spark, monkeypatch, lanes):
+    """A row is copied for at most so many lanes, however many parts its text matches; every pair is there once."""
+    monkeypatch.setattr(joins, "PART_NAMES", 1)
+    monkeypatch.setattr(joins, "PAIR_LANES", lanes)
+    texts, patterns = [(i, "red ring" if i % 2 else "blue") for i in range(6)], [(f"n{i}", "red") for i in range(7)] + [("b", "blue")]
+    found = regex_join(spark.createDataFrame(texts, "id int, t string"), "t", spark.createDataFrame(patterns, "n string, p string"), "n", "p")
+    assert rows(found) == sorted((i, t, n) for i, t in texts for n, p in patterns if p in t)
+    assert "least(_parts#" in plan(found) and f", {lanes})" in plan(found)
+
+
 def test_nearest_match_equals_brute_force(spark):
     rng = random.Random(5)
     base = dt.date(2020, 1, 1)
